@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, quality_rules, simhash
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op5_simhash": simhash.op5_simhash,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = quality_rules.ORACLE_SQL
