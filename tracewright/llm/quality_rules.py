@@ -114,12 +114,11 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, total_alpha: float =
         for i, cut in enumerate(grid):
             for q, name in ((1, "g"), (0, "b")):
                 counts.append(F.sum(((F.col("quality") == q) & (F.col(r) > cut)).cast("long")).alias(f"{name}_{r}_{i}"))
-    table = holdout.groupBy("stratum").agg(*counts)
+    table = materialize(holdout.groupBy("stratum").agg(*counts), "holdout")
+    n_tests = table.count() * sum(map(len, RULES.values()))
     cells = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(cut).alias("cutoff"), F.col(f"g_{r}_{i}").alias("g"), F.col(f"b_{r}_{i}").alias("b")) for r, grid in RULES.items() for i, cut in enumerate(grid)))
-    n_strata = table.select(F.count("*").alias("n_strata"))
-    tests = table.select("stratum", "good", F.inline(cells)).join(F.broadcast(n_strata), how="cross")
-    tests = tests.withColumns({"p_value": binomial_tail(F.col("good"), F.col("g"), total_alpha / len(RULES)), "gain": F.col("b") - good_cost * F.col("g")})
-    valid = tests.where((F.col("p_value") <= delta / (F.col("n_strata") * sum(map(len, RULES.values())))) & (F.col("gain") > 0))
+    tests = table.select("stratum", "good", F.inline(cells)).withColumns({"p_value": binomial_tail(F.col("good"), F.col("g"), total_alpha / len(RULES)), "gain": F.col("b") - good_cost * F.col("g")})
+    valid = tests.where((F.col("p_value") <= delta / max(1, n_tests)) & (F.col("gain") > 0))
     return valid.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
 
 
