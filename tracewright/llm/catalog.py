@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, simhash, token_counts, token_store
+from . import decontamination, mixing, quality_rules, simhash, token_counts, token_store
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_token_counts": token_counts.op2_token_counts,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_store": token_store.op6_token_store,
+    "op9_mixing": mixing.op9_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = quality_rules.ORACLE_SQL
