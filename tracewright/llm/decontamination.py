@@ -220,3 +220,19 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return judge(documents, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = {
+    "op1_decontamination": f"""
+with i as (select item_id::varchar as item_id, {_WORDS_SQL} as w from benchmark),
+iw as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda a: array_to_string(w[a : a + 12], ' '))) as win, least(len(w), 13) as n from i where len(w) > 0),
+win as (select win, n, list(item_id) as items from iw group by win, n),
+d as (select row_number() over () as rid, doc_id, {_WORDS_SQL} as w from documents),
+dw as (select rid, n, a, array_to_string(w[a : a + n - 1], ' ') as win from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as a from d, (select distinct n from win))),
+hit as (select rid, a, dw.n, items from dw join win on dw.win = win.win and dw.n = win.n),
+words as (select rid, count(distinct x) as n_hit from (select rid, unnest(range(a, a + n)) as x from hit) group by rid),
+own as (select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct rid, unnest(items) as item_id from hit) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join words using (rid) left join own using (rid)"""
+}
