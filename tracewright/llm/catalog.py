@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality_rules, simhash, token_counts, token_store, warc
+import corpus_pipeline
+
+from . import decontamination, html_text, mixing, quality_rules, simhash, suffix_dedup, surrogates, token_counts, token_store, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_warc": warc.op3_warc,
+    "op4_pii_surrogates": surrogates.op4_pii_surrogates,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_store": token_store.op6_token_store,
-    "op9_mixing": mixing.op9_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_html_text": html_text.op10_html_text,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = quality_rules.ORACLE_SQL | warc.ORACLE_SQL | decontamination.ORACLE_SQL
