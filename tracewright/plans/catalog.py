@@ -421,8 +421,8 @@ def _trial(spark, d):
 
 
 @query("""with x as (select lang, n_chars > 1000 as bands, quality as q, toxic as t from labels l join documents d on l.doc_id = d.doc_id)
-select lang as strategy, count(*) as n_items, count_if(bands) as n_failure_band, round(avg(bands::int), 6) as failure_band_rate, round(1 - sum((q = 0)::int + (t = 0)::int) / sum(3), 6) as boundary_acceptance, sum(3)::bigint as n_boundaries,
-  round(1 - sum((q = 1)::int) / sum(2), 6) as phase_accuracy, sum(2)::bigint as n_phases, round(1 - sum((t = 1)::int) / sum(1), 6) as evidence_factual_accuracy, sum(1)::bigint as n_evidence, count_if(q = 1) as usable, 0::bigint as touchup, count_if(q <> 1 and t = 1) as garbage from x group by 1""")
+select lang as strategy, count(*) as n_items, count_if(bands)::bigint as n_failure_band, round(avg(bands::int), 6) as failure_band_rate, round(1 - sum((q = 0)::int + (t = 0)::int) / sum(3), 6) as boundary_acceptance, sum(3)::bigint as n_boundaries,
+  round(1 - sum((q = 1)::int) / sum(2), 6) as phase_accuracy, sum(2)::bigint as n_phases, round(1 - sum((t = 1)::int) / sum(1), 6) as evidence_factual_accuracy, sum(1)::bigint as n_evidence, count_if(q = 1)::bigint as usable, 0::bigint as touchup, count_if(q <> 1 and t = 1)::bigint as garbage from x group by 1""")
 def trial_tally(spark, d):
     out = metrics.trial_tally(*_trial(spark, d))
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
