@@ -18,14 +18,18 @@ SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
-    own = tempfile.mkdtemp(prefix="tracewright-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tracewright-")
+    return _OWN_DIRS[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
