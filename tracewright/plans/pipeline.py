@@ -6,6 +6,8 @@ the receipts of model calls and the sink.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +153,7 @@ def run_pipeline(config: RunConfig, episodes: DataFrame, frames: DataFrame | Non
         else:
             goals = corpus.retrieve_seeded(asked, segs, int(config.data["run"].get("seed", 0)), allowed)
         goals = goals.withColumnRenamed("frame_idx", "subgoal_frame_idx")
+    spark.range(1).select(F.lit(json.dumps(strategy.provenance(), sort_keys=True)).alias("value")).write.mode("overwrite").text(f"{out}/strategy")
     canonical(flatten(own, None if meta is None else meta.drop("fps"), segs, goals)).write.mode("overwrite").parquet(f"{out}/annotations")
     return spark.read.parquet(f"{out}/annotations")
 
