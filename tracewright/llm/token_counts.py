@@ -5,8 +5,8 @@ feed, which no piece of the vocabulary holds; both facts are checked on the mode
 of pre-tokens whose piece counts add up. Pieces are counted once per distinct pre-token of the corpus; the counts are
 joined to each document's pre-token frequencies and summed, and no ids of documents are ever made.
 
-Pre-token frequencies follow a power law, so the join has two parts. The ``HEAD`` most frequent pre-tokens, a bounded
-number whatever the corpus, are looked up in a broadcast table while a document's frequencies are made; all others are
+Pre-token frequencies follow a power law, so the join has two parts. The most frequent pre-tokens, at most ``HEAD``
+whatever the corpus, are looked up in a broadcast table while a document's frequencies are made; all others are
 joined by a shuffle. The frequent keys are so never shuffled, and the rest are not skewed.
 
 Definitions: null and empty texts have 0 tokens and 0 bytes. No begin, end or added special tokens; strings of control
@@ -98,11 +98,23 @@ def vocabulary(documents: DataFrame, model_path: str) -> DataFrame:
     return map_arrow(counted.groupBy("token").agg(F.sum("freq").alias("freq")), pieces, "token string, freq long, pieces int")
 
 
+def most_frequent(vocab: DataFrame, head: int) -> DataFrame:
+    """The most frequent pre-tokens, as many whole classes of frequency (eighths of an octave) as ``head`` holds."""
+    graded = vocab.withColumn("grade", F.floor(8 * F.log2("freq")).cast("int"))
+    total, least = 0, None
+    for r in sorted(graded.groupBy("grade").count().collect(), reverse=True):  # at most 8 * 63 rows
+        total += r["count"]
+        if total > head:
+            break
+        least = r["grade"]
+    return graded.where(F.col("grade") >= least) if least is not None else graded.limit(0)
+
+
 def count_tokens(documents: DataFrame, model_path: str, head: int = HEAD) -> DataFrame:
     """All columns of ``documents`` but text, and n_bytes, n_tokens (long); columns of these names are replaced."""
     spark = documents.sparkSession
     vocab = materialize(vocabulary(documents, model_path), "vocabulary")
-    frequent = vocab.orderBy(F.desc("freq"), "token").limit(head).select("token", "pieces").toPandas()  # at most ``head`` rows
+    frequent = most_frequent(vocab, head).select("token", "pieces").toPandas()  # at most ``head`` rows
     table = spark.sparkContext.broadcast(dict(zip(frequent["token"], frequent["pieces"].tolist())))
 
     def frequencies(batch: pa.RecordBatch):
