@@ -1,6 +1,6 @@
 """Token-id output as a content-addressed store.
 
-Every text becomes ids, the end id included. A rolling hash over ``ROLL`` ids cuts each document's stream where its low
+Every text becomes ids, the end id included. A rolling hash over ``ROLL`` ids cuts each document's stream where its high
 bits are zero, so equal passages give equal chunks wherever they stand. A chunk is named by the BLAKE2b-256 digest of
 its ids as little-endian unsigned 32-bit integers and its bytes are stored once. Files, below one folder:
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import operator
 import os
 import re
 import zlib
@@ -34,68 +35,104 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, map_arrow, mix64, new_path, range_hash
+from .common import Powers, map_arrow, mix64, new_path
 
 END_ID = 1
 ROLL = 16
 MASK_BITS = 11
 LEAST, MOST = 256, 1 << 16
 #: Words whose ids a worker remembers; it starts anew beyond that.
-MEMO = 300_000
+MEMO = 500_000
 _SPACE = re.compile(r"[ \t\n\r]+")
-_AFTER_LETTER = re.compile(r"(?<=[A-Za-z])[.,]")
+#: Composed Latin letters, each with one lower-case form, and ASCII marks, no apostrophe, that may follow.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 _POWERS = Powers()
+#: A random value of each common id, by the rule used for all ids.
+_ID_VALUES = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
 class WordEncoder:
-    """Ids of whole texts from remembered ids of the words between ASCII white space.
+    """Ids of whole texts from remembered ids of the words between white space.
 
-    The tokenizer splits at white space before it merges, and drops the white space, so words are independent. For the
-    same reason a space may be put between an ASCII letter and a full stop or comma, where it splits anyway, and ASCII
-    texts may be lower-cased first; both save words to remember. Texts that hold "<|" are left as they are.
+    The tokenizer splits at white space before it merges, and drops the white space, so words are independent. Texts of
+    Latin-1 characters are lower-cased first, as the tokenizer would do, but for texts that hold "<|", whose special
+    strings have a case. A word of Latin letters is one pre-token and ends with its only end-of-word piece, so many are
+    encoded in one call and told apart by those pieces; marks after such a word are a pre-token of their own. For such
+    lower-case words the same model runs without its normalizer and patterns, which leave them as they are.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.memo: dict[str, list[int]] = {"": []}
-
-    def learn(self, words: set[str]) -> None:
-        """A word of ASCII letters is one pre-token and ends with its only end-of-word piece; others go one by one."""
-        plain = [w for w in words if w.isascii() and w.isalpha()]
-        other = [w for w in words if not (w.isascii() and w.isalpha())]
-        for a in range(0, len(plain), 500):
-            part = plain[a : a + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, bytes] = {"": b""}
+
+    def ids_of(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        memo, width = self.memo, self.type.itemsize
+        plain, marked, other = [], [], []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                plain.append(w)
+            elif m := _PLAIN.fullmatch(w):
+                marked.append((w, m[1], m[2]))
+            else:
+                other.append(w)
+        plain = [w for w in dict.fromkeys(itertools.chain(plain, (b for _, b, _ in marked))) if w not in memo]
+        groups = [plain[a : a + 500] for a in range(0, len(plain), 500)]
+        for part, e in zip(groups, self.bare.encode_batch_fast([" ".join(p).lower() for p in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * width
             if len(cuts) != len(part):
-                other += part
+                memo.update((w, self.ids_of(w)) for w in part)
                 continue
-            flat, a0 = ids.tolist(), 0
-            for w, b in zip(part, cuts.tolist()):
-                self.memo[w] = flat[a0:b]
-                a0 = b
+            raw, x = ids.astype(self.type).tobytes(), 0
+            for w, y in zip(part, cuts.tolist()):
+                memo[w] = raw[x:y]
+                x = y
+        for w, base, marks in marked:
+            if marks:
+                if marks not in memo:
+                    memo[marks] = self.ids_of(marks)
+                memo[w] = memo[base] + memo[marks]
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.memo[w] = e.ids
+            memo[w] = np.array(e.ids, self.type).tobytes()
+
+    def words(self, text: str) -> list[str]:
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        # str.split() takes four control characters for white space that the tokenizer does not
+        return _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for a in range(0, len(texts), 64):
-            split = []
-            for t in texts[a : a + 64]:
-                if "<|" not in t:
-                    t = _AFTER_LETTER.sub(r" \g<0>", t.lower() if t.isascii() else t)
-                split.append(_SPACE.split(t))
+        for a in range(0, len(texts), 256):
+            split = [self.words(t) for t in texts[a : a + 256]]
             if len(self.memo) > MEMO:
-                self.memo = {"": []}
+                self.forget()
             known = self.memo
-            self.learn({w for ws in split for w in ws if w not in known})
-            for ws in split:
-                yield np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, ws)), np.uint32)
+            parts = [list(map(known.get, ws)) for ws in split]
+            new = [list(itertools.compress(itertools.count(), map(operator.is_, ps, itertools.repeat(None)))) for ps in parts]
+            self.learn(list({ws[i] for ws, at in zip(split, new) for i in at}))
+            for ws, ps, at in zip(split, parts, new):
+                for i in at:
+                    ps[i] = known[ws[i]]
+                yield np.frombuffer(b"".join(ps), self.type).astype(np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -107,10 +144,11 @@ def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of a stream: content-defined, at least LEAST and at most MOST ids (the last may be shorter)."""
     n = len(ids)
     prefix = np.zeros(n + 1, np.uint64)
-    up, _ = _POWERS.get(n + 1)
-    np.cumsum(mix64(ids.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-    end = np.arange(ROLL, n + 1)
-    marks = end[(range_hash(prefix, end - ROLL, end) & np.uint64((1 << MASK_BITS) - 1)) == 0] if len(end) else end
+    up, down = _POWERS.get(n + 1)
+    values = _ID_VALUES[ids] if n and ids.max() < len(_ID_VALUES) else mix64(ids.astype(np.uint64) + np.uint64(1))
+    np.cumsum(values * up[:n], out=prefix[1:])
+    rolled = (prefix[ROLL:] - prefix[: max(0, n + 1 - ROLL)]) * down[: max(0, n + 1 - ROLL)]
+    marks = np.flatnonzero(rolled >> np.uint64(64 - MASK_BITS) == 0) + ROLL
     cuts, last = [], 0
     for m in itertools.chain(marks.tolist(), [n]):
         while m - last > MOST:
@@ -168,10 +206,12 @@ def write_blocks(documents: DataFrame, tokenizer_path: str, end_id: int, path: s
                     rows.append(("doc", None, len(ids), None, None, doc_id, merkle_root(digests), digests, sizes))
                 kinds = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), id_type, pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        encoder(tokenizer_path).forget()  # a worker that is used again starts small
 
     met = documents.select("doc_id", "text").mapInArrow(blocks, schema)
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(parts, F.coalesce("digest", "root")).sortWithinPartitions("kind", "digest")
+    # chunks meet by digest; documents are spread by doc_id too, so copies of one document don't
+    met = met.repartition(parts, F.xxhash64("digest", "root", "doc_id")).sortWithinPartitions("kind", "digest")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
