@@ -480,7 +480,7 @@ def _annotations(spark, d):
     from ..schema import flatten
 
     segs, episodes = s.conversations(spark, d), s.conversation_episodes(spark, d)
-    meta = s.scores(spark, d).select("episode_id", "quality", "mistake", F.substring("reason", 1, 40).alias("reason"))
+    meta = s.scores(spark, d).select("episode_id", "quality", "mistake", "reason")
     goals = segs.select("episode_id", "segment_idx", F.col("end_frame").alias("subgoal_frame_idx"))
     return flatten(episodes, meta, segs, goals)
 
