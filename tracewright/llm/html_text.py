@@ -30,8 +30,11 @@ MAX_PAD = 60
 MAX_DEPTH = 60
 MAX_SPAN = 1000
 
-_TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?/][^a-zA-Z>][^>]*>|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A quote opens a value only directly after "=" behind a name; elsewhere, and in unquoted values, it is an ordinary character.
+_QUOTABLE = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"{0}\"|'{1}'|{2})"
+_VALUE = _QUOTABLE.format(r"[^\"]*+", r"[^']*+", r"(?![\"'])[^ \t\n\r\f>]++")
+_TAG = re.compile(rf"<(?:!--.*?(?:--!?>|\Z)|[!?/][^a-zA-Z>][^>]*>|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*+)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:{_VALUE})?+)*+)(>|\Z))", re.S)
+_ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:" + _QUOTABLE.format(r"([^\"]*+)", r"([^']*+)", r"((?![\"'])[^ \t\n\r\f>]++)") + r")?+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _BLANK = " \t\n\r\f"
 
