@@ -2,9 +2,10 @@
 
 Tags drive a stack of open elements with the implied starts and ends of the HTML tree rules (paragraphs, list items,
 definitions, options, headings, rows and cells, the head before the body); what an element shows is laid out as it closes.
-All visible text is kept: hidden are the head, scripts, styles, templates, embedded fallbacks, elements with the hidden
-attribute or display:none, closed details but for their summary, closed dialogs, and visibility:hidden as far as no
-descendant is visible again. Scripts are not run, so noscript is shown.
+All visible text is kept but for labels of inline drawings (svg): hidden are the head, scripts, styles, templates,
+embedded fallbacks, elements with the hidden attribute or display:none, closed details but for their summary, closed
+dialogs, and visibility:hidden as far as no descendant is visible again. Scripts are not run, so noscript is shown. Of
+formulas the annotations, phantoms and later alternatives are hidden; rows start lines and cells are set apart.
 
 Layout: blocks start lines, paragraphs, headings, lists, quotes, tables and preformatted text have a blank line around;
 white space collapses but in pre and textarea; list items have bullets or numbers and hang, nested lists and quotes are
@@ -42,7 +43,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text ends only at their own end tag.
 RAW = frozenset("script style iframe noframes noembed xmp title textarea".split())
 HEAD = frozenset("title meta link script style base template noscript bgsound basefont".split())
-NEVER = frozenset("head script style template iframe noframes noembed object canvas audio video datalist title math svg".split())
+NEVER = frozenset("head script style template iframe noframes noembed object canvas audio video datalist title svg".split())
+#: Text inside these parts of a formula is html again.
+MATH_TEXT = frozenset("mi mo mn ms mtext annotation-xml".split())
+#: Html elements that end a formula they stand in.
+ENDS_MATH = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Blank lines around each block.
 BLOCKS = {
     **dict.fromkeys("address article aside body center details dialog dir div dd dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption tr".split(), 0),
@@ -177,6 +182,7 @@ class Renderer:
         self.layouts = 0
         self.head_done = False
         self.pre = 0
+        self.math = 0
 
     # --- the stack of open elements
 
@@ -198,6 +204,7 @@ class Renderer:
         parent = self.stack[-1]
         e = Element(name, parent.own or parent.flow, parent.shown and shown, visible)
         self.stack.append(e)
+        self.math += name == "math"
         return e
 
     def lay_apart(self, e: Element) -> None:
@@ -210,6 +217,7 @@ class Renderer:
         name = e.name
         if name in ("pre", "textarea", "xmp"):
             self.pre -= 1
+        self.math -= name == "math"
         if e.own is not None:
             self.layouts -= 1
             lines = e.own.finish()
@@ -249,7 +257,36 @@ class Renderer:
         if s:
             (flow.raw if self.pre else flow.text)(s)
 
+    def in_math(self) -> int:
+        """Index of the formula whose own markup comes next; 0 if it is html."""
+        return self.find(("math",), MATH_TEXT) if self.math else 0
+
     def start(self, name: str, attributes: str) -> None:
+        if (i := self.in_math()) and name in ENDS_MATH:
+            self.pop_to(i)
+        if name != "math" and not self.in_math():
+            self.start_html(name, attributes)
+            return
+        parent = self.stack[-1]
+        if parent.name in ("semantics", "maction"):
+            parent.count += 1
+        flow = parent.own or parent.flow
+        self.start_html(name, attributes)
+        e = self.stack[-1]
+        if e.name != name:
+            return
+        if name in ("annotation", "annotation-xml") or parent.name in ("semantics", "maction") and parent.count > 1:
+            e.shown = False
+        if name == "mphantom":
+            e.visible = False
+        if e.shown and e.visible:
+            if name == "mtr":
+                flow.block(0)
+            flow.space = flow.space or name == "mtd"
+        if attributes.endswith("/") and all(m.end() < len(attributes) for m in _ATTRIBUTE.finditer(attributes)):
+            self.close()
+
+    def start_html(self, name: str, attributes: str) -> None:
         stack = self.stack
         if name == "body" or name == "html":
             self.pop_to(self.find(("head",), ()))
