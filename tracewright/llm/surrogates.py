@@ -3,13 +3,14 @@
 One pattern finds e-mail addresses, phone and card numbers, IPv4 addresses, hexadecimal secrets (with a digit) and names after a title
 of address. A mention has a type and a canonical form (case, punctuation and title aside); every canonical form of the
 corpus gets one surrogate, so mentions of one entity agree everywhere. It is a keyed digest drawn into the form of the
-original: letters of the same script, digits for digits, the same length and separators; cards keep passing or failing
-the check digit; IPv4 surrogates lie in the reserved range 240.0.0.0/4 and mail domains below ``example``; names follow
+original: letters of the same script, digits for digits, the same length (but for names) and separators; cards
+keep passing or failing the check digit; IPv4 surrogates lie in the reserved range 240.0.0.0/4 and mail domains below ``example``; names follow
 the gender of the title and the script. A mention's surrogate is written with its own punctuation and capitals.
 
 Collision checks: over the distinct entities of the corpus no surrogate may be taken twice within a type, nor equal any
-entity that occurs. Entities that lose are drawn again with the next round number until none does. All of this is on the
-table of distinct entities; texts are only read to find mentions and to write surrogates between the parts they split.
+entity that occurs. Entities that lose are drawn again with the next round number until none does; names grow by a
+syllable every few rounds, so that any number of them finds room. All of this is on the table of distinct entities; texts are only read
+to find mentions and to write surrogates between the parts they split.
 
 Definitions: null texts stay null; texts without mentions stay as they are, byte for byte. Equal texts get equal
 results, whatever their doc_id; every input row gives a row. Columns named n_pii or text are replaced, others kept.
@@ -39,6 +40,7 @@ PATTERN = "|".join((EMAIL, SECRET, IPV4, PHONE, CARD, NAME))
 _SIGNS = sorted({"@", *(t[:3] if t in ("Señora", "Señor", "господин", "госпожа") else "Mr" if t == "Mrs" else t for t in MALE + FEMALE + NEUTRAL)})
 TYPES = ("email", "secret", "ipv4", "phone", "card", "name_male", "name_female", "name_neutral")
 MAX_ROUNDS = 40
+ROUNDS_A_SYLLABLE = 3
 
 #: Alphabets that a letter is redrawn in.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -117,8 +119,12 @@ def _luhn(digits: F.Column) -> F.Column:
     return F.aggregate(doubled, F.lit(0), lambda s, x: s + x) % 10
 
 
-def _name(canon: F.Column, kind: F.Column, digest: F.Column) -> F.Column:
-    """As many words as the original: a given name with the ending of the gender, and a family name."""
+def _name(canon: F.Column, kind: F.Column, digest: F.Column, round_no: int = 0) -> F.Column:
+    """As many words as the original: a given name with the ending of the gender, and a family name.
+
+    Family names have 4 syllables, one more in every ``ROUNDS_A_SYLLABLE`` rounds: their number outgrows the entities.
+    """
+    last = 6 + round_no // ROUNDS_A_SYLLABLE
 
     def in_script(script: str) -> F.Column:
         syllables = F.array(*map(F.lit, _SYLLABLES[script]))
@@ -126,7 +132,7 @@ def _name(canon: F.Column, kind: F.Column, digest: F.Column) -> F.Column:
         end = F.lit("")
         for k, by in _ENDINGS.items():
             end = F.when(kind == k, by[script]).otherwise(end)
-        given, family = F.concat(part(0), part(1), end), F.concat(*(part(i) for i in range(2, 6)))
+        given, family = F.concat(part(0), part(1), end), F.concat(*(part(i) for i in range(2, last)))
         return F.when(canon.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
 
     return F.when(canon.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), in_script("greek")).otherwise(in_script("latin"))
@@ -156,7 +162,7 @@ def draw(canon: F.Column, kind: F.Column, round_no: int, key: str) -> F.Column:
         .when(kind == "secret", _redraw(canon, h, "0123456789abcdef"))
         .when(kind == "card", card)
         .when(kind == "phone", phone)
-        .otherwise(_name(canon, kind, h))
+        .otherwise(_name(canon, kind, h, round_no))
     )
 
 
