@@ -2,6 +2,7 @@
 
 import json
 
+from tracewright.operators import corpus
 from tracewright.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -12,3 +13,14 @@ def test_export_json_lines_carries_whole_texts(spark):
     texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").collect()}
     assert any(len(t or "") > 40 for e, t in texts.items() if e in got)
     assert got == {e: texts.get(e) for e in got}
+
+
+def test_every_candidate_can_be_retrieved(spark):
+    segs = spark.range(600).selectExpr("id div 3 as episode_id", "cast(id % 3 as int) as segment_idx", "' Grasp' as phase", "cast(id as int) as end_frame")
+    goals = segs.selectExpr("episode_id", "segment_idx", "end_frame as frame_idx")
+    got = corpus.retrieve_seeded(goals, segs, 1, segs.where("episode_id >= 100")).collect()
+    assert len(got) == 600 and all(r["retrieved_subgoal_episode_id"] not in (None, r["episode_id"]) for r in got)
+    assert all(r["retrieved_subgoal_frame_idx"] // 3 == r["retrieved_subgoal_episode_id"] >= 100 for r in got)
+    assert len({r["retrieved_subgoal_frame_idx"] for r in got}) > 200  # of 300
+    alone = corpus.retrieve_seeded(goals, segs, 1, segs.where("episode_id = 100")).collect()
+    assert {(r["episode_id"] == 100, r["retrieved_subgoal_episode_id"]) for r in alone} == {(True, None), (False, 100)}

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -155,8 +155,35 @@ def retrieve_nearest(subgoals: DataFrame, segments: DataFrame, embeddings: DataF
     return keyed.join(best, "__id", "left").drop("__id")
 
 
-def retrieve_seeded(subgoals: DataFrame, segments: DataFrame, seed: int = 0, allowed: DataFrame | None = None, salts: int = 16) -> DataFrame:
-    """subgoals with a same-phase frame of another episode picked by seed: the smallest keyed hash wins.
+def retrieve_seeded(subgoals: DataFrame, segments: DataFrame, seed: int = 0, allowed: DataFrame | None = None) -> DataFrame:
+    """subgoals with a same-phase frame of another episode picked by seed among all there are.
+
+    Candidates of a phase are numbered so that an episode's stand together: by the first three digits of the episode's
+    hash, episode and frame, with sums per digits first. A subgoal draws a place among those of other episodes by its
+    own hash, steps over its own episode's run, and meets its pick by an equi-join.
+    """
+    part = F.substring(F.md5(F.col("episode_id").cast("string")), 1, 3)
+    c = candidates_by_phase(segments, allowed)
+    held = c.groupBy("phase", "episode_id").agg(F.count("*").alias("m"))
+    every = segments.select(_phase(F.col("phase")).alias("phase"), "episode_id").where("phase is not null").distinct()
+    runs = every.join(held, ["phase", "episode_id"], "left").select("phase", "episode_id", part.alias("part"), F.coalesce("m", F.lit(0)).alias("m"))
+    whole, before = Window.partitionBy("phase"), lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = runs.groupBy("phase", "part").agg(F.sum("m").alias("m"))  # 4,096 rows a phase at most
+    sums = sums.select("phase", "part", F.coalesce(F.sum("m").over(before("phase", "part")), F.lit(0)).alias("start"), F.sum("m").over(whole).alias("n"))
+    inside = F.coalesce(F.sum("m").over(before("phase", "part", "episode_id")), F.lit(0))
+    runs = runs.withColumn("inside", inside).join(sums, ["phase", "part"]).select("phase", "episode_id", "m", "n", (F.col("start") + F.col("inside")).alias("first"))
+    own = F.row_number().over(Window.partitionBy("phase", "episode_id").orderBy("frame_idx")) - 1
+    numbered = c.withColumn("own", own).join(runs, ["phase", "episode_id"])
+    numbered = numbered.select("phase", (F.col("first") + F.col("own")).alias("place"), F.col("episode_id").alias("retrieved_subgoal_episode_id"), F.col("frame_idx").alias("retrieved_subgoal_frame_idx"))
+    asked = subgoals.join(segments.select("episode_id", "segment_idx", _phase(F.col("phase")).alias("phase")), ["episode_id", "segment_idx"], "left").join(runs, ["phase", "episode_id"], "left")
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "episode_id", "segment_idx")), 1, 15), 16, 10).cast("long")
+    drawn = F.when(F.col("n") > F.col("m"), F.pmod(h, F.col("n") - F.col("m")))
+    met = asked.withColumn("place", drawn + F.when(drawn >= F.col("first"), F.col("m")).otherwise(0)).join(numbered, ["phase", "place"], "left")
+    return met.select(*subgoals.columns, "retrieved_subgoal_episode_id", "retrieved_subgoal_frame_idx")
+
+
+def retrieve_drawn(subgoals: DataFrame, segments: DataFrame, seed: int = 0, allowed: DataFrame | None = None, salts: int = 16) -> DataFrame:
+    """As ``retrieve_seeded`` in the form that the SQL of the query of that name has: only 32 frames a phase are ever picked.
 
     A candidate's hash doesn't depend on the subgoal, so a phase needs only its two best candidates of different
     episodes in each of ``salts`` draws; subgoals choose a draw by their own hash. No subgoal meets all candidates.

@@ -219,6 +219,15 @@ select q.episode_id, q.segment_idx::bigint as segment_idx, q.frame_idx::bigint a
   case when a.episode_id <> q.episode_id or b.episode_id is not null then 0::bigint end as retrieved_subgoal_frame_idx
 from q left join rk a on a.phase = q.phase and a.draw = q.draw and a.k = 1 left join rk b on b.phase = q.phase and b.draw = q.draw and b.k = 2""")
 def retrieve_seeded(spark, d):
+    """The form of the SQL, 16 draws a phase; ``retrieve_seeded_all`` and the engine's runs pick among all candidates."""
+    return corpus.retrieve_drawn(*_phased(spark, d))
+
+
+@query(f"""with {RET}, p as (select *, row_number() over (partition by phase order by substr(md5(episode_id::varchar), 1, 3), episode_id) - 1 as place, count(*) over (partition by phase) as n from sg),
+q as (select *, case when n > 1 then ('0x' || substr(md5(concat_ws(':', 0, episode_id, segment_idx)), 1, 15))::bigint % (n - 1) end as j from p)
+select q.episode_id, q.segment_idx::bigint as segment_idx, q.frame_idx::bigint as frame_idx, p.episode_id as retrieved_subgoal_episode_id, case when p.episode_id is not null then 0::bigint end as retrieved_subgoal_frame_idx
+from q left join p on p.phase = q.phase and p.place = case when q.j >= q.place then q.j + 1 else q.j end""")
+def retrieve_seeded_all(spark, d):
     return corpus.retrieve_seeded(*_phased(spark, d))
 
 
