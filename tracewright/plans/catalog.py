@@ -352,9 +352,10 @@ def gate_contradictions(spark, d):
 
 @query()
 def gate_all(spark, d):
-    """Every rule over conversations scored by labels."""
+    """Every rule over conversations scored by labels, documents as observations."""
     segs = s.conversations(spark, d)
-    return gate.run_gate(segs.select("episode_id").distinct(), segs, s.scores(spark, d))
+    seen = s.table(spark, d, "documents").select(F.col("doc_id").alias("episode_id"), F.col("text").alias("observation"), F.lit("talk").alias("task"))
+    return gate.run_gate(segs.select("episode_id").distinct(), segs, s.scores(spark, d), seen)
 
 
 @query(f"with {ORD} select episode_id from os where k >= 2 and not (k >= 3 and m > 0 and cv < 0.12)")
@@ -520,6 +521,13 @@ def thumb_frames(spark, d):
     return views.thumb_frames(s.conversation_episodes(spark, d), goals)
 
 
+@query()
+def thumb_frames_all(spark, d):
+    """With the subgoals of all episodes."""
+    goals = s.conversations(spark, d).select("episode_id", "segment_idx", F.col("end_frame").alias("subgoal_frame_idx"))
+    return views.thumb_frames(s.conversation_episodes(spark, d), goals)
+
+
 @query(f"with {CONV}, {SC}, e as (select distinct episode_id from seg) select e.episode_id::varchar as episode_id, array_to_string(list_filter(['segmentation', case when quality is not null then 'quality' end, 'subgoals', 'novelty'], lambda x: x is not null), ',') as modules from e join sc on e.episode_id = sc.episode_id")
 def enabled_modules(spark, d):
     from ..schema import conform, segments_of, subgoals_of
@@ -535,6 +543,12 @@ def episode_payloads(spark, d):
     return views.episode_payloads(s.conversation_episodes(spark, d), _tracks(spark, d), none).select("episode_id", "sort_iou", "n_flags")
 
 
+@query()
+def episode_payloads_all(spark, d):
+    """With the flags of all rules."""
+    return views.episode_payloads(s.conversation_episodes(spark, d), _tracks(spark, d), gate_all(spark, d)).select("episode_id", "sort_iou", "n_flags")
+
+
 @query(f"with {SC} select 'docs::' || episode_id as episode_id, row_number() over (order by quality desc nulls last, episode_id) as place from sc")
 def gallery_sort(spark, d):
     from pyspark.sql import Window
@@ -569,6 +583,33 @@ def gold_sync(spark, d):
     return gold.synchronise(fresh, g.where("episode_id % 2 = 0")).select("episode_id", F.col("gold.metadata.quality").alias("quality"))
 
 
+def _gold_labels(spark, d):
+    """The whole gold table with the labels as human judgements; episodes whose labels are null are not reviewed."""
+    lab = s.scores(spark, d).select("episode_id", F.col("quality").cast("int").alias("__q"), F.col("mistake").alias("__m"))
+    none = F.lit(None)
+    meta = F.struct(F.col("__q").alias("quality"), F.col("__m").alias("mistake"), none.cast("string").alias("reason"), none.cast("boolean").alias("accept_auto"))
+    return _gold(spark, d).join(lab, "episode_id", "left").withColumn("gold", F.col("gold").withField("metadata", meta)).drop("__q", "__m")
+
+
+@query()
+def gold_update_all(spark, d):
+    """The labels as edits, laid over a gold table without human labels."""
+    g = _gold_labels(spark, d)
+    seg = "array<struct<segment_idx:int,fields:map<string,string>>>"
+    m = F.col("gold.metadata")
+    edits = g.where(gold.is_reviewed()).select("episode_id", m["quality"].alias("quality"), m["mistake"].alias("mistake"), F.lit("seen").alias("reason"), F.lit(False).alias("accept_auto_metadata"), F.array().cast(seg).alias("subtasks"), F.array().cast(seg).alias("subgoals"), F.lit(None).cast("string").alias("review_notes"))
+    empty = g.withColumn("gold", F.lit(None).cast(dict(g.dtypes)["gold"]))
+    return gold.update_reviews(empty, edits).select("episode_id", F.col("gold.metadata.quality").alias("quality"), F.col("gold.metadata.mistake").alias("mistake"), F.col("gold.metadata.reason").alias("reason"))
+
+
+@query()
+def gold_sync_all(spark, d):
+    """Fresh template of every episode; all human labels are kept."""
+    g = _gold_labels(spark, d)
+    fresh = g.withColumn("gold", F.lit(None).cast(dict(g.dtypes)["gold"]))
+    return gold.synchronise(fresh, g).select("episode_id", F.col("gold.metadata.quality").alias("quality"))
+
+
 # --- segmentation folds and providers
 
 
