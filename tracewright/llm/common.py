@@ -54,6 +54,24 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if small(df, limit // row_bytes) else df
 
 
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", share: int = 2000, least: int = 200) -> DataFrame:
+    """``left`` joined with ``right`` (inner or left) on equal columns, no task with more than its part of a frequent key.
+
+    A key that holds over 1/``share`` of left's rows (at most ``share`` keys do, so their table may be broadcast) is dealt
+    out by the hash of the columns ``spread``, and right's rows of it are repeated for every part. Left is read twice.
+    """
+    n = max(least, left.count() // share)
+    hot = materialize(left.groupBy(*on).agg(F.count("*").alias("__c")).where(F.col("__c") > n).select(*on, F.ceil(F.col("__c") / n).cast("int").alias("__c")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    hot = F.broadcast(hot)
+    salt = F.when(F.col("__c").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread, F.lit(7)), "__c")).cast("int")
+    every = F.sequence(F.lit(0), F.coalesce("__c", F.lit(1)) - 1)
+    a = left.join(hot, on, "left").withColumn("__salt", salt).drop("__c")
+    b = right.join(hot, on, "left").withColumn("__salt", F.explode(every)).drop("__c")
+    return a.join(b, [*on, "__salt"], how).drop("__salt")
+
+
 def content_key(text) -> F.Column:
     """128-bit digest of a text, null as the empty text; equal texts share their work and their result."""
     return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
