@@ -47,7 +47,7 @@ LEAST, MOST = 256, 1 << 16
 FAN = 1024
 SHARD_DOCS = 500_000
 #: Bytes of text that are encoded at once (one text at least).
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 6 << 20
 #: Composed Latin letters, each with one lower-case form, and ASCII marks, no apostrophe, that may follow.
 _LETTERS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+"
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
