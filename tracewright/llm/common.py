@@ -54,14 +54,16 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if small(df, limit // row_bytes) else df
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", share: int = 2000, least: int = 200) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None, share: int = 2000, least: int = 200) -> DataFrame:
     """``left`` joined with ``right`` (inner or left) on equal columns, no task with more than its part of a frequent key.
 
     A key that holds over 1/``share`` of left's rows (at most ``share`` keys do, so their table may be broadcast) is dealt
-    out by the hash of the columns ``spread``, and right's rows of it are repeated for every part. Left is read twice.
+    out by the hash of the columns ``spread``, and right's rows of it are repeated for every part. Left is read twice, or only
+    counted if ``counts`` has its rows per key as __c.
     """
     n = max(least, left.count() // share)
-    hot = materialize(left.groupBy(*on).agg(F.count("*").alias("__c")).where(F.col("__c") > n).select(*on, F.ceil(F.col("__c") / n).cast("int").alias("__c")), "hot-keys")
+    counts = left.groupBy(*on).agg(F.count("*").alias("__c")) if counts is None else counts
+    hot = materialize(counts.where(F.col("__c") > n).select(*on, F.ceil(F.col("__c") / n).cast("int").alias("__c")), "hot-keys")
     if hot.isEmpty():
         return left.join(right, on, how)
     hot = F.broadcast(hot)

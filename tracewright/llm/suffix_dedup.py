@@ -3,25 +3,29 @@
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same document or another.
 
 Inserting one symbol per document and round needs as many rounds as the longest document has bytes, each over the whole
-collection. Strings of a bounded length need less: documents are cut into aligned pieces first, so rounds are bounded by
-the length searched for and pieces that can't match never meet.
+collection. Strings of a bounded length need less: windows that are proved to occur once leave first, the rest stand in
+aligned pieces, so rounds are bounded by the length searched for.
 
 1. Anchors. In every window of ``length`` bytes the ``gram`` bytes of smallest hash are its anchor, the leftmost of
-   equals. Equal windows have equal anchors at equal places. A piece is a longest run of windows with one anchor.
-2. Anchors are counted over the corpus; one that occurs once has no repeated window. Where all pieces of an anchor are
-   equal (by digest), all their windows are repeated. For the others one copy of each distinct piece is fetched.
+   equals. Equal windows have equal anchors at equal places, so windows of an anchor that occurs once are unique. That is
+   all that anchors decide. A piece is a longest run of windows with one anchor.
+2. One copy of each distinct piece of the other anchors is fetched; one that occurs more than once enters the collection
+   twice, which shows as much as all its copies would.
 3. Pieces are dealt by anchor and stand aligned on it: equal windows of an anchor start in the same column. From the last
    column to the first each round inserts one symbol of every piece: the order of the suffixes that start in this
    column follows from that of the next column by a stable distribution on the inserted symbol, which lists the BWT of
    the collection column by column; the common prefix of neighbours is one more than the least one between them before, or none
    where symbols differ. Symbols, order and prefixes live in sequential files of the task. Neighbours with a common
-   prefix of ``length`` or more are repeated windows.
+   prefix of ``length`` or more are repeated windows; nothing else makes a window count as repeated.
 4. Windows are carried back to all copies of their piece and merged into spans of each text.
 
-An anchor with more than ``HOT`` distinct pieces isn't collected in a task: its windows are counted by digest instead.
+An anchor with more than ``HOT`` distinct pieces would be too much for a task. Its windows get longer anchors: those that
+reach half of the missing bytes to its left take these bytes in, the others reach the rest to its right and take that.
+The missing bytes halve each time, so after log2(length) times an anchor is the whole window and has one distinct piece.
 
-Definitions: null texts are empty. Copies of a text are counted, not compared: texts of ``length`` bytes or more that
-occur twice are removed whole. Repeated rows count as occurrences and get a row each; shorter texts never change.
+Definitions: null texts are empty. Copies of a text are stored once with their number, which counts as occurrences.
+Repeated rows count as occurrences and get a row each; texts under ``length`` bytes never change. Only doc_id and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,11 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, map_arrow, materialize, new_path, prefix_hash, range_hash, scale_to_parts, sliding_min
+from .common import content_key, join_salted, map_arrow, materialize, maybe_broadcast, new_path, prefix_hash, range_hash, scale_to_parts, sliding_min
 
 LENGTH = 400
 GRAM = 128
-HOT = 50_000
+#: Distinct pieces of an anchor that one task compares; anchors with more are lengthened.
+HOT = 20_000
+#: A key with over 1/SHARE of all documents (at most SHARE are) is joined by broadcast.
+SHARE = 2000
 #: Bytes of text hashed at once, under 2**PLACE_BITS; longer texts are cut so that each window is seen once.
 SEGMENT = 1 << 20
 PLACE_BITS = 22
@@ -105,10 +112,10 @@ ANCHORED = "k1 long, k2 long, text binary, copies long, anchors array<struct<h:l
 
 
 def anchored_texts(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k1, k2, text, copies, anchors): texts of ``length`` bytes or more, once per task, with their pieces.
+    """(k1, k2, text, copies, anchors): each distinct text of ``length`` bytes or more with its pieces.
 
     Written as a table bucketed by content key, so that later joins on the key move neither texts nor anchors again.
-    Copies leave a task as a number, so a hot text has a row for each task, not for each copy.
+    Copies leave a task as a number, so a hot text moves once for each task, not for each copy.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +149,8 @@ def anchored_texts(documents: DataFrame, length: int, gram: int) -> DataFrame:
     spark = documents.sparkSession
     long_texts = documents.where(F.octet_length("text") >= length).select(content_key("text").alias("key"), F.col("text").cast("binary").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = long_texts.mapInArrow(compute, ANCHORED).repartition(parts, "k1", "k2")
+    dealt = long_texts.mapInArrow(compute, ANCHORED).repartition(parts, "k1", "k2")
+    made = dealt.groupBy("k1", "k2").agg(F.first("text", True).alias("text"), F.sum("copies").alias("copies"), F.first("anchors", True).alias("anchors"))
     name = f"anchored_{uuid.uuid4().hex}"
     made.write.bucketBy(parts, "k1", "k2").option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(name)
     return spark.table(name)
@@ -218,7 +226,7 @@ SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def compare_pieces(pieces: DataFrame, n: int, length: int) -> DataFrame:
-    """(h, p1, p2, rel, piece) of distinct pieces -> (p1, p2, spans): windows that another piece of the anchor has."""
+    """(h, p1, p2, rel, twice, piece) of distinct pieces -> (p1, p2, spans): windows that occur again."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -226,12 +234,15 @@ def compare_pieces(pieces: DataFrame, n: int, length: int) -> DataFrame:
 
         def done(table: pa.Table):
             if table.num_rows:
-                flags = repeated_columns(table.column("piece").to_pylist(), table.column("rel").to_numpy().astype(np.int64), length)
+                times = 1 + table.column("twice").to_numpy(zero_copy_only=False).astype(np.int64)
+                which = np.repeat(np.arange(table.num_rows), times)
+                pieces = table.column("piece").to_pylist()
+                rel = table.column("rel").to_numpy().astype(np.int64)
+                flags = repeated_columns([pieces[i] for i in which.tolist()], rel[which], length)[np.cumsum(times) - times]
                 some = np.flatnonzero(flags.any(axis=1))
                 kept = table.select(["p1", "p2"]).take(pa.array(some)).combine_chunks()
                 spans = pa.array(_runs(flags[some]), SPANS)
-                for part in kept.append_column("spans", spans).to_batches():
-                    yield part
+                yield from kept.append_column("spans", spans).to_batches()
 
         for batch in batches:
             held.append(batch)
@@ -247,73 +258,88 @@ def compare_pieces(pieces: DataFrame, n: int, length: int) -> DataFrame:
             yield from done(pa.Table.from_batches(held))
 
     parts = max(scale_to_parts(n, BLOCK_PIECES), int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pieces.select("h", "p1", "p2", "rel", "piece").repartition(parts, "h").sortWithinPartitions("h")
+    dealt = pieces.select("h", "p1", "p2", "rel", "twice", "piece").repartition(parts, "h").sortWithinPartitions("h")
     return dealt.mapInArrow(solve, "p1 long, p2 long, spans array<struct<a:int,b:int>>")
 
 
-def count_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many pieces for a task: windows are counted by digest over the cluster."""
+def _with_text(texts: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """(k1, k2, text, wanted): texts with the structs that are wanted of them; texts stay where they are."""
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    return texts.select("k1", "k2", "text").join(lists.hint("shuffle_hash"), ["k1", "k2"])
 
-    def windows(batch: pa.RecordBatch):
-        for p1, p2, piece in zip(*(batch.column(c).to_pylist() for c in ("p1", "p2", "piece"))):
-            n = len(piece) - length + 1
-            w1, w2 = _halves([hashlib.blake2b(piece[i : i + length], digest_size=16).digest() for i in range(n)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p1)), pa.array(np.full(n, p2)), pa.array(np.arange(n, dtype=np.int32)), pa.array(w1), pa.array(w2)], ["p1", "p2", "a", "w1", "w2"])
 
-    rows = map_arrow(pieces.select("p1", "p2", "piece"), windows, "p1 long, p2 long, a int, w1 long, w2 long")
-    twice = rows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    found = rows.join(twice, ["w1", "w2"], "left_semi")
-    return found.groupBy("p1", "p2").agg(F.collect_list(F.struct("a", (F.col("a") + 1).alias("b"))).alias("spans"))
+ROWS = {"h": pa.int64(), "p1": pa.int64(), "p2": pa.int64(), "off": pa.int64(), "n": pa.int32(), "rel": pa.int32(), "gram": pa.int32()}
 
 
-def repeated_spans(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+def lengthen(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """The windows of ``rows`` again, in pieces of longer anchors."""
+
+    def split(batch: pa.RecordBatch):
+        out: list[tuple] = []
+        for k1, k2, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "wanted"))):
+            for w in wanted:
+                missing, at = length - w["gram"], w["off"] + w["rel"]
+                half = -(-missing // 2)
+                left = max(0, min(w["n"], w["rel"] - half + 1))  # windows that begin half or more before the anchor
+                for first, n, begin, gram in ((0, left, at - half, w["gram"] + half), (left, w["n"] - left, at, w["gram"] + missing - half + 1)):
+                    if n > 0:
+                        off, gram = w["off"] + first, min(gram, length)
+                        name = hashlib.blake2b(text[begin : begin + gram] + gram.to_bytes(4, "little"), digest_size=8).digest()
+                        rel = begin - off
+                        piece = hashlib.blake2b(text[off : off + n + length - 1] + rel.to_bytes(4, "little"), digest_size=16).digest()
+                        p = [int.from_bytes(x, "little", signed=True) for x in (name, piece[:8], piece[8:])]
+                        out.append((k1, k2, w["weight"], *p, off, n, rel, gram))
+        kinds = {"k1": pa.int64(), "k2": pa.int64(), "weight": pa.int32()} | ROWS
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+    found = _with_text(texts, rows, ["off", "n", "rel", "gram", "weight"])
+    return map_arrow(found, split, "k1 long, k2 long, weight int, h long, p1 long, p2 long, off long, n int, rel int, gram int")
+
+
+def met_pieces(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose anchor occurs again, their distinct pieces with the number of occurrences and one place of each)."""
+    counts = materialize(rows.groupBy("h").agg(F.sum("weight").alias("c"), F.count("*").alias("__c")).where("c > 1").drop("c"), "repeated-anchors")
+    met = materialize(join_salted(rows, counts.select("h"), ["h"], ["k1", "k2", "off"], counts=counts), "met-pieces")
+    place = F.struct("k1", "k2", "off", "n", "rel", "gram")
+    pieces = met.groupBy("h", "p1", "p2").agg((F.sum("weight") > 1).alias("twice"), F.first(place).alias("place"))
+    return met, materialize(pieces.select("h", "p1", "p2", "twice", "place.*"), "distinct-pieces")
+
+
+def repeated_spans(texts: DataFrame, length: int, gram: int, hot: int = HOT) -> DataFrame:
     """(k1, k2, spans): starts of repeated windows of each text that ``anchored_texts`` holds, as runs a to b."""
-    rows = texts.where("anchors is not null").select("k1", "k2", F.inline("anchors"))
-    # copies of one text in several tasks, or in one, are occurrences; a row without text has those of a task
-    more = texts.groupBy("k1", "k2").agg(F.sum("copies").alias("copies")).where("copies > 1")
-    twice = texts.where("text is not null").select("k1", "k2", F.octet_length("text").alias("size")).join(more, ["k1", "k2"], "left_semi").distinct()
-    whole_texts = twice.select("k1", "k2", F.lit(0).cast("long").alias("a"), (F.col("size") - length + 1).cast("long").alias("b"))
-
-    by_anchor = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("p1").alias("x"), F.max("p1").alias("y"), F.min("p2").alias("x2"), F.max("p2").alias("y2"))
-    by_anchor = by_anchor.where("c > 1").select("h", ((F.col("x") < F.col("y")) | (F.col("x2") < F.col("y2"))).alias("differ"))
-    met = materialize(rows.join(by_anchor, "h"), "repeated-anchors")
-    # equal pieces: at two places or more all their windows are repeated, whatever else has their anchor
-    pieces = met.where("differ").groupBy("h", "p1", "p2").agg(
-        F.count("*").alias("c"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("off").alias("off"), F.first("n").alias("n"), F.first("rel").alias("rel")
-    )
-    pieces = materialize(pieces, "distinct-pieces")
-    wanted = pieces.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "p1", "p2", "off", "n", "rel")).alias("wanted"))
-    source = texts.where("text is not null").select("k1", "k2", "text").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
+    weight = F.least("copies", F.lit(2)).cast("int").alias("weight")
+    rows = texts.select("k1", "k2", weight, F.inline("anchors")).withColumn("gram", F.lit(gram))
+    starts = None
+    while True:
+        met, pieces = met_pieces(rows)
+        large = pieces.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("h")
+        large = materialize(large, "large-anchors")
+        last = large.isEmpty()
+        if not last:
+            large = maybe_broadcast(large, 16)
+            rows = materialize(lengthen(texts, met.join(large, "h", "left_semi"), length), "longer-anchors")
+            met, pieces = met.join(large, "h", "left_anti"), pieces.join(large, "h", "left_anti")
+        spans = found_spans(texts, met, pieces, length)
+        starts = spans if starts is None else starts.unionByName(spans)
+        if last:
+            return starts.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+
+
+def found_spans(texts: DataFrame, met: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, a, b): runs of repeated windows of all rows, by the construction over their distinct pieces."""
 
     def fetch(batch: pa.RecordBatch):
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-            cols = [pa.array([w[c] for w in wanted], t) for c, t in (("h", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("rel", pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([text[w["off"] : w["off"] + w["n"] + length - 1] for w in wanted], pa.binary())], ["h", "p1", "p2", "rel", "piece"])
-
-    fetched = map_arrow(source.select("text", "wanted"), fetch, "h long, p1 long, p2 long, rel int, piece binary")
-    per_anchor = pieces.groupBy("h").agg(F.count("*").alias("c"))
-    hot_anchors = materialize(per_anchor.where(F.col("c") > hot).select("h"), "hot-anchors")
-    n = pieces.count()
-    if hot_anchors.isEmpty():
-        found = compare_pieces(fetched.dropDuplicates(["p1", "p2"]) if _has_copies(texts) else fetched, n, length)
-    else:
-        fetched = materialize(fetched.dropDuplicates(["p1", "p2"]), "pieces")
-        found = compare_pieces(fetched.join(hot_anchors, "h", "left_anti"), n, length).union(count_windows(fetched.join(hot_anchors, "h", "left_semi"), length))
-    # a piece that occurs twice is repeated from end to end
-    spans = pieces.where("c > 1").select("p1", "p2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans")).union(found)
-    again = met.where("differ").select("k1", "k2", "off", "p1", "p2").join(spans.select("p1", "p2", F.inline("spans")), ["p1", "p2"])
-    starts = (
-        met.where("not differ").select("k1", "k2", F.col("off").alias("a"), (F.col("off") + F.col("n")).alias("b"))
-        .union(again.select("k1", "k2", F.col("off") + F.col("a"), F.col("off") + F.col("b")))
-        .union(whole_texts)
-    )
-    return starts.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
-
-
-def _has_copies(texts: DataFrame) -> bool:
-    """Some text is stored by more than one task, so that its pieces are fetched more than once."""
-    stored = texts.where("text is not null").groupBy("k1", "k2").agg(F.count("*").alias("c"))
-    return not stored.where("c > 1").isEmpty()
+            kinds = {"h": pa.int64(), "p1": pa.int64(), "p2": pa.int64(), "rel": pa.int32(), "twice": pa.bool_()}
+            cols = [pa.array([w[c] for w in wanted], t) for c, t in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([text[w["off"] : w["off"] + w["n"] + length - 1] for w in wanted], pa.binary())], [*kinds, "piece"])
+
+    source = _with_text(texts, pieces, ["h", "p1", "p2", "off", "n", "rel", "twice"]).select("text", "wanted")
+    fetched = map_arrow(source, fetch, "h long, p1 long, p2 long, rel int, twice boolean, piece binary")
+    found = materialize(compare_pieces(fetched, pieces.count(), length), "repeated-pieces")
+    again = join_salted(met.select("k1", "k2", "off", "p1", "p2"), found, ["p1", "p2"], ["k1", "k2", "off"])
+    again = again.select("k1", "k2", "off", F.inline("spans"))
+    return again.select("k1", "k2", (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b"))
 
 
 def cut_texts(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
@@ -337,7 +363,7 @@ def cut_texts(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], ["k1", "k2", "kept", "removed"])
 
-    joined = texts.where("text is not null").select("k1", "k2", "text").join(spans.hint("shuffle_hash"), ["k1", "k2"])
+    joined = texts.select("k1", "k2", "text").join(spans.hint("shuffle_hash"), ["k1", "k2"])
     return map_arrow(joined, cut, "k1 long, k2 long, kept binary, removed array<struct<a:long,b:long>>")
 
 
@@ -357,15 +383,39 @@ def key_halves(text: str = "text") -> dict[str, F.Column]:
 def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(k1, k2, kept, removed) of each distinct text that loses bytes; ``key_halves`` names the texts of documents."""
     texts = anchored_texts(documents, length, min(gram, length))
-    return cut_texts(texts, repeated_spans(texts, length, hot), length)
+    return cut_texts(texts, repeated_spans(texts, length, min(gram, length), hot), length)
+
+
+def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, removed, kept) of every row: the removed runs as byte ranges [a, b) and the bytes that are left.
+
+    Rows find their text by content key where it lies. A text with copies loses all its bytes, so of the at most
+    ``SHARE`` texts with very many copies only the ranges are broadcast.
+    """
+    texts = anchored_texts(documents, length, min(gram, length))
+    cut = materialize(cut_texts(texts, repeated_spans(texts, length, min(gram, length), hot), length), "cut-texts")
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < length
+    own = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), *(c.alias(k) for k, c in key_halves().items()), F.when(short, F.coalesce("text", F.lit("")).cast("binary")).alias("kept"))
+    own = materialize(own, "document-keys")
+    none = F.array().cast(cut.schema["removed"].dataType)
+    out = own.where("kept is not null").select("doc_id", "n_bytes", none.alias("removed"), "kept")
+    rows = own.where("kept is null").drop("kept")
+    many = max(200, rows.count() // SHARE)
+    hot_texts = materialize(texts.where(F.col("copies") > many).select("k1", "k2").join(cut.select("k1", "k2", "removed"), ["k1", "k2"]), "hot-texts")
+    if not hot_texts.isEmpty():
+        hot_texts = F.broadcast(hot_texts)
+        out = out.union(rows.join(hot_texts, ["k1", "k2"]).select("doc_id", "n_bytes", "removed", F.lit(b"").alias("kept")))
+        rows = rows.join(hot_texts, ["k1", "k2"], "left_anti")
+    told = texts.select("k1", "k2", "text").join(cut, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("removed", none).alias("removed"), F.coalesce("kept", "text").alias("kept"))
+    return out.union(rows.join(told, ["k1", "k2"]).select("doc_id", "n_bytes", "removed", "kept"))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Contract query: what repeated strings of 400 bytes leave of every document."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cut = removals(documents)
+    """Contract query: what repeated strings of 400 bytes leave of every document.
+
+    text is what is kept, with U+FFFD for characters that are cut in two.
+    """
+    cut = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
-    told = cut.select("k1", "k2", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["k1", "k2"])
-    own = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("own"), *(c.alias(k) for k, c in key_halves().items()))
-    none = F.lit(0).cast("long")
-    return own.join(told, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
