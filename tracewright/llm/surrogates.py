@@ -1,33 +1,49 @@
 """Surrogates for personal data; DataFrame functions only.
 
-One pattern finds e-mail addresses, phone and card numbers, IPv4 addresses, hexadecimal secrets (with a digit) and names after a title
-of address. A mention has a type and a canonical form (case, punctuation and title aside); every canonical form of the
-corpus gets one surrogate, so mentions of one entity agree everywhere. It is a keyed digest drawn into the form of the
-original: letters of the same script, digits for digits, the same length (but for names) and separators; cards
-keep passing or failing the check digit; IPv4 surrogates lie in the reserved range 240.0.0.0/4 and mail domains below ``example``; names follow
-the gender of the title and the script. A mention's surrogate is written with its own punctuation and capitals.
+Found are e-mail addresses, phone, card and US social-security numbers, IPv4 and IPv6 addresses, hexadecimal secrets
+(with a digit), keys of the common prefixes (``KEY``), names after a title of address, and in a text with such a name the
+same full or family name without a title. Names that no title introduces anywhere in their text are not found: that
+takes a model of language, which column functions are not.
+
+A mention has a type and a canonical form (case, punctuation and title aside). Every canonical form of the corpus gets
+one surrogate, so mentions of one entity agree everywhere. It is an HMAC-SHA256 drawn into the form of the original:
+letters of the same script, digits for digits, the same length (but for names) and separators; cards keep passing or
+failing the check digit; IPv4 surrogates lie in the reserved range 240.0.0.0/4, social-security numbers in the never
+issued 900s, and mail domains below ``example``. Parts that are shared stay shared: the words of names are
+entities of their own, and so are mail domains, so ``Mr John Smith``, ``Dr Smith`` and ``John Smith`` agree in what they
+have in common. A word that is a given name somewhere takes the gender of the titles before it, neutral if they
+differ. A mention's surrogate is written with its own title, punctuation and capitals.
 
 Collision checks: over the distinct entities of the corpus no surrogate may be taken twice within a type, nor equal any
-entity that occurs. Entities that lose are drawn again with the next round number until none does; names grow by a
-syllable every few rounds, so that any number of them finds room. All of this is on the table of distinct entities; texts are only read
-to find mentions and to write surrogates between the parts they split.
+entity that occurs. Entities that lose are drawn again with the next round number until none does. Names have as many
+syllables as their number asks for and, like mail names and domains, grow every few rounds, so any number finds room. All of this is
+on the table of distinct entities; texts are only read to find mentions and to write surrogates between the parts they split.
 
 Definitions: null texts stay null; texts without mentions stay as they are, byte for byte. Equal texts get equal
-results, whatever their doc_id; every input row gives a row. Columns named n_pii or text are replaced, others kept.
+results, whatever their doc_id; every input row gives a row. Columns named n_pii or text are replaced, others kept, those
+that begin with two underscores and a helper's name (__key, __s) replaced too.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, materialize
+from .common import content_key, join_salted, materialize
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
 SECRET = r"(?<![0-9A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?![0-9A-Fa-f])"
 IPV4 = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d.-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\d)"
+IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
+SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
+#: Keys with a fixed beginning, which surrogates keep, and a digit.
+KEY = r"(?<![A-Za-z0-9])(?=[A-Za-z_-]*[0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"
+_KEY_START = r"^(?:AKIA|ASIA|akia|asia|gh[pousr]_|(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?|xox[abprs]-|AIza)"
 CARD = r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
 #: Titles of address by gender; fixed values.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Κύριος"]
@@ -35,10 +51,10 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "го
 NEUTRAL = ["Mx", "Dr", "Prof"]
 _TITLE = rf"(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.?"
 NAME = rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-PATTERN = "|".join((EMAIL, SECRET, IPV4, PHONE, CARD, NAME))
+PATTERN = "|".join((EMAIL, KEY, SECRET, IPV6, IPV4, SSN, PHONE, CARD, NAME))
 #: Every mention holds one of these or a digit; a quick look that spares most texts the pattern.
-_SIGNS = sorted({"@", *(t[:3] if t in ("Señora", "Señor", "господин", "госпожа") else "Mr" if t == "Mrs" else t for t in MALE + FEMALE + NEUTRAL)})
-TYPES = ("email", "secret", "ipv4", "phone", "card", "name_male", "name_female", "name_neutral")
+_SIGNS = sorted({"@", "::", *(t[:3] if t in ("Señora", "Señor", "господин", "госпожа") else "Mr" if t == "Mrs" else t for t in MALE + FEMALE + NEUTRAL)})
+TYPES = ("email", "key", "secret", "ipv6", "ipv4", "ssn", "phone", "card", "name_male", "name_female", "name_neutral", "name_family", "name_given_male", "name_given_female", "name_given_neutral", "domain")
 MAX_ROUNDS = 40
 ROUNDS_A_SYLLABLE = 3
 
@@ -47,7 +63,7 @@ LATIN = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 _SYLLABLES = {"latin": "ba ce di fo gu ha je ki lo mu na pe ri so tu va".split(), "cyrillic": "ба ве ди го жу за ки ло ма не по ри со ту фа шо".split(), "greek": "βα γε δι ζο θη κα λε μι νο πα ρε σι το φα χε ψι".split()}
-_ENDINGS = {"name_male": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "name_female": {"latin": "lia", "cyrillic": "ля", "greek": "λια"}, "name_neutral": {"latin": "ri", "cyrillic": "ри", "greek": "ρι"}}
+_ENDINGS = {"name_given_male": {"latin": "n", "cyrillic": "н", "greek": "ς"}, "name_given_female": {"latin": "lia", "cyrillic": "ля", "greek": "λια"}, "name_given_neutral": {"latin": "ri", "cyrillic": "ри", "greek": "ρι"}}
 
 
 def holds_mention(text: F.Column) -> F.Column:
@@ -58,26 +74,33 @@ def holds_mention(text: F.Column) -> F.Column:
     return F.coalesce(F.when(sign, text.rlike(PATTERN)).otherwise(False), F.lit(False))
 
 
-def mention_type(m: F.Column) -> F.Column:
-    def of(titles):
-        return m.rlike(rf"^(?:{'|'.join(sorted(titles, key=len, reverse=True))})\.? ")
+def _titled(m: F.Column, titles: list[str]) -> F.Column:
+    return m.rlike(rf"^(?:{'|'.join(sorted(titles, key=len, reverse=True))})\.? ")
 
+
+def mention_type(m: F.Column) -> F.Column:
+    """Type of a mention; names are of the gender of their title, without a title of that of a family name."""
     return (
         F.when(m.contains("@"), "email")
+        .when(m.rlike(rf"^(?:{KEY})$"), "key")
         .when(m.rlike(rf"^(?:{SECRET})$"), "secret")
+        .when(m.rlike(rf"^(?:{IPV6})$"), "ipv6")
         .when(m.rlike(rf"^(?:{IPV4})$"), "ipv4")
+        .when(m.rlike(rf"^(?:{SSN})$"), "ssn")
         .when(m.rlike(rf"^(?:{CARD})$"), "card")
         .when(m.rlike(rf"^(?:{PHONE})$"), "phone")
-        .when(of(MALE), "name_male")
-        .when(of(FEMALE), "name_female")
-        .otherwise("name_neutral")
+        .when(_titled(m, MALE), "name_male")
+        .when(_titled(m, FEMALE), "name_female")
+        .when(_titled(m, NEUTRAL), "name_neutral")
+        .otherwise("name_family")
     )
 
 
 def canonical(m: F.Column, kind: F.Column) -> F.Column:
     return (
-        F.when(kind.isin("phone", "card"), F.regexp_replace(m, r"\D", ""))
+        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, r"\D", ""))
         .when(kind.startswith("name"), F.lower(F.regexp_replace(m, rf"^{_TITLE} ", "")))
+        .when(kind == "key", m)
         .otherwise(F.lower(m))
     )
 
@@ -95,7 +118,7 @@ def _draw(alphabet: str, n: F.Column) -> F.Column:
 
 
 def _redraw(s: F.Column, digest: F.Column, letters: str | None = None) -> F.Column:
-    """Letters (lower case) and digits of s drawn anew in their alphabet, other characters kept."""
+    """Letters and digits of s drawn anew in their alphabet and case, other characters kept."""
 
     def one(c, i):
         b = _byte(digest, i)
@@ -103,6 +126,7 @@ def _redraw(s: F.Column, digest: F.Column, letters: str | None = None) -> F.Colu
             return F.when(c.rlike("[0-9a-f]"), _draw(letters, b)).otherwise(c)
         return (
             F.when(c.rlike("[0-9]"), _draw("0123456789", b))
+            .when(c.rlike("[A-Z]"), _draw(LATIN.upper(), b))
             .when(c.rlike(r"\p{IsCyrillic}"), _draw(CYRILLIC, b))
             .when(c.rlike(r"\p{IsGreek}"), _draw(GREEK, b))
             .when(c.rlike(r"\p{L}"), _draw(LATIN, b))
@@ -119,35 +143,36 @@ def _luhn(digits: F.Column) -> F.Column:
     return F.aggregate(doubled, F.lit(0), lambda s, x: s + x) % 10
 
 
-def _name(canon: F.Column, kind: F.Column, digest: F.Column, round_no: int = 0) -> F.Column:
-    """As many words as the original: a given name with the ending of the gender, and a family name.
-
-    Family names have 4 syllables, one more in every ``ROUNDS_A_SYLLABLE`` rounds: their number outgrows the entities.
-    """
-    last = 6 + round_no // ROUNDS_A_SYLLABLE
+def _name(canon: F.Column, kind: F.Column, digest: F.Column, syllables: int) -> F.Column:
+    """One word: a family name of so many syllables, or a given name with the ending of its gender; a hyphen stays one."""
 
     def in_script(script: str) -> F.Column:
-        syllables = F.array(*map(F.lit, _SYLLABLES[script]))
-        part = lambda i: F.element_at(syllables, _byte(digest, F.lit(i)) % 16 + 1)
+        known = F.array(*map(F.lit, _SYLLABLES[script]))
+        part = lambda i: F.element_at(known, _byte(digest, F.lit(i)) % 16 + 1)
         end = F.lit("")
         for k, by in _ENDINGS.items():
             end = F.when(kind == k, by[script]).otherwise(end)
-        given, family = F.concat(part(0), part(1), end), F.concat(*(part(i) for i in range(2, last)))
-        return F.when(canon.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+        hyphen = F.when(canon.contains("-"), "-").otherwise("")
+        return F.concat(*(part(i) for i in range(2)), hyphen, *(part(i) for i in range(2, syllables)), end)
 
     return F.when(canon.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), in_script("greek")).otherwise(in_script("latin"))
 
 
-def draw(canon: F.Column, kind: F.Column, round_no: int, key: str) -> F.Column:
-    """The surrogate (canonical form) of an entity in a round."""
+def _hmac(key: str, message: F.Column) -> F.Column:
+    """HMAC-SHA256 in hexadecimal."""
+    k = key.encode()
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in k)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
-    def digest(what, name) -> F.Column:
-        return F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), name, F.lit(str(round_no)), F.lit(str(i)), what), 256) for i in (0, 1)))
 
-    h = digest(canon, kind)
-    domain, label = F.substring_index(canon, "@", -1), F.substring_index(F.substring_index(canon, "@", -1), ".", 1)
-    last = F.substring_index(domain, ".", -1)
-    mail = F.concat(_redraw(F.substring_index(canon, "@", 1), h), F.lit("@"), _redraw(label, digest(domain, F.lit("domain"))), F.lit(".example."), F.when(last.isin("com", "org", "net"), last).otherwise("com"))
+def draw(canon: F.Column, kind: F.Column, round_no: int, key: str, syllables: int = 4) -> F.Column:
+    """The surrogate (canonical form) of an entity in a round. An e-mail's canonical form holds its surrogate domain."""
+    h = F.concat(*(_hmac(key, F.concat_ws("|", kind, F.lit(str(round_no)), F.lit(str(i)), canon)) for i in (0, 1)))
+    more = _redraw(F.lit("x" * (round_no // ROUNDS_A_SYLLABLE)), F.reverse(h))
+    label, last = F.substring_index(canon, ".", 1), F.substring_index(canon, ".", -1)
+    domain = F.concat(_redraw(label, h), more, F.lit(".example."), F.when(last.isin("com", "org", "net"), last).otherwise("com"))
+    mail = F.concat(_redraw(F.substring_index(canon, "@", 1), h), more, F.lit("@"), F.substring_index(canon, "@", -1))
     octets = F.concat_ws(".", (_byte(h, F.lit(0)) % 15 + 240).cast("string"), *(_byte(h, F.lit(i)).cast("string") for i in (1, 2, 3)))
     number = _redraw(canon, h)
     # the check digit moves by what keeps the Luhn sum of the original
@@ -156,13 +181,17 @@ def draw(canon: F.Column, kind: F.Column, round_no: int, key: str) -> F.Column:
     card = F.concat(body, ((F.when(_luhn(canon) == 0, 10 - wrong).otherwise(11 + _byte(h, F.lit(63)) % 9 - wrong)) % 10).cast("string"))
     country = F.when(F.length(canon) > 10, F.substr(canon, F.lit(1), F.length(canon) - 10)).otherwise("")
     phone = F.concat(country, F.substr(number, F.length(country) + 1, F.length(number)))
+    start = F.regexp_extract(canon, _KEY_START, 0)
     return (
         F.when(kind == "email", mail)
+        .when(kind == "domain", domain)
         .when(kind == "ipv4", octets)
-        .when(kind == "secret", _redraw(canon, h, "0123456789abcdef"))
+        .when(kind.isin("secret", "ipv6"), _redraw(canon, h, "0123456789abcdef"))
+        .when(kind == "key", F.concat(start, _redraw(F.substr(canon, F.length(start) + 1, F.length(canon)), h)))
         .when(kind == "card", card)
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substr(number, F.lit(2), F.lit(8))))
         .when(kind == "phone", phone)
-        .otherwise(_name(canon, kind, h, round_no))
+        .otherwise(_name(canon, kind, h, syllables + round_no // ROUNDS_A_SYLLABLE))
     )
 
 
@@ -171,9 +200,11 @@ def assign(entities: DataFrame, key: str, max_rounds: int = MAX_ROUNDS) -> DataF
     kind = F.col("kind")
     family = F.when(kind.startswith("name"), "name").otherwise(kind)  # names share one space
     pending, done = entities.withColumn("family", family), None
+    names = entities.where(kind.startswith("name")).count()
+    syllables = max(4, math.ceil(math.log2(names + 1) / 4) + 1)  # 16 times as many as there are names
     real = pending.select("family", F.col("canon").alias("surrogate")).distinct()
     for r in range(max_rounds):
-        drawn = materialize(pending.withColumn("surrogate", draw(F.col("canon"), kind, r, key)), "drawn")
+        drawn = materialize(pending.withColumn("surrogate", draw(F.col("canon"), kind, r, key, syllables) if names else draw(F.col("canon"), kind, r, key)), "drawn")
         free = drawn.join(real, ["family", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done, ["family", "surrogate"], "left_anti")
@@ -187,38 +218,89 @@ def assign(entities: DataFrame, key: str, max_rounds: int = MAX_ROUNDS) -> DataF
     raise RuntimeError(f"no distinct surrogates for all entities in {max_rounds} rounds")
 
 
+def name_words(m: F.Column) -> F.Column:
+    """Words of a name without its title, as they are written."""
+    return F.split(F.regexp_replace(m, rf"^{_TITLE} ", ""), " ")
+
+
 def render(m: F.Column, kind: F.Column, surrogate: F.Column) -> F.Column:
-    """A surrogate in the punctuation, capitals and title of a mention."""
+    """A surrogate in the punctuation and capitals of a mention that is no name."""
     gaps = F.split(m, r"\d", -1)
     digits = F.concat(_chars(surrogate), F.array(F.lit("")))
     spaced = F.array_join(F.zip_with(gaps, digits, lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), "")
-    title = F.regexp_extract(m, rf"^{_TITLE} ", 0)
-    own = F.regexp_replace(m, rf"^{_TITLE} ", "")
-    cased = F.when(own == F.upper(own), F.upper(surrogate)).when(kind.startswith("name"), F.initcap(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("phone", "card"), spaced).when(kind.startswith("name"), F.concat(title, cased)).otherwise(cased)
+    cased = F.when((kind != "key") & (m == F.upper(m)), F.upper(surrogate)).otherwise(surrogate)
+    return F.when(kind.isin("phone", "card", "ssn"), spaced).otherwise(cased)
+
+
+def _cased(word: F.Column, surrogate: F.Column) -> F.Column:
+    return F.when(word == F.upper(word), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+
+
+def name_surrogates(named: DataFrame, key: str) -> DataFrame:
+    """(m, s) of mentions that are names: each word's surrogate behind the mention's own title."""
+    words = named.select("m", "kind", F.posexplode(name_words(F.col("m"))).alias("place", "word"), F.size(name_words(F.col("m"))).alias("n"))
+    words = materialize(words.withColumn("canon", F.lower("word")), "name-words")
+    given = (F.col("n") > 1) & (F.col("place") == 0)
+    uses = words.groupBy("canon").agg(
+        F.max(given).alias("given"), F.coalesce(F.max(given & (F.col("kind") == "name_male")), F.lit(False)).alias("male"), F.coalesce(F.max(given & (F.col("kind") == "name_female")), F.lit(False)).alias("female")
+    )
+    kind = F.when(~F.col("given"), "name_family").when(F.col("male") & ~F.col("female"), "name_given_male").when(F.col("female") & ~F.col("male"), "name_given_female").otherwise("name_given_neutral")
+    surrogates = assign(uses.select(kind.alias("kind"), "canon"), key)
+    written = join_salted(words, surrogates.select("canon", "surrogate"), ["canon"], ["m", "place"])
+    whole = written.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("place", _cased(F.col("word"), F.col("surrogate")).alias("s")))).alias("x"))
+    title = F.regexp_extract("m", rf"^{_TITLE} ", 0)
+    return whole.select("m", F.concat(title, F.array_join(F.transform("x", lambda w: w["s"]), " ")).alias("s"))
+
+
+def other_surrogates(named: DataFrame, key: str) -> DataFrame:
+    """(m, s) of all other mentions; mail domains first, as entities of their own."""
+    mails = named.where("kind = 'email'").withColumn("domain", F.substring_index("canon", "@", -1))
+    domains = assign(mails.select(F.lit("domain").alias("kind"), F.col("domain").alias("canon")).distinct(), key)
+    local = F.substring_index("canon", "@", 1)
+    mails = join_salted(mails, domains.select(F.col("canon").alias("domain"), F.col("surrogate").alias("to")), ["domain"], ["m"])
+    mails = mails.select("m", "kind", F.concat(local, F.lit("@"), "to").alias("canon"))
+    named = materialize(named.where("kind <> 'email'").select("m", "kind", "canon").union(mails), "entities")
+    surrogates = assign(named.select("kind", "canon").distinct(), key)
+    return named.join(surrogates, ["kind", "canon"]).select("m", render(F.col("m"), F.col("kind"), F.col("surrogate")).alias("s"))
+
+
+def known_names(mentions: F.Column) -> F.Column:
+    """Pattern of the full and family names among a text's mentions, without titles; null if there are none."""
+    names = F.filter(mentions, lambda m: m.rlike(rf"^{_TITLE} "))
+    forms = F.flatten(F.transform(names, lambda m: F.array(F.array_join(name_words(m), " "), F.element_at(name_words(m), -1))))
+    forms = F.array_sort(F.array_distinct(forms), lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(names) > 0, F.concat(F.lit(r"|(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])")))
 
 
 def replace_pii(documents: DataFrame, key: str) -> DataFrame:
     """``documents`` with mentions in text replaced and n_pii, their number (long)."""
-    found = documents.where(holds_mention(F.col("text"))).select(content_key("text").alias("key"), F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("mentions"))
-    found = materialize(found.distinct(), "mentions")  # texts with mentions, once each
+    found = documents.where(holds_mention(F.col("text"))).select(content_key("text").alias("key"), "text", F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("mentions"))
+    found = found.withColumn("names", known_names(F.col("mentions")))
+    # texts with names are searched again for these names without a title
+    again = F.regexp_extract_all("text", F.concat(F.lit(PATTERN), "names"), 0)
+    found = found.select("key", "names", F.when(F.col("names").isNull(), F.col("mentions")).otherwise(again).alias("mentions"))
+    found = materialize(found.dropDuplicates(["key"]), "mentions")  # texts with mentions, once each
     named = found.select(F.explode("mentions").alias("m")).distinct().withColumn("kind", mention_type(F.col("m"))).withColumn("canon", canonical(F.col("m"), F.col("kind")))
     named = materialize(named, "named")
-    surrogates = assign(named.select("kind", "canon").distinct(), key)
-    written = named.join(surrogates, ["kind", "canon"]).select("m", render(F.col("m"), F.col("kind"), F.col("surrogate")).alias("s"))
-    parts = found.select("key", F.posexplode("mentions").alias("pos", "m")).join(written, "m")
+    is_name = F.col("kind").startswith("name")
+    written = materialize(name_surrogates(named.where(is_name), key).union(other_surrogates(named.where(~is_name), key)), "written")
+    parts = join_salted(found.select("key", F.posexplode("mentions").alias("pos", "m")), written, ["m"], ["key", "pos"])
     parts = parts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("__s"))
+    parts = materialize(parts.join(found.select("key", "names"), "key").select(F.col("key").alias("__key"), "__s", F.col("names").alias("__names")), "parts")
 
-    kept = [c for c in documents.columns if c not in ("n_pii", "text")]
+    kept = [c for c in documents.columns if c not in ("n_pii", "text", "__key", "__s", "__names")]
     has = holds_mention(F.col("text"))
-    changed = documents.where(has).withColumn("__key", content_key("text")).join(parts.withColumnRenamed("key", "__key"), "__key")
-    text = F.array_join(F.flatten(F.zip_with(F.split("text", PATTERN, -1), F.concat("__s", F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
+    changed = join_salted(documents.where(has).select(*kept, "text").withColumn("__key", content_key("text")), parts, ["__key"], kept)
+    plain, mixed = F.split("text", PATTERN, -1), F.split("text", F.concat(F.lit(PATTERN), "__names"), -1)
+    gaps = F.when(F.col("__names").isNull(), plain).otherwise(mixed)
+    text = F.array_join(F.flatten(F.zip_with(gaps, F.concat("__s", F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
     changed = changed.select(*kept, F.size("__s").cast("long").alias("n_pii"), text.alias("text"))
     same = documents.where(~has).select(*kept, F.lit(0).cast("long").alias("n_pii"), "text")
     return changed.union(same)
 
 
 def op4_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced. The key would come from the caller's secret store."""
+    """Every document with its personal data replaced. The key is the session's ``spark.tracewright.surrogateKey``; the
+    example key stands in only where that is unset."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace_pii(documents, key="tracewright-example-key")
+    return replace_pii(documents, key=spark.conf.get("spark.tracewright.surrogateKey", "example-key"))
