@@ -54,14 +54,17 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if small(df, limit // row_bytes) else df
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None, share: int = 2000, least: int = 200) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None, share: int = 2000, least: int = 200, few: int = 20_000) -> DataFrame:
     """``left`` joined with ``right`` (inner or left) on equal columns, no task with more than its part of a frequent key.
 
     A key that holds over 1/``share`` of left's rows (at most ``share`` keys do, so their table may be broadcast) is dealt
     out by the hash of the columns ``spread``, and right's rows of it are repeated for every part. Left is read twice, or only
-    counted if ``counts`` has its rows per key as __c.
+    counted if ``counts`` has its rows per key as __c. Up to ``few`` rows are no burden for a task and joined plainly.
     """
-    n = max(least, left.count() // share)
+    rows = left.count()
+    if rows <= few:
+        return left.join(right, on, how)
+    n = max(least, rows // share)
     counts = left.groupBy(*on).agg(F.count("*").alias("__c")) if counts is None else counts
     hot = materialize(counts.where(F.col("__c") > n).select(*on, F.ceil(F.col("__c") / n).cast("int").alias("__c")), "hot-keys")
     if hot.isEmpty():
@@ -187,23 +190,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         hook = materialize(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("p")), "hook")
         while True:
             up = hook.select(F.col("n").alias("p"), F.col("p").alias("q"))
-            nxt = materialize(hook.join(up, "p").select("n", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "hook")
+            nxt = materialize(join_salted(hook, up, ["p"], ["n"]).select("n", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "hook")
             moved = not nxt.where("moved").isEmpty()
             hook = nxt.select("n", "p")
             if not moved:
                 break
-        labels = materialize(
-            labels.join(hook, F.col("root") == F.col("n"), "left").select("node", F.coalesce("p", "root").alias("root")), "labels"
-        )
+        to = hook.withColumnRenamed("n", "root")
+        labels = materialize(join_salted(labels, to, ["root"], ["node"], "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
         left = hook.select(F.col("n").alias("a"), F.col("p").alias("pa"))
         right = hook.select(F.col("n").alias("b"), F.col("p").alias("pb"))
-        live = materialize(
-            live.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
-            "edges",
-        )
+        half = materialize(join_salted(live, left, ["a"], ["b"]), "half-edges")
+        both = join_salted(half, right, ["b"], ["a"]).where("pa <> pb")
+        live = materialize(both.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def spreadable(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
+    """Columns that a hash may be taken of, so that equal rows alone must share a part."""
+    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant" and f.name not in without]
+
+
 def scale_to_parts(n: int, per_part: int, least: int = 1) -> int:
     """Partitions so that each holds about ``per_part`` items."""
     return max(least, math.ceil(n / per_part))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, content_key, groups_of_bytes, map_arrow, maybe_broadcast, mix64, prefix_hash, range_hash
+from .common import POWERS, content_key, groups_of_bytes, join_salted, map_arrow, materialize, maybe_broadcast, mix64, prefix_hash, range_hash, small, spreadable
 
 WINDOW_WORDS = 13
 #: The contract's words, for native counting; A-Z are words in either case, so counting needs no lower-casing.
@@ -88,7 +88,7 @@ def _lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
 
 
 def document_fingerprints(documents: DataFrame, lengths: list[int]) -> DataFrame:
-    """(key, n, fp, at): the distinct selected fingerprints of each text for each window length."""
+    """(key, n, fp, at): the distinct selected fingerprints of each row's text for each window length."""
 
     def fingerprints(batch: pa.RecordBatch):
         keys = batch.column("key")
@@ -131,58 +131,62 @@ def item_windows(items: DataFrame) -> DataFrame:
     return map_arrow(rows, windows, "item_id string, n int, fp long, window binary")
 
 
-def extend_hits(texts: DataFrame) -> DataFrame:
-    """(key, text, hits) -> (key, n_hit, windows): around each hit compare every window that can hold it."""
+def windows_at_hits(texts: DataFrame) -> DataFrame:
+    """(key, text, hits) -> (key, n, a, window): digests of all windows around each hit that can hold it, each once."""
 
     def extend(batch: pa.RecordBatch):
-        out = []
         for key, text, hits in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
             data, start, end, _ = find_words([text.encode("utf-8", "surrogatepass")])
-            hit, seen, wanted = np.zeros(len(start), bool), set(), {}
-            for h in hits:
-                n, at = h["n"], h["at"]
-                for a in range(max(0, at - (n - gram_size(n))), min(at, len(start) - n) + 1):
-                    wanted.setdefault((a, n), set()).update(h["windows"])
-            for (a, n), windows in wanted.items():
-                if (d := digest(data, start, end, a, n)) in windows:
-                    hit[a : a + n] = True
-                    seen.add(d)
-            if seen:
-                out.append((key, int(hit.sum()), sorted(seen)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.binary()))], ["key", "n_hit", "windows"])
-
-    return map_arrow(texts.select("key", "text", "hits"), extend, "key binary, n_hit long, windows array<binary>")
+            around = {(a, h["n"]) for h in hits for a in range(max(0, h["at"] - (h["n"] - gram_size(h["n"]))), min(h["at"], len(start) - h["n"]) + 1)}
+            a, n = [x[0] for x in around], [x[1] for x in around]
+            windows = [digest(data, start, end, *x) for x in around]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(a), pa.binary()), pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(windows, pa.binary())], ["key", "n", "a", "window"])
+
+    return map_arrow(texts.select("key", "text", "hits"), extend, "key binary, n int, a int, window binary")
+
+
+def hit_words(spans: F.Column) -> F.Column:
+    """Words covered by the spans (a, n), sorted by a."""
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum"))
+
+    def step(s, x):
+        end = F.greatest(s["end"], x["a"] + x["n"])
+        return F.struct(end.alias("end"), (s["sum"] + end - F.greatest(s["end"], x["a"])).alias("sum"))
+
+    return F.aggregate(spans, zero, step, lambda s: s["sum"])
 
 
 def contamination(documents: DataFrame, items: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Per distinct text that holds a window of some item: (key, n_hit, items), items sorted as strings.
 
-    Item windows are broadcast only if their counted rows fit ``broadcast_bytes``; otherwise the same joins shuffle.
-    A text's work is done once for all its copies.
+    Item windows are broadcast only if their counted rows fit ``broadcast_bytes``; otherwise the same joins shuffle, with
+    frequent fingerprints and windows dealt out. Hits are a text's own, so only one row of it is extended, once for all its copies.
     """
-    windows = item_windows(items)
+    windows = materialize(item_windows(items), "item-windows")
     lengths = sorted({r["n"] for r in windows.select("n").distinct().limit(WINDOW_WORDS).collect()})  # 13 values at most
     spark = documents.sparkSession
     if not lengths:
         return spark.createDataFrame([], "key binary, n_hit long, items array<string>")
-    by_fp = windows.groupBy("n", "fp").agg(F.collect_set("window").alias("windows"))
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str], row_bytes: int, spread: list[str]) -> DataFrame:
+        few = maybe_broadcast(right, row_bytes, broadcast_bytes)
+        return left.join(few, on) if few is not right else join_salted(left, right, on, spread)
+
     fps = document_fingerprints(documents, lengths)
-    hits = (
-        fps.join(maybe_broadcast(by_fp, 200, broadcast_bytes), ["n", "fp"])
-        .distinct()
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("n", "at", "windows")).alias("hits"))
-    )
-    texts = documents.where("text is not null").select(content_key("text").alias("key"), "text").join(hits, "key")
-    found = extend_hits(texts).dropDuplicates(["key"])
-    owners = windows.select("window", "item_id").distinct()
-    per_text = (
-        found.select("key", F.explode("windows").alias("window"))
-        .join(maybe_broadcast(owners, 100, broadcast_bytes), "window")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    )
-    return found.select("key", "n_hit").join(per_text, "key", "left")
+    hits = joined(fps, windows.select("n", "fp").distinct(), ["n", "fp"], 16, ["key", "at"]).groupBy("key").agg(F.collect_set(F.struct("n", "at")).alias("hits"))
+    hits = materialize(hits, "hits")
+    # one row of each text with hits; the copies of a text leave a task as one row
+    keyed, keys = documents.where("text is not null").select(content_key("text").alias("key"), "text"), hits.select("key")
+    if (few := maybe_broadcast(keys, 32, broadcast_bytes)) is not keys:
+        keyed = keyed.join(few, "key", "left_semi")
+    seen = windows_at_hits(keyed.groupBy("key").agg(F.first("text").alias("text")).join(hits, "key"))
+    owners = windows.groupBy("n", "window").agg(F.collect_set("item_id").alias("ids"))
+    met = materialize(joined(seen, windows.select("n", "window").distinct(), ["n", "window"], 48, ["key", "a"]), "window-hits")
+    words = met.groupBy("key").agg(hit_words(F.array_sort(F.collect_list(F.struct("a", "n")))).alias("n_hit"))
+    texts_of = met.select("key", "n", "window").distinct()
+    own = join_salted(texts_of, owners, ["n", "window"], ["key"]).select("key", F.explode("ids").alias("item_id"))
+    own = own.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return words.join(own, "key")
 
 
 def judge(documents: DataFrame, items: DataFrame, min_share: tuple[int, int] = (1, 20)) -> DataFrame:
@@ -191,7 +195,9 @@ def judge(documents: DataFrame, items: DataFrame, min_share: tuple[int, int] = (
     Contaminated: n_hit > 0 and at least ``min_share`` of the words are hit. Input columns of these names are replaced.
     """
     own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    found = contamination(documents, items).select(
+    found = materialize(contamination(documents, items), "contamination")
+    few = small(found, (8 << 20) // 64)  # judged texts are named by 64 bytes each
+    found = found.select(
         F.col("key").alias("__key"),
         F.col("n_hit").alias("__hit"),
         F.size("items").cast("long").alias("__n"),
@@ -201,8 +207,9 @@ def judge(documents: DataFrame, items: DataFrame, min_share: tuple[int, int] = (
         {"__key": content_key("text"), "n_words": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long")}
     )
     n_hit, (part, whole) = F.coalesce("__hit", F.lit(0).cast("long")), min_share
+    judged = counted.join(F.broadcast(found), "__key", "left") if few else join_salted(counted, found, ["__key"], spreadable(counted, ("text",)), "left")
     return (
-        counted.join(found, "__key", "left")
+        judged
         .withColumns(
             {
                 "n_hit": n_hit,

@@ -2,18 +2,21 @@
 
 Tags drive a stack of open elements with the implied starts and ends of the HTML tree rules (paragraphs, list items,
 definitions, options, headings, rows and cells, the head before the body); what an element shows is laid out as it closes.
-All visible text is kept but for labels of inline drawings (svg): hidden are the head, scripts, styles, templates,
-embedded fallbacks, elements with the hidden attribute or display:none, closed details but for their summary, closed
-dialogs, and visibility:hidden as far as no descendant is visible again. Scripts are not run, so noscript is shown. Of
-formulas the annotations, phantoms and later alternatives are hidden; rows start lines and cells are set apart.
+All visible text is kept: hidden are the head, scripts, styles, templates, embedded fallbacks, elements with the hidden
+attribute or display:none, closed details but for their summary, closed dialogs, and visibility:hidden as far as no
+descendant is visible again. Style sheets in the page count by rules with simple selectors (a tag, an id, classes, or
+these together), whatever the medium's conditions but print; other selectors are not followed. Scripts are not run, so noscript is shown.
+Form fields show their value, or else their placeholder, buttons their label. Of formulas the annotations, phantoms and later alternatives
+are hidden; rows start lines and cells are set apart. Of inline drawings the labels are shown, each set apart.
 
 Layout: blocks start lines, paragraphs, headings, lists, quotes, tables and preformatted text have a blank line around;
 white space collapses but in pre and textarea; list items have bullets or numbers and hang, nested lists and quotes are
 indented; a table row is a line (or several) with cells padded to their column, spans included. Text that stands in a
-table outside cells comes before the table. Columns are padded to at most ``MAX_PAD``; longer cells push their row.
+table outside cells comes before the table. Columns are padded to at most ``MAX_PAD``; longer cells push their row, so a
+page's text grows with its html alone. Spans are cut at what html allows (``MAX_SPAN`` columns, 65,534 rows).
 
 Definitions: null html gives null text, empty html an empty text. Tags cut off at the end of a page are dropped, other
-stray "<" are text. Nesting beyond ``MAX_DEPTH`` layouts is laid out in the last one. Each input row gives a row.
+stray "<" are text, and a quote that is never closed is an ordinary character. Nesting beyond ``MAX_DEPTH`` layouts is laid out in the last one. Each input row gives a row.
 """
 
 from __future__ import annotations
@@ -43,11 +46,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text ends only at their own end tag.
 RAW = frozenset("script style iframe noframes noembed xmp title textarea".split())
 HEAD = frozenset("title meta link script style base template noscript bgsound basefont".split())
-NEVER = frozenset("head script style template iframe noframes noembed object canvas audio video datalist title svg".split())
+NEVER = frozenset("head script style template iframe noframes noembed object canvas audio video datalist title meter progress".split())
 #: Text inside these parts of a formula is html again.
 MATH_TEXT = frozenset("mi mo mn ms mtext annotation-xml".split())
-#: Html elements that end a formula they stand in.
-ENDS_MATH = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Unseen parts of a drawing; of all others only what stands in a text element is seen.
+SVG_NEVER = frozenset("defs symbol metadata desc title clippath mask pattern marker lineargradient radialgradient filter style script".split())
+#: Inside these, drawings and formulas hold html again.
+TO_HTML = MATH_TEXT | {"foreignobject", "desc"}
+#: Kinds of input that show no text.
+SILENT = frozenset("hidden password checkbox radio file image range color".split())
+LABELLED = frozenset("submit reset button".split())
+#: Html elements that end a formula or drawing they stand in.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Blank lines around each block.
 BLOCKS = {
     **dict.fromkeys("address article aside body center details dialog dir div dd dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption tr".split(), 0),
@@ -130,6 +140,40 @@ def _attributes(s: str) -> dict[str, str]:
     return out
 
 
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)")
+_STYLE = re.compile(r"<style(?=[\s/>])[^>]*>(.*?)</style", re.I | re.S)
+
+
+def style_rules(html: str) -> list[tuple]:
+    """(tag or "", ids, classes, property, value, rank) of the simple rules for display and visibility in a page's style sheets."""
+    out: list[tuple] = []
+    for css in _STYLE.findall(html):
+        css, medium, open_at = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S).replace("<!--", " ").replace("-->", " "), [], 0
+        for m in re.finditer(r"([^{};]*)([{};])", css):
+            head, mark = m[1].strip().lower(), m[2]
+            if mark == "}":
+                if open_at:
+                    open_at = 0
+                elif medium:
+                    medium.pop()
+            elif mark == "{" and head.startswith("@"):
+                medium.append(head.startswith("@media") and "print" not in head)
+            elif mark == "{":
+                open_at = m.end()
+                body = css[open_at : css.find("}", open_at) if "}" in css[open_at:] else len(css)]
+                if not all(medium):
+                    continue
+                for name, value in re.findall(r"(display|visibility)\s*:\s*([^;]+)", body, re.I):
+                    important = "!important" in value.lower().replace(" ", "")
+                    for one in m[1].split(","):
+                        if (found := _SELECTOR.fullmatch(one.strip())) and one.strip():
+                            marks = re.findall(r"([.#])([\w-]+)", found[2])
+                            ids, classes = frozenset(x for k, x in marks if k == "#"), frozenset(x for k, x in marks if k == ".")
+                            tag = "" if found[1] in (None, "*") else found[1]
+                            out.append((tag, ids, classes, name.lower(), value.lower().split("!")[0].strip(), (important, len(ids), len(classes), bool(tag), len(out))))
+    return out
+
+
 def _number(s: str | None, default: int, most: int) -> int:
     m = re.match(r"\s*(\d{1,6})", s or "")
     return min(max(int(m[1]), 1), most) if m else default
@@ -175,14 +219,15 @@ def lay_out_table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 class Renderer:
     """One page."""
 
-    def __init__(self) -> None:
+    def __init__(self, rules: list[tuple] = ()) -> None:
+        self.rules = rules
         self.flow = Flow()
         self.root = Element("#root", self.flow, True, True)
         self.stack = [self.root]
         self.layouts = 0
         self.head_done = False
         self.pre = 0
-        self.math = 0
+        self.foreign = 0
 
     # --- the stack of open elements
 
@@ -204,7 +249,7 @@ class Renderer:
         parent = self.stack[-1]
         e = Element(name, parent.own or parent.flow, parent.shown and shown, visible)
         self.stack.append(e)
-        self.math += name == "math"
+        self.foreign += name in ("math", "svg")
         return e
 
     def lay_apart(self, e: Element) -> None:
@@ -217,7 +262,7 @@ class Renderer:
         name = e.name
         if name in ("pre", "textarea", "xmp"):
             self.pre -= 1
-        self.math -= name == "math"
+        self.foreign -= name in ("math", "svg")
         if e.own is not None:
             self.layouts -= 1
             lines = e.own.finish()
@@ -243,11 +288,13 @@ class Renderer:
 
     def text(self, s: str) -> None:
         top = self.stack[-1]
+        if self.foreign and (i := self.in_foreign()) and self.stack[i].name == "svg" and not any(x.name == "text" for x in self.stack[i:]):
+            return
         if top.name == "head" and s.strip(_BLANK):
             self.pop_to(len(self.stack) - 1)
             self.head_done = True
             top = self.stack[-1]
-        if not (top.shown and top.visible):
+        if not (top.shown and top.visible) or top.name == "details" and top.marker == "closed":
             return
         flow = top.own or top.flow
         s = unescape(s) if "&" in s else s
@@ -257,35 +304,50 @@ class Renderer:
         if s:
             (flow.raw if self.pre else flow.text)(s)
 
-    def in_math(self) -> int:
-        """Index of the formula whose own markup comes next; 0 if it is html."""
-        return self.find(("math",), MATH_TEXT) if self.math else 0
+    def in_foreign(self) -> int:
+        """Index of the formula or drawing whose own markup comes next; 0 if it is html."""
+        return self.find(("math", "svg"), TO_HTML) if self.foreign else 0
 
     def start(self, name: str, attributes: str) -> None:
-        if (i := self.in_math()) and name in ENDS_MATH:
+        if (i := self.in_foreign()) and name in ENDS_FOREIGN:
             self.pop_to(i)
-        if name != "math" and not self.in_math():
+        if name not in ("math", "svg") and not self.in_foreign():
             self.start_html(name, attributes)
             return
         parent = self.stack[-1]
         if parent.name in ("semantics", "maction"):
             parent.count += 1
         flow = parent.own or parent.flow
+        drawing = self.stack[i].name == "svg" if (i := self.in_foreign()) else name == "svg"
         self.start_html(name, attributes)
         e = self.stack[-1]
-        if e.name != name:
+        if e is parent or e.name != name:
             return
-        if name in ("annotation", "annotation-xml") or parent.name in ("semantics", "maction") and parent.count > 1:
+        if drawing:
+            if name in SVG_NEVER:
+                e.shown = False
+            elif name == "text":
+                flow.space = True
+        elif name in ("annotation", "annotation-xml") or parent.name in ("semantics", "maction") and parent.count > 1:
             e.shown = False
-        if name == "mphantom":
+        elif name == "mphantom":
             e.visible = False
-        if e.shown and e.visible:
+        elif e.shown and e.visible:
             if name == "mtr":
                 flow.block(0)
             flow.space = flow.space or name == "mtd"
         if attributes.endswith("/") and all(m.end() < len(attributes) for m in _ATTRIBUTE.finditer(attributes)):
             self.close()
 
+    def styled(self, name: str, a: dict[str, str]) -> dict[str, str]:
+        """display and visibility that the page's rules give an element."""
+        out: dict[str, tuple] = {}
+        classes = frozenset(a["class"].split()) if "class" in a else frozenset()
+        for tag, ids, wanted, prop, value, rank in self.rules:
+            if (not tag or tag == name) and wanted <= classes and (not ids or ids == {a.get("id")}) and (prop not in out or rank > out[prop][0]):
+                out[prop] = (rank, value)
+        return {prop: value for prop, (_, value) in out.items()}
+
     def start_html(self, name: str, attributes: str) -> None:
         stack = self.stack
         if name == "body" or name == "html":
@@ -329,22 +391,32 @@ class Renderer:
                 self.pop_to(self.find(("tbody", "thead", "tfoot", "tr", "caption", "colgroup"), ("table",)))
             stack = self.stack
         parent, a = stack[-1], {}
-        if attributes and name not in VOID:
+        if attributes and (name not in VOID or name == "input" or self.rules):
             a = _attributes(attributes)
         shown, visible = name not in NEVER, parent.visible
         if "hidden" in a and a["hidden"].lower() != "until-found":
             shown = False
+        if self.rules:
+            given = self.styled(name, a)
+            shown = shown and given.get("display") != "none"
+            if "visibility" in given:
+                visible = given["visibility"] not in ("hidden", "collapse")
         if "style" in a:
             style = re.sub(r"\s+|!important", "", a["style"].lower())
-            if re.search(r"(?:^|;)display:none", style):
-                shown = False
+            if found := re.findall(r"(?:^|;)display:([\w-]+)", style):
+                shown = name not in NEVER and "hidden" not in a and found[-1] != "none" if self.rules else shown and found[-1] != "none"
             if found := re.findall(r"(?:^|;)visibility:(\w+)", style):
                 visible = found[-1] not in ("hidden", "collapse")
         if parent.name == "details" and name != "summary" and parent.marker == "closed" or name == "dialog" and "open" not in a:
             shown = False
         flow = parent.own or parent.flow
         if name in VOID:
-            if parent.shown and parent.visible:
+            if parent.shown and parent.visible and shown and visible:
+                if name == "input" and (kind := a.get("type", "text").lower()) not in SILENT:
+                    label = a.get("value", "") or ("" if kind in LABELLED else a.get("placeholder", ""))
+                    if label.strip(_BLANK):
+                        flow.space = True
+                        flow.text(label + " ")
                 if name == "br":
                     flow.end_line(True)
                 elif name == "hr":
@@ -442,7 +514,7 @@ class Renderer:
 
 def render(html: str) -> str:
     """Text of one page."""
-    return Renderer().render(html)
+    return Renderer(style_rules(html) if "<style" in html.lower() else ()).render(html)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

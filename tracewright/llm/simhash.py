@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, groups_of_bytes, map_arrow, materialize
+from .common import connected_components, groups_of_bytes, join_salted, map_arrow, materialize
 
 SEED = 42
-HOT_KEY = 200_000
+HOT_KEY = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -181,8 +181,8 @@ def components(documents: DataFrame, shingle: int = 4, d: int = 4, hot_key: int
     roots = connected_components(close_pairs(nodes.select("fp"), n, d, hot_key))
     linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = linked.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = join_salted(linked.select("fp", "root"), smallest, ["root"], ["fp"]).select("fp", "component_id")
+    return join_salted(prints, by_fp, ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

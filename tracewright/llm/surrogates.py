@@ -32,7 +32,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, join_salted, materialize
+from .common import content_key, join_salted, materialize, spreadable
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
@@ -273,30 +273,33 @@ def known_names(mentions: F.Column) -> F.Column:
 
 
 def replace_pii(documents: DataFrame, key: str) -> DataFrame:
-    """``documents`` with mentions in text replaced and n_pii, their number (long)."""
-    found = documents.where(holds_mention(F.col("text"))).select(content_key("text").alias("key"), "text", F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("mentions"))
+    """``documents`` with mentions in text replaced and n_pii, their number (long).
+
+    The pattern runs over all texts twice: to set those with mentions apart, and to pass the others on.
+    """
+    kept = [c for c in documents.columns if c not in ("n_pii", "text", "__key", "__s", "__names")]
+    has = holds_mention(F.col("text"))
+    some = materialize(documents.where(has).select(*kept, "text").withColumn("__key", content_key("text")), "with-mentions")
+    found = some.select("__key", "text", F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("mentions"))
     found = found.withColumn("names", known_names(F.col("mentions")))
     # texts with names are searched again for these names without a title
     again = F.regexp_extract_all("text", F.concat(F.lit(PATTERN), "names"), 0)
-    found = found.select("key", "names", F.when(F.col("names").isNull(), F.col("mentions")).otherwise(again).alias("mentions"))
-    found = materialize(found.dropDuplicates(["key"]), "mentions")  # texts with mentions, once each
+    found = found.select("__key", "names", F.when(F.col("names").isNull(), F.col("mentions")).otherwise(again).alias("mentions"))
+    found = materialize(found.dropDuplicates(["__key"]), "mentions")  # texts with mentions, once each
     named = found.select(F.explode("mentions").alias("m")).distinct().withColumn("kind", mention_type(F.col("m"))).withColumn("canon", canonical(F.col("m"), F.col("kind")))
     named = materialize(named, "named")
     is_name = F.col("kind").startswith("name")
     written = materialize(name_surrogates(named.where(is_name), key).union(other_surrogates(named.where(~is_name), key)), "written")
-    parts = join_salted(found.select("key", F.posexplode("mentions").alias("pos", "m")), written, ["m"], ["key", "pos"])
-    parts = parts.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("__s"))
-    parts = materialize(parts.join(found.select("key", "names"), "key").select(F.col("key").alias("__key"), "__s", F.col("names").alias("__names")), "parts")
+    parts = join_salted(found.select("__key", F.posexplode("mentions").alias("pos", "m")), written, ["m"], ["__key", "pos"])
+    parts = parts.groupBy("__key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("__s"))
+    parts = materialize(parts.join(found.select("__key", "names"), "__key").select("__key", "__s", F.col("names").alias("__names")), "parts")
 
-    kept = [c for c in documents.columns if c not in ("n_pii", "text", "__key", "__s", "__names")]
-    has = holds_mention(F.col("text"))
-    changed = join_salted(documents.where(has).select(*kept, "text").withColumn("__key", content_key("text")), parts, ["__key"], kept)
+    changed = join_salted(some, parts, ["__key"], spreadable(some, ("text",)))
     plain, mixed = F.split("text", PATTERN, -1), F.split("text", F.concat(F.lit(PATTERN), "__names"), -1)
     gaps = F.when(F.col("__names").isNull(), plain).otherwise(mixed)
     text = F.array_join(F.flatten(F.zip_with(gaps, F.concat("__s", F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
     changed = changed.select(*kept, F.size("__s").cast("long").alias("n_pii"), text.alias("text"))
-    same = documents.where(~has).select(*kept, F.lit(0).cast("long").alias("n_pii"), "text")
-    return changed.union(same)
+    return changed.union(documents.where(~has).select(*kept, F.lit(0).cast("long").alias("n_pii"), "text"))
 
 
 def op4_pii_surrogates(spark, sf_dir: str) -> DataFrame:

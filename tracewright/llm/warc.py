@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, maybe_broadcast, new_path
+from .common import join_salted, map_arrow, materialize, maybe_broadcast, new_path
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -84,7 +84,7 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     rank = F.struct(F.col("page_id").isNull().alias("x"), F.col("page_id").alias("page_id"), F.col("url").isNull().alias("y"), F.col("url").alias("url"))
     firsts = copies.groupBy("digest").agg(F.min(rank).alias("first"), (F.count_distinct("n", "check", "sha1") == 1).alias("one"))
     firsts = firsts.select("digest", F.when(F.col("one"), F.col("first")).otherwise(F.raise_error(F.lit("different payloads have one SHA-256 digest"))).alias("first"))
-    told = materialize(copies.join(firsts, "digest").withColumn("is_first", rank == F.col("first")), "first-pages")
+    told = materialize(join_salted(copies, firsts, ["digest"], ["page_id", "url"]).withColumn("is_first", rank == F.col("first")), "first-pages")
 
     more = told.where("not is_first").select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("digest").alias("d"))
     same = F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("digest") == F.col("d"))
@@ -124,7 +124,7 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record): each record's bytes, rebuilt; a response whose payload is missing fails the job."""
     heads, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    responses = heads.where("digest is not null").join(payloads, "digest", "left")
+    responses = join_salted(heads.where("digest is not null"), payloads, ["digest"], ["record_id"], "left")
     payload = F.coalesce("payload", F.raise_error(F.lit("a record's payload is not stored")).cast("binary"))
     end = F.lit(CRLF + CRLF)
     return responses.select("record_id", F.concat("head", payload, end).alias("record")).union(
@@ -157,7 +157,7 @@ def summarize(spark: SparkSession, path: str, page_type: str = "bigint") -> Data
     payload from the response they name."""
     parsed = materialize(parse_records(read_records(spark, path)), "parsed")
     named = parsed.where("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("sha"))
-    revisits = parsed.where("record_type = 'revisit'").join(named, F.col("refers_to_id") == F.col("to"), "left")
+    revisits = join_salted(parsed.where("record_type = 'revisit'").withColumnRenamed("refers_to_id", "to"), named, ["to"], ["record_id"], "left")
     fine = F.when(F.col("sha") == F.col("payload_digest"), F.col("n")).otherwise(F.raise_error(F.lit("a revisit does not match the record it refers to")))
     revisits = revisits.select("page_id", fine.alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast(page_type).alias("refers_to"))
     responses = parsed.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(page_type).alias("refers_to"))
