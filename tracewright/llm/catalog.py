@@ -17,6 +17,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
+    "quality_rules_lenient": quality_rules.quality_rules_lenient,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = quality_rules.ORACLE_SQL | warc.ORACLE_SQL | decontamination.ORACLE_SQL

@@ -133,14 +133,28 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return joined.drop("__stratum", *(f"__{r}" for r in RULES))
 
 
-def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Contract query: counts and verdict of every document."""
+def judged(spark, sf_dir: str, **risk) -> DataFrame:
+    """(doc_id, the base counts of the contract, base_failed, kept) of every document."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", STRATUM, "text")
     measured = materialize(with_measures(documents).drop("text"), "measures")
-    cutoffs = choose_cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    cutoffs = choose_cutoffs(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"), **risk)
     return judge(measured, cutoffs).select("doc_id", *[c for c in BASE if c != "n_lines"], "base_failed", "kept")
 
 
+def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Contract query: counts and verdict of every document."""
+    return judged(spark, sf_dir)
+
+
+#: A lenient risk, at which cutoffs act even on a few hundred labels.
+LENIENT = {"total_alpha": 0.2, "delta": 0.2, "good_cost": 1}
+
+
+def quality_rules_lenient(spark, sf_dir: str) -> DataFrame:
+    """The same verdict at a lenient risk."""
+    return judged(spark, sf_dir, **LENIENT)
+
+
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Pipeline stage: documents that the rules keep, unchanged. Rejected texts are named by content and stratum."""
     keyed = documents.select("doc_id", STRATUM, content_key("text").alias("__key"), "text")
@@ -150,7 +164,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.withColumn("__key", content_key("text")).join(bad, same, "left_anti").drop("__key")
 
 
-def _oracle(data: str = "documents") -> str:
+def _oracle(data: str = "documents", total_alpha: float = TOTAL_ALPHA, delta: float = DELTA, good_cost: float = GOOD_COST) -> str:
     grid = ", ".join(f"('{r}', {cut!r}::double)" for r, g in RULES.items() for cut in g)
     m = {"symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
     shares = ", ".join(f"case when {b} > 0 then {a}::double / {b} else 0 end as {r}" for r, (a, b) in m.items())
@@ -174,14 +188,14 @@ g(rule, cutoff) as (values {grid}),
 s as (select lang, count(*) filter (quality = 1) as n from h group by lang),
 k as (select h.lang, g.rule, g.cutoff, count(*) filter (quality = 1 and {value} > g.cutoff) as k,
         count(*) filter (quality = 0 and {value} > g.cutoff) as bad from h cross join g group by all),
-p as (select k.*, s.n, (select sum(exp(lgamma(s.n + 1) - lgamma(i + 1) - lgamma(s.n - i + 1) + i * ln({TOTAL_ALPHA / len(RULES)!r}) + (s.n - i) * ln(1 - {TOTAL_ALPHA / len(RULES)!r})))
+p as (select k.*, s.n, (select sum(exp(lgamma(s.n + 1) - lgamma(i + 1) - lgamma(s.n - i + 1) + i * ln({total_alpha / len(RULES)!r}) + (s.n - i) * ln(1 - {total_alpha / len(RULES)!r})))
         from unnest(range(k.k + 1)) as r(i)) as p_value
-      from k join s on k.lang is not distinct from s.lang where bad - {GOOD_COST} * k > 0),
-c as (select lang, rule, arg_max(cutoff, (bad - {GOOD_COST} * k) * 1e6 + cutoff) as cutoff from p
-      where p_value <= {DELTA!r} / ((select count(*) from s) * (select count(*) from g)) group by lang, rule)
+      from k join s on k.lang is not distinct from s.lang where bad - {good_cost} * k > 0),
+c as (select lang, rule, arg_max(cutoff, (bad - {good_cost} * k) * 1e6 + cutoff) as cutoff from p
+      where p_value <= {delta!r} / ((select count(*) from s) * (select count(*) from g)) group by lang, rule)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not exists (select 1 from c as g where g.lang is not distinct from b.lang and {value} > g.cutoff) as kept
 from b"""
 
 
-ORACLE_SQL = {"op7_quality_rules": _oracle()}
+ORACLE_SQL = {"op7_quality_rules": _oracle(), "quality_rules_lenient": _oracle(**LENIENT)}
