@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +80,38 @@ def _blocks(vectors: DataFrame, sizes: DataFrame, role: str) -> DataFrame:
     return packed.select("grp", "nb", F.col("block").alias(role), F.col("rows").alias(f"{role}_rows"))
 
 
+def _vectors_of(rows: pa.StructArray) -> np.ndarray:
+    lists = rows.field("vector")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+
+
+def _best_of_blocks(mine: pa.StructArray, others: pa.StructArray, k: int, rows: int = 256) -> pa.RecordBatch:
+    """The k nearest of one block for each row of another: squared norms and a matrix product choose who may be among
+    them, with room for rounding; distances of those are then taken exactly, ties go to the smaller id."""
+    a, b = _vectors_of(mine), _vectors_of(others)
+    owner = pa.concat_arrays([mine.field("owner"), others.field("owner")]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    norm = (b * b).sum(axis=1)
+    slack = 1e-9 * (1 + norm.max(initial=0.0))
+    left, dist, right = [], [], []
+    for x in range(0, len(a), rows):
+        part = a[x : x + rows]
+        own = (part * part).sum(axis=1)
+        d = own[:, None] + norm[None, :] - 2 * (part @ b.T)
+        d[owner[x : x + len(part), None] == owner[None, len(a) :]] = np.inf
+        edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        i, j = np.nonzero((d <= edge[:, None] + slack + 1e-9 * own[:, None]) & np.isfinite(d))
+        exact = np.sqrt(((part[i] - b[j]) ** 2).sum(axis=1))
+        order = np.lexsort((j, exact, i))  # rows of a block ascend by id
+        i, j, exact = i[order], j[order], exact[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = place < k
+        left.append(i[keep] + x)
+        dist.append(exact[keep])
+        right.append(j[keep])
+    take = lambda column, at: column.take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))
+    return pa.RecordBatch.from_arrays([take(mine.field("id"), left), pa.array(np.concatenate(dist) if dist else np.zeros(0)), take(others.field("id"), right)], ["id", "dist", "other"])
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(id, dist, other): the k nearest candidates of each query in its group with another owner.
 
@@ -89,23 +121,19 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     left = _blocks(queries, sizes, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     met = left.join(_blocks(candidates, sizes, "c").drop("nb"), ["grp", "c"])
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for rows, others in zip(pdf["q_rows"], pdf["c_rows"]):
-                a, b = np.array([r["vector"] for r in rows], np.float64), np.array([r["vector"] for r in others], np.float64)
-                mine, theirs = np.array([r["owner"] for r in rows], object), np.array([r["owner"] for r in others], object)
-                ids = np.array([r["id"] for r in others])
-                out = []
-                for x in range(0, len(a), 64):
-                    d = np.sqrt(((a[x : x + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-                    d[mine[x : x + 64, None] == theirs[None, :]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]  # ids ascend, so ties keep the smaller id
-                    for i, js in enumerate(best):
-                        out += [(rows[x + i]["id"], d[i, j], ids[j]) for j in js if np.isfinite(d[i, j])]
-                yield pd.DataFrame(out, columns=["id", "dist", "other"])
-
-    kind = dict(queries.dtypes)["id"]
-    parts = met.select("q_rows", "c_rows").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(solve, f"id {kind}, dist double, other {kind}")
+    kind = queries.schema["id"].dataType.simpleString()
+
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [_best_of_blocks(batch.column("q_rows")[i].values, batch.column("c_rows")[i].values, k) for i in range(batch.num_rows)]
+        whole = pa.Table.from_batches(found) if found else pa.table({"id": [], "dist": [], "other": []})
+        return whole.combine_chunks().to_batches()[0] if whole.num_rows else found[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield solve(batch)
+
+    parts = met.select("q_rows", "c_rows").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, f"id {kind}, dist double, other {kind}")
     best = parts.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("best"))
     return best.select("id", F.inline("best"))
 
