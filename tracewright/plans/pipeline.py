@@ -7,6 +7,7 @@ the receipts of model calls and the sink.
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def label_segments(episodes: DataFrame, provider: Provider, strategy: Strategy,
     labels = even_positions(F.col("num_frames"), F.greatest(F.lit(2), F.lit(strategy.frame_count)))
     text = lambda df: df.withColumn("items", segments.parse_answer(extract_json(F.col("answer"))))
     base = episodes.select(F.col("episode_id").cast("string").alias("episode_id"), "task", "num_frames", "fps")
-    if strategy.is_baseline:
+    if not strategy.grounded:
         got = text(ask(_requests(base, "subtasks", labels), provider, receipts)).select("episode_id", "items").join(base, "episode_id")
         return got.select("episode_id", segments.validated(F.col("items"), F.col("num_frames"), rubric.max_segments).alias("segments"), F.lit(None).cast("string").alias("error"))
     seen = ask(_requests(base, "events", labels), provider, receipts).select("episode_id", F.col("answer").alias("observations"))
@@ -153,7 +154,7 @@ def run_pipeline(config: RunConfig, episodes: DataFrame, frames: DataFrame | Non
         else:
             goals = corpus.retrieve_seeded(asked, segs, int(config.data["run"].get("seed", 0)), allowed)
         goals = goals.withColumnRenamed("frame_idx", "subgoal_frame_idx")
-    spark.range(1).select(F.lit(json.dumps(strategy.provenance(), sort_keys=True)).alias("value")).write.mode("overwrite").text(f"{out}/strategy")
+    spark.range(1).select(F.lit(json.dumps({"strategy": asdict(strategy)}, sort_keys=True)).alias("value")).write.mode("overwrite").text(f"{out}/strategy")
     canonical(flatten(own, None if meta is None else meta.drop("fps"), segs, goals)).write.mode("overwrite").parquet(f"{out}/annotations")
     return spark.read.parquet(f"{out}/annotations")
 
