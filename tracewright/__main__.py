@@ -14,6 +14,7 @@ from .functions.names import dims_table
 from .operators import corpus, export, gate, gold, metrics, reports, views
 from .plans import pipeline, providers
 from .sources import episodes as src
+from .sources.images import subgoal_images
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +31,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--model")
     c.add_argument("--strategy", default="S0")
     c.add_argument("--limit", type=int)
+    c.add_argument("--rubric", help="JSON or YAML file of thresholds and vocabularies")
+    c.add_argument("--camera-key", help="feature that holds the images of a dataset with several cameras")
+    c.add_argument("--fps", type=float, help="frame rate where the source states none")
+    c.add_argument("--no-images", action="store_true", help="don't write the images of subgoal frames")
     c = sub.add_parser("run", help="a configured run over a dataset with frames")
     c.add_argument("--config", required=True)
     c.add_argument("--target")
@@ -67,12 +72,20 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "annotate":
         episodes = src.first_episodes(src.build_source(spark, a.source, a.target), a.limit)
+        if a.fps:
+            episodes = episodes.withColumn("fps", F.coalesce("fps", F.lit(a.fps)))
+        rubric = cfg.load_rubric(a.rubric)
         strategy, provider = cfg.load_strategy(a.strategy), providers.build_provider(a.provider, a.model)
-        labelled = pipeline.label_segments(episodes, provider, strategy, cfg.Rubric(), f"{a.out}/receipts")
-        quality = pipeline.label_quality(episodes, provider, cfg.Rubric(), f"{a.out}/receipts")
+        labelled = pipeline.label_segments(episodes, provider, strategy, rubric, f"{a.out}/receipts")
+        quality = pipeline.label_quality(episodes, provider, rubric, f"{a.out}/receipts")
         segs = labelled.select("episode_id", F.inline("segments")).withColumnRenamed("evidence", "boundary_evidence")
         goals = segs.select("episode_id", "segment_idx", F.col("end_frame").alias("subgoal_frame_idx"))
         own = episodes.withColumns({"source": F.lit(a.source), "provider": F.lit(provider.name), "model": F.lit(provider.model), "strategy": F.lit(strategy.name)})
+        if a.source in ("images", "dataset") and not a.no_images:
+            frames = src.image_frames(spark, a.target) if a.source == "images" else src.camera_frames(spark, a.target, a.camera_key)
+            pictures = subgoal_images(goals, frames.where("content is not null"))
+            pictures.write.mode("overwrite").parquet(f"{a.out}/subgoal_images")
+            goals = goals.join(spark.read.parquet(f"{a.out}/subgoal_images").select("episode_id", "segment_idx", "subgoal_image_path"), ["episode_id", "segment_idx"], "left")
         schema.write_annotations(schema.flatten(own, quality, segs, goals), f"{a.out}/annotations")
     elif a.command in ("run", "demo"):
         if a.command == "demo":

@@ -25,14 +25,14 @@ def image_frames(spark: SparkSession, root: str) -> DataFrame:
 def image_episodes(spark: SparkSession, root: str, fps: float = 10.0, side: DataFrame | None = None) -> DataFrame:
     """(episode_id, task, num_frames, fps); file contents are not read. Side data overrides task and fps."""
     n = image_frames(spark, root).drop("content").groupBy("episode_id").agg(F.count("*").cast("int").alias("num_frames"))
-    return with_side(n, fps, side)
+    return with_side(n, fps, default_side(spark, root) if side is None else side)
 
 
 def video_episodes(spark: SparkSession, root: str, fps: float = 10.0, side: DataFrame | None = None) -> DataFrame:
     """(episode_id, path, task, fps) of video files; the id is the file's stem. Frames need a decoder, see ``decode``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(VIDEOS) + "}").load(root).drop("content")
     rows = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("episode_id"), "path", F.lit(None).cast("int").alias("num_frames"))
-    return with_side(rows, fps, side)
+    return with_side(rows, fps, default_side(spark, root) if side is None else side)
 
 
 def with_side(episodes: DataFrame, fps: float, side: DataFrame | None) -> DataFrame:
@@ -42,13 +42,20 @@ def with_side(episodes: DataFrame, fps: float, side: DataFrame | None) -> DataFr
 
 
 def side_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(episode_id, task, fps) of a JSON-lines file; the last line of an episode wins."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "json"))
-    rows = lines.select("line", F.from_json("json", "episode_id string, task string, fps double").alias("r")).where("r.episode_id is not null")
+    """(episode_id, task, fps) of JSON-lines files, read line by line; the last line of an episode wins."""
+    lines = spark.read.text(path).select(F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("line"), "value")
+    rows = lines.select("line", F.from_json("value", "episode_id string, task string, fps double").alias("r")).where("r.episode_id is not null")
     last = rows.groupBy("r.episode_id").agg(F.max_by("r", "line").alias("r"))
     return last.select("episode_id", "r.task", "r.fps")
 
 
+def default_side(spark: SparkSession, root: str) -> DataFrame | None:
+    """Side data of a folder: of its episodes.jsonl, or else of its tasks.jsonl, or None."""
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "{episodes,tasks}.jsonl").load(root).select("path").limit(2).collect()
+    first = min((r["path"] for r in there), default=None)
+    return None if first is None else side_metadata(spark, first)
+
+
 def decode(frames: DataFrame) -> DataFrame:
     """Add height, width and gray (row-major doubles) to (.., content), decoded in Arrow batches. Needs an image library
     on the executors; without it the call fails at once."""
@@ -82,13 +89,47 @@ def vector_frames(spark: SparkSession, root: str, column: str = "action", episod
 
 
 def dataset_episodes(spark: SparkSession, root: str, episodes: list[int] | None = None) -> DataFrame:
-    """(episode_id, task, num_frames, fps) from meta/episodes parquet with dataset_from_index, dataset_to_index."""
+    """(episode_id, task, num_frames, fps) from meta/episodes parquet with dataset_from_index, dataset_to_index.
+
+    The task is the first of ``tasks``, or ``task``; an episode that has neither takes that of its first frame.
+    """
     rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/meta/episodes")
     if episodes is not None:
         rows = rows.where(F.col("episode_index").isin(episodes))
-    task = F.get(F.col("tasks"), F.lit(0)) if "tasks" in rows.columns else F.lit(None).cast("string")
-    info = dataset_info(root)
-    return rows.select(F.col("episode_index").cast("string").alias("episode_id"), task.alias("task"), (F.col("dataset_to_index") - F.col("dataset_from_index")).cast("int").alias("num_frames"), F.lit(float(info.get("fps", 30.0))).alias("fps"))
+    kinds = dict(rows.dtypes)
+    given = [F.get(F.col(c), F.lit(0)) if kinds[c].startswith("array") else F.col(c).cast("string") for c in ("tasks", "task") if c in kinds]
+    task = F.nullif(F.trim(F.coalesce(*given)), F.lit("")) if given else F.lit(None).cast("string")
+    fps = float(dataset_info(root).get("fps", 30.0))
+    out = rows.select(F.col("episode_index").cast("string").alias("episode_id"), task.alias("task"), (F.col("dataset_to_index") - F.col("dataset_from_index")).cast("int").alias("num_frames"), F.lit(fps).alias("fps"))
+    if (first := first_frame_tasks(spark, root)) is None:
+        return out
+    return out.join(first, "episode_id", "left").select("episode_id", F.coalesce("task", "__first").alias("task"), "num_frames", "fps")
+
+
+def first_frame_tasks(spark: SparkSession, root: str) -> DataFrame | None:
+    """(episode_id, __first): the task text that the first frame of each episode states; None if frames have no such column."""
+    frames = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(f"{root}/data")
+    if "task" not in frames.columns:
+        return None
+    return frames.groupBy(F.col("episode_index").cast("string").alias("episode_id")).agg(F.min_by("task", "frame_index").alias("__first"))
+
+
+def camera_key(info: dict, wanted: str | None = None) -> str:
+    """The feature that holds a dataset's images: the one wanted, or the first."""
+    cameras = [name for name, f in info.get("features", {}).items() if f.get("dtype") in ("image", "video")]
+    if not cameras:
+        raise ValueError("the dataset has no camera feature")
+    if wanted is not None and wanted not in cameras:
+        raise ValueError(f"no camera {wanted!r}; the dataset has {', '.join(cameras)}")
+    return wanted or cameras[0]
+
+
+def camera_frames(spark: SparkSession, root: str, wanted: str | None = None) -> DataFrame:
+    """(episode_id, frame_idx, content) of the images that data/**/*.parquet holds; content is null for images kept as video."""
+    key = camera_key(dataset_info(root), wanted)
+    rows = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(f"{root}/data")
+    image = F.col(f"`{key}`.bytes") if key in rows.columns and dict(rows.dtypes)[key].startswith("struct") else F.col(f"`{key}`") if key in rows.columns else F.lit(None)
+    return rows.select(F.col("episode_index").cast("string").alias("episode_id"), F.col("frame_index").cast("int").alias("frame_idx"), image.cast("binary").alias("content"))
 
 
 def dataset_info(root: str) -> dict:
