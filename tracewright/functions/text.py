@@ -111,7 +111,8 @@ def manifest(frames: Column, fps: Column) -> Column:
 
 def clamp_quality(value: Column) -> Column:
     """Whole part cut to 1..5; null if it isn't a number."""
-    return F.greatest(F.lit(1), F.least(F.lit(5), value.cast("string").try_cast("double").cast("int")))
+    whole = safe_int(value).cast("int")
+    return F.when(whole.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), whole)))  # both skip nulls
 
 
 def safe_int(value: Column) -> Column:

@@ -34,3 +34,8 @@ def even_positions(n: Column, k: Column) -> Column:
     step = (n - 1).cast("double") / F.greatest(m - 1, F.lit(1))
     points = F.transform(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), lambda i: F.bround(i * step, 0).cast("int"))
     return F.when(n <= 1, F.array(F.lit(0))).otherwise(F.array_sort(F.array_distinct(points)))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where the body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

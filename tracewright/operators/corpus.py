@@ -208,25 +208,3 @@ def retrieve_seeded(subgoals: DataFrame, segments: DataFrame, seed: int = 0, all
     drawn = F.when(F.col("n") > F.col("m"), F.pmod(h, F.col("n") - F.col("m")))
     met = asked.withColumn("place", drawn + F.when(drawn >= F.col("first"), F.col("m")).otherwise(0)).join(numbered, ["phase", "place"], "left")
     return met.select(*subgoals.columns, "retrieved_subgoal_episode_id", "retrieved_subgoal_frame_idx")
-
-
-def retrieve_drawn(subgoals: DataFrame, segments: DataFrame, seed: int = 0, allowed: DataFrame | None = None, salts: int = 16) -> DataFrame:
-    """As ``retrieve_seeded`` in the form that the SQL of the query of that name has: only 32 frames a phase are ever picked.
-
-    A candidate's hash doesn't depend on the subgoal, so a phase needs only its two best candidates of different
-    episodes in each of ``salts`` draws; subgoals choose a draw by their own hash. No subgoal meets all candidates.
-    """
-    c = candidates_by_phase(segments, allowed).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "phase", "episode_id", "frame_idx"))
-    per_episode = c.groupBy("phase", "draw", "episode_id").agg(F.min(F.struct(h.alias("h"), F.col("frame_idx").alias("f"))).alias("b"))
-    first = per_episode.groupBy("phase", "draw").agg(F.min(F.struct(F.col("b")["h"].alias("h"), F.col("episode_id").alias("e"), F.col("b")["f"].alias("f"))).alias("first"))
-    second = per_episode.join(first, ["phase", "draw"]).where(F.col("episode_id") != F.col("first")["e"])
-    second = second.groupBy("phase", "draw").agg(F.min(F.struct(F.col("b")["h"].alias("h"), F.col("episode_id").alias("e"), F.col("b")["f"].alias("f"))).alias("second"))
-    picks = first.join(second, ["phase", "draw"], "left")
-    draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "episode_id", "segment_idx")), 1, 8), 16, 10).cast("long"), F.lit(salts)).cast("int")
-    asked = subgoals.join(segments.select("episode_id", "segment_idx", _phase(F.col("phase")).alias("phase")), ["episode_id", "segment_idx"], "left").withColumn("draw", draw)
-    met = asked.join(picks, ["phase", "draw"], "left")
-    best = F.when(F.col("first")["e"] != F.col("episode_id"), F.col("first")).otherwise(F.col("second"))
-    return met.select(*subgoals.columns, best["e"].alias("retrieved_subgoal_episode_id"), best["f"].alias("retrieved_subgoal_frame_idx"))
-
-

@@ -68,7 +68,7 @@ def update_reviews(gold: DataFrame, edits: DataFrame) -> DataFrame:
     j = gold.join(e, "episode_id", "left")
     old = F.col("gold.metadata")
     meta = F.struct(
-        F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), "__quality")), old["quality"]).cast("int").alias("quality"),
+        F.coalesce(F.when(F.col("__quality").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), "__quality"))), old["quality"]).cast("int").alias("quality"),
         F.coalesce("__mistake", F.col("auto.metadata.mistake")).alias("mistake"), F.coalesce("__reason", old["reason"]).alias("reason"), F.coalesce("__accept_auto_metadata", F.lit(False)).alias("accept_auto"),
     )
     new = F.struct(

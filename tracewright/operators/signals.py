@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import at, difference_norm, even_positions
+from ..functions.vectors import at, difference_norm, even_positions, let
 
 EPISODE = "episode_id"
 
@@ -233,10 +233,9 @@ def frame_embedding(gray: Column, height: Column, width: Column) -> Column:
     """Mean-free unit vector of a strided 12 x 12 pick from a gray image given as a row-major array."""
     gh, gw = F.greatest(F.lit(1), F.floor(height / 12)).cast("int"), F.greatest(F.lit(1), F.floor(width / 12)).cast("int")
     picks = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(11), height - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.least(F.lit(11), width - 1)), lambda x: at(gray, (y * gh * width + x * gw).cast("int")))))
-    mean = F.aggregate(picks, F.lit(0.0), lambda s, x: s + x) / F.size(picks)
-    centred = F.transform(picks, lambda x: x - mean)
-    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 1e-6, F.transform(centred, lambda x: x / norm)).otherwise(centred)
+    total = lambda v, f: F.aggregate(v, F.lit(0.0), lambda s, x: s + f(x))
+    scaled = lambda c: let(F.sqrt(total(c, lambda x: x * x)), lambda n: F.when(n > 1e-6, F.transform(c, lambda x: x / n)).otherwise(c))
+    return let(picks, lambda p: let(total(p, lambda x: x) / F.size(p), lambda mean: let(F.transform(p, lambda x: x - mean), scaled)))
 
 
 def episode_embeddings(frames: DataFrame, n_samples: int = 5) -> DataFrame:

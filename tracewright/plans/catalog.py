@@ -212,21 +212,19 @@ def retrieve_nearest(spark, d):
     return corpus.retrieve_nearest(*_phased(spark, d), s.vectors(spark, d))
 
 
-@query(f"""with {RET}, dr as (select unnest(range(16)) as draw), c as (select phase, draw, episode_id, min(md5(concat_ws(':', 0, draw, phase, episode_id, frame_idx))) as h from sg cross join dr group by all),
-rk as (select *, row_number() over (partition by phase, draw order by h) as k from c),
-q as (select *, ('0x' || substr(md5(concat_ws(':', 0, episode_id, segment_idx)), 1, 8))::bigint % 16 as draw from sg)
-select q.episode_id, q.segment_idx::bigint as segment_idx, q.frame_idx::bigint as frame_idx, case when a.episode_id <> q.episode_id then a.episode_id else b.episode_id end as retrieved_subgoal_episode_id,
-  case when a.episode_id <> q.episode_id or b.episode_id is not null then 0::bigint end as retrieved_subgoal_frame_idx
-from q left join rk a on a.phase = q.phase and a.draw = q.draw and a.k = 1 left join rk b on b.phase = q.phase and b.draw = q.draw and b.k = 2""")
+SEED = f"""with {RET}, p as (select *, row_number() over (partition by phase order by substr(md5(episode_id::varchar), 1, 3), episode_id) - 1 as place, count(*) over (partition by phase) as n from sg),
+q as (select *, case when n > 1 then ('0x' || substr(md5(concat_ws(':', 0, episode_id, segment_idx)), 1, 15))::bigint % (n - 1) end as j from p)
+select q.episode_id, q.segment_idx::bigint as segment_idx, q.frame_idx::bigint as frame_idx, p.episode_id as retrieved_subgoal_episode_id, case when p.episode_id is not null then 0::bigint end as retrieved_subgoal_frame_idx
+from q left join p on p.phase = q.phase and p.place = case when q.j >= q.place then q.j + 1 else q.j end"""
+
+
+@query(SEED)
 def retrieve_seeded(spark, d):
-    """The form of the SQL, 16 draws a phase; ``retrieve_seeded_all`` and the engine's runs pick among all candidates."""
-    return corpus.retrieve_drawn(*_phased(spark, d))
+    """A same-phase frame of another episode, picked among all there are."""
+    return corpus.retrieve_seeded(*_phased(spark, d))
 
 
-@query(f"""with {RET}, p as (select *, row_number() over (partition by phase order by substr(md5(episode_id::varchar), 1, 3), episode_id) - 1 as place, count(*) over (partition by phase) as n from sg),
-q as (select *, case when n > 1 then ('0x' || substr(md5(concat_ws(':', 0, episode_id, segment_idx)), 1, 15))::bigint % (n - 1) end as j from p)
-select q.episode_id, q.segment_idx::bigint as segment_idx, q.frame_idx::bigint as frame_idx, p.episode_id as retrieved_subgoal_episode_id, case when p.episode_id is not null then 0::bigint end as retrieved_subgoal_frame_idx
-from q left join p on p.phase = q.phase and p.place = case when q.j >= q.place then q.j + 1 else q.j end""")
+@query(SEED)
 def retrieve_seeded_all(spark, d):
     return corpus.retrieve_seeded(*_phased(spark, d))
 
@@ -515,9 +513,9 @@ def phase_lookup(spark, d):
     return views.phase_segments(s.conversations(spark, d), " USER ")
 
 
-@query(f"with {CONV}, e as (select episode_id, max(end_frame) + 1 as n from seg group by 1), g as (select episode_id, arg_min(end_frame, segment_idx) as f from seg where episode_id % 2 = 0 group by 1) select e.episode_id, coalesce(f, floor(n / 2))::bigint as thumb_frame from e left join g on e.episode_id = g.episode_id")
+@query(f"with {CONV}, e as (select episode_id, max(end_frame) + 1 as n from seg group by 1), g as (select episode_id, arg_min(end_frame, segment_idx) as f from seg group by 1) select e.episode_id, coalesce(f, floor(n / 2))::bigint as thumb_frame from e left join g on e.episode_id = g.episode_id")
 def thumb_frames(spark, d):
-    goals = s.conversations(spark, d).where("episode_id % 2 = 0").select("episode_id", "segment_idx", F.col("end_frame").alias("subgoal_frame_idx"))
+    goals = s.conversations(spark, d).select("episode_id", "segment_idx", F.col("end_frame").alias("subgoal_frame_idx"))
     return views.thumb_frames(s.conversation_episodes(spark, d), goals)
 
 
@@ -537,10 +535,17 @@ def enabled_modules(spark, d):
     return views.enabled_modules(meta, segments_of(a), subgoals_of(a)).select("episode_id", F.array_join("modules", ",").alias("modules"))
 
 
-@query(f"with {PAIR}, e as (select distinct episode_id from seg) select e.episode_id::varchar as episode_id, round(least(1.0, x.iou), 4) as sort_iou, 0::bigint as n_flags from e join (select episode_id, avg(iou) as iou from pr group by 1) x on e.episode_id = x.episode_id")
+PAY = f"""with {PAIR}, st as (select episode_id, count(*) as k, avg(end_frame - start_frame + 1) as m, stddev_pop(end_frame - start_frame + 1) / nullif(avg(end_frame - start_frame + 1), 0) as cv, count(nullif(text, '')) as nt, count(distinct lower(trim(nullif(text, '')))) as dt from seg group by 1),
+io as (select episode_id, avg(iou) as iou from pr group by 1) select st.episode_id::varchar as episode_id, round(least(1.0, io.iou), 4) as sort_iou, ((k <= 1)::int + (k >= 3 and m > 0 and cv < 0.12)::int + (dt < nt)::int)::bigint as n_flags from st join io on st.episode_id = io.episode_id"""
+
+
+@query(PAY)
 def episode_payloads(spark, d):
-    none = spark.createDataFrame([], "episode_id string, check string, detail string")
-    return views.episode_payloads(s.conversation_episodes(spark, d), _tracks(spark, d), none).select("episode_id", "sort_iou", "n_flags")
+    """With the flags of the rules over segments."""
+    segs = s.conversations(spark, d)
+    stats = gate.segment_stats(segs)
+    flags = gate.degenerate(segs.select("episode_id").distinct(), stats).union(gate.uniform(stats)).union(gate.repeated_text(stats))
+    return views.episode_payloads(s.conversation_episodes(spark, d), _tracks(spark, d), flags).select("episode_id", "sort_iou", "n_flags")
 
 
 @query()
@@ -566,21 +571,21 @@ def review_order(spark, d):
     return gold.review_order(g.select("episode_id", F.col("episode_id").alias("ord"), gold.is_reviewed().alias("reviewed"))).select("episode_id", "previous", "following", "next_unreviewed")
 
 
-@query(f"with {CONV}, e as (select distinct episode_id from seg) select episode_id, case when episode_id % 7 = 0 then 5 when episode_id % 3 <> 0 then episode_id % 4 + 1 end as quality, case when episode_id % 7 = 0 then episode_id % 2 = 0 end as mistake, case when episode_id % 7 = 0 then 'seen' end as reason from e")
+@query(f"with {CONV}, e as (select distinct episode_id from seg) select episode_id, case when episode_id % 7 = 0 then 5 when episode_id % 3 <> 0 then episode_id % 4 + 1 end as quality, episode_id % 2 = 0 as mistake, 'seen' as reason from e")
 def gold_update(spark, d):
-    """Edits of every seventh episode laid over the gold table; its quality is cut to the scale."""
+    """Edits of every episode laid over the gold table; those that give a quality give one beyond the scale, which is cut."""
     g = _gold(spark, d)
     seg = "array<struct<segment_idx:int,fields:map<string,string>>>"
-    edits = g.where("episode_id % 7 = 0").select("episode_id", F.lit(9).alias("quality"), F.lit(None).cast("boolean").alias("mistake"), F.lit("seen").alias("reason"), F.lit(False).alias("accept_auto_metadata"), F.array().cast(seg).alias("subtasks"), F.array().cast(seg).alias("subgoals"), F.lit(None).cast("string").alias("review_notes"))
+    edits = g.select("episode_id", F.when(F.col("episode_id") % 7 == 0, 9).alias("quality"), F.lit(None).cast("boolean").alias("mistake"), F.lit("seen").alias("reason"), F.lit(False).alias("accept_auto_metadata"), F.array().cast(seg).alias("subtasks"), F.array().cast(seg).alias("subgoals"), F.lit(None).cast("string").alias("review_notes"))
     return gold.update_reviews(g, edits).select("episode_id", F.col("gold.metadata.quality").alias("quality"), F.col("gold.metadata.mistake").alias("mistake"), F.col("gold.metadata.reason").alias("reason"))
 
 
-@query(f"with {CONV}, e as (select distinct episode_id from seg where episode_id % 4 <> 0) select episode_id, case when episode_id % 2 = 0 and episode_id % 3 <> 0 then episode_id % 4 + 1 end as quality from e")
+@query(f"with {CONV}, e as (select distinct episode_id from seg) select episode_id, case when episode_id % 3 <> 0 then episode_id % 4 + 1 end as quality from e")
 def gold_sync(spark, d):
-    """Fresh template of three episodes in four; human labels of the even ones are kept, the rest are new."""
+    """Fresh template of all episodes; the human labels that there are stay."""
     g = _gold(spark, d)
-    fresh = g.where("episode_id % 4 <> 0").withColumn("gold", F.lit(None).cast(dict(g.dtypes)["gold"]))
-    return gold.synchronise(fresh, g.where("episode_id % 2 = 0")).select("episode_id", F.col("gold.metadata.quality").alias("quality"))
+    fresh = g.withColumn("gold", F.lit(None).cast(dict(g.dtypes)["gold"]))
+    return gold.synchronise(fresh, g).select("episode_id", F.col("gold.metadata.quality").alias("quality"))
 
 
 def _gold_labels(spark, d):
@@ -664,3 +669,6 @@ def event_windows(spark, d):
 
     ev = s.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return windows(ev, "ts").select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", r("total", 4))
+
+
+from . import catalog_more  # noqa: E402, F401 - registers its queries under the same names
