@@ -53,6 +53,22 @@ def test_given_documents(spark):
             assert all(abs(seen[number[s]] - k * want[s] / total) < 8 for s in want)
 
 
+def test_slots_hold_the_words_that_are_taken(spark):
+    rows = [(i, "abc"[i % 3] if i % 5 else None, " ".join(["w"] * (i * 37 % 211)), None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size string")
+    mixed, slots, targets = m.mix(docs, block=50)
+    got = m.slot_words(mixed, slots, targets, block=50).collect()
+    per_doc, per_slot, seen = defaultdict(int), defaultdict(int), set()
+    for r in got:
+        per_doc[r["doc_id"]] += r["last"] - r["first"]
+        per_slot[r["slot"]] += r["last"] - r["first"]
+        words = {(r["doc_id"], r["epoch"], x) for x in range(r["first"], r["last"])}
+        assert not words & seen  # a word is taken once an epoch
+        seen |= words
+    assert {r["doc_id"]: r["taken"] for r in mixed.collect() if r["taken"]} == dict(per_doc)
+    assert {r["slot"]: r["end"] - r["begin"] for r in slots.collect()} == dict(per_slot)
+
+
 def test_edges(spark):
     words = lambda n: " ".join(["w"] * n)
     rows = [(1, "b", words(5000), "x"), (2, "a", words(3), "x"), (2, "a", words(3), "x"), (None, None, words(700), None), (4, None, None, None), (5, "c", "", None), (6, "é", " \n ", None), (7, "d", words(1), None)]

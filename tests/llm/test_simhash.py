@@ -31,6 +31,13 @@ def label(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
+def test_extra_columns_and_a_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, long, 5, "x"), (2, long + " end", 6, "y"), (3, "other words", 7, None)], "doc_id long, text string, fp int, node string")
+    assert [tuple(r)[::2] for r in sorted(s.components(docs).collect())] == [(1, 1), (2, 1), (3, 3)]
+    assert sorted(s.keep_one(docs).collect()) == [(1, long, 5, "x"), (3, "other words", 7, None)]
+
+
 def brute(rows):
     fps = [print_of(t) for _, t in rows]
     edges = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4]

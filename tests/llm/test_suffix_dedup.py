@@ -72,6 +72,16 @@ def test_columns_find_equal_windows():
     assert {(i, a) for v in where.values() if len(v) > 1 for i, a in v} == set(zip(*(x.tolist() for x in np.nonzero(flags))))
 
 
+def test_clashing_columns_and_many_copies(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(700))
+    rows = [(i, text, i, "x") for i in range(600)] + [(1000, text[:450] + "é" * 300, 1, "y"), (1001, None, 2, "z"), (1002, "short", 3, "s"), (1003, "short", 3, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 long, anchors string")
+    got = {r["doc_id"]: r for r in s.dedup(docs).collect()}
+    texts = [(r[1] or "").encode() for r in rows]
+    for (i, *_), t, (n, runs, kept) in zip(rows, texts, brute(texts, 400)):
+        assert (sum(x["b"] - x["a"] for x in got[i]["removed"]), len(got[i]["removed"]), bytes(got[i]["kept"]), got[i]["n_bytes"]) == (n, runs, kept, len(t))
+
+
 def test_no_rows(spark):
     assert s.removals(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

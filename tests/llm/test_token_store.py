@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import zlib
 
@@ -53,6 +54,33 @@ def test_round_trip(spark):
     assert t.read_summaries(spark, empty).count() == 0
 
 
+def test_clashing_columns_and_a_very_long_text(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    long = " ".join(f"w{i % 5003}, é{i}" for i in range(150_000))
+    rows = [(2, long, "x", b"r", [1]), (1, "a b", "chunk", None, None), (1, "a b", "doc", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, root binary, digests array<int>")
+    got = sorted(map(tuple, t.read_summaries(spark, t.write_store(docs, PATH)).collect()), key=lambda r: r[1])
+    start = 0
+    for (i, begin, n, crc), text in zip(got, ("a b", "a b", long)):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert (begin, n, crc) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += n
+    assert [r[0] for r in got] == [1, 1, 2]
+
+
+def test_shard_roots_over_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(t, "FAN", 4)
+    leaves = [hashlib.blake2b(bytes([i]), digest_size=32).digest() for i in range(37)]
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(leaves)] + [(1, 0, leaves[0])], "shard int, place long, root binary")
+    level = leaves
+    while True:
+        level = [t.merkle_root(level[a : a + 4]) for a in range(0, len(level), 4)]
+        if len(level) == 1:
+            break
+    one = t.merkle_root([t.merkle_root([t.merkle_root([leaves[0]])])])
+    assert {r["shard"]: bytes(r["root"]) for r in t.shard_roots(df).collect()} == {0: level[0], 1: one}
+
+
 def test_a_changed_chunk_is_found(spark):
     docs = spark.createDataFrame([(1, "some text here")], "doc_id long, text string")
     path = t.write_store(docs, PATH)

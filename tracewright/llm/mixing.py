@@ -151,6 +151,25 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     return out.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("__taken", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).drop("__taken", "__some"), slots, targets
 
 
+def slot_words(mixed: DataFrame, slots: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(slot, source_no, doc_id, epoch, first, last): which words of which document each slot takes, first to before last.
+
+    The arguments are those that ``mix`` returns. Read in the order of slot, epoch and the place on the line (``start``),
+    this is the mix itself. Documents and slots meet by number of their block on the line of one epoch.
+    """
+    sizes = targets.select("source_no", F.col("source_size").alias("__n"))
+    each = slots.join(sizes, "source_no").withColumn("epoch", F.explode(F.sequence(F.floor(F.col("begin") / F.col("__n")), F.floor((F.col("end") - 1) / F.col("__n")))))
+    a, b = F.greatest(F.col("begin") - F.col("epoch") * F.col("__n"), F.lit(0).cast("long")), F.least(F.col("end") - F.col("epoch") * F.col("__n"), F.col("__n"))
+    cells = lambda x, y: F.explode(F.sequence(F.floor(x / block), F.floor((y - 1) / block)))
+    parts = each.select("slot", "source_no", "epoch", a.alias("a"), b.alias("b")).withColumn("cell", cells(F.col("a"), F.col("b")))
+    docs = mixed.where("size > 0").select("source_no", "doc_id", "start", "size").withColumn("cell", cells(F.col("start"), F.col("start") + F.col("size")))
+    met = parts.join(docs, ["source_no", "cell"])
+    first = F.greatest("a", "start", F.col("cell") * block) - F.col("start")
+    last = F.least(F.col("b"), F.col("start") + F.col("size"), (F.col("cell") + 1) * block) - F.col("start")
+    met = met.select("slot", "source_no", "epoch", "start", "doc_id", first.alias("first"), last.alias("last")).where("first < last")
+    return met.groupBy("slot", "source_no", "epoch", "start", "doc_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     """Contract query: the mix of all documents."""
     mixed, _, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
