@@ -34,7 +34,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCK = 4096
 #: Documents of a bucket and slots of a range, about; a task sorts one at a time.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 RANGE_SLOTS = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # frac of the golden ratio, times 2**64
 
