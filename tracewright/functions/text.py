@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 SUCCESS_WORDS = ["success", "successfully", "completed", "clean", "placed", "resting", "inside"]
 FAILURE_WORDS = ["fail", "failed", "failing", "unfinished", "wrong", "incomplete", "mistake", "incorrect", "drop"]
 NEGATORS = ["no", "not", "without", "none", "never"]
-STOP_WORDS = (
-    "after across above and before beside from into onto over that the toward towards with without then while back down "
-    "approach approaches align aligns ascend bring brings carry carries complete completes completed descend drop drops finish finishes grasp "
-    "grasps grasping grip grips hold holds hover hovers insert inserts leave lift lifts lower lowers lowered move moves moving pick picks "
-    "pickup place places placing position positions positioned pull pulls push pushes raise raises raised reach reaches reaching relocate "
-    "relocates release releases retract retracts retreat retreats return returns rotate rotates scoop set sets settle slide slides stabilize "
-    "stabilizes steady transport transports transporting turn turns withdraw arm gripper robot hand effector manipulator wrist claw "
-    "clear destination edge empty object objects partial task target "
-    "black blue green gray grey metal orange pink purple red silver sink white yellow"
-).split()
+STOP_WORDS = [
+    "after", "across", "above", "and", "before", "beside", "from", "into", "onto", "over", "that", "the", "toward", "towards", "with", "without",
+    "then", "while", "back", "down", "approach", "approaches", "align", "aligns", "ascend", "bring", "brings", "carry", "carries", "complete",
+    "completes", "completed", "descend", "drop", "drops", "finish", "finishes", "grasp", "grasps", "grasping", "grip", "grips", "hold", "holds",
+    "hover", "hovers", "insert", "inserts", "leave", "lift", "lifts", "lower", "lowers", "lowered", "move", "moves", "moving", "pick", "picks",
+    "pickup", "place", "places", "placing", "position", "positions", "positioned", "pull", "pulls", "push", "pushes", "raise", "raises", "raised",
+    "reach", "reaches", "reaching", "relocate", "relocates", "release", "releases", "retract", "retracts", "retreat", "retreats", "return", "returns",
+    "rotate", "rotates", "scoop", "set", "sets", "settle", "slide", "slides", "stabilize", "stabilizes", "steady", "transport", "transports",
+    "transporting", "turn", "turns", "withdraw", "arm", "gripper", "robot", "hand", "effector", "manipulator", "wrist", "claw", "clear",
+    "destination", "edge", "empty", "object", "objects", "partial", "task", "target", "black", "blue", "green", "gray", "grey", "metal", "orange",
+    "pink", "purple", "red", "silver", "sink", "white", "yellow",
+]
 PLACEHOLDER_REASONS = ["one short sentence", "specific evidence consistent with both scores", "mock: placeholder reason, not derived from the frames"]
 NO_TARGET = ["", "none", "n/a", "na", "-", "null", "the scene", "scene", "object"]
 WIND_DOWN = ["retract", "withdraw", "retreat", "return", "go home", "home", "reset", "back away"]

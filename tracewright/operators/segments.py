@@ -14,6 +14,7 @@ from ..functions.text import clean_target, contact_kind, is_wind_down, target_op
 SEGMENT = "struct<segment_idx:int,start_frame:int,end_frame:int,subtask_text:string,phase:string,evidence:string,target:string>"
 SEGMENTS = f"array<{SEGMENT}>"
 ANSWER = "array<struct<end_frame:string,end_step:string,subtask_text:string,text:string,description:string,phase:string,evidence:string,target:string>>"
+#: Default phases and the error texts of ``grounded`` are fixed values: stored answers and reports state them.
 PHASES = ["approach", "grasp", "transport", "release-place", "retract"]
 
 
