@@ -17,7 +17,7 @@ from ..operators import gold, segments, signals, views
 from ..schema import canonical, episode_ids, episode_view, segments_of, subgoals_of
 from ..sources import episodes as src
 from . import stand_ins as s
-from .catalog import CONV, FR, ORACLE_SQL, SC, _annotations, _gold, query, r
+from .catalog import CONV, EVEN, FR, ORACLE_SQL, SC, TR, _annotations, _gold, query, r
 
 
 def pick(values: list[str | None], by: str) -> tuple[Callable[[], F.Column], str]:
@@ -352,4 +352,23 @@ select episode_id::varchar as episode_id, 'grounded/s0_a0' as stage, 200::bigint
     "thumb_frames_all": f"with {CONV} select episode_id, arg_min(end_frame, segment_idx) as thumb_frame from seg group by 1",
     "gold_update_all": f"with {CONV}, {SC}, e as (select distinct episode_id from seg) select e.episode_id, sc.quality, case when sc.quality is not null then coalesce(sc.mistake, e.episode_id % 2 = 0) end as mistake, case when sc.quality is not null then 'seen' end as reason from e left join sc on e.episode_id = sc.episode_id",
     "gold_sync_all": f"with {CONV}, {SC}, e as (select distinct episode_id from seg) select e.episode_id, sc.quality from e left join sc on e.episode_id = sc.episode_id",
+    "boundary_scores": f"""with recursive {EVEN}, {ENDS},
+p as (select episode_id, list(end_frame order by segment_idx) as ps from ev group by 1), g as (select episode_id, list_sort(list(end_frame order by segment_idx)[:-2]) as gs from seg group by 1),
+j as (select p.episode_id, ps[:-2] as ps, gs from p join g on p.episode_id = g.episode_id),
+r as (select episode_id, 0 as k, ps as rest, []::bigint[] as errors, gs, ps from j
+union all select episode_id, k + 1, case when best is null then rest else list_filter(rest, lambda x, i: i <> best.i) end, case when best is null then errors else list_append(errors, best.d) end, gs, ps
+  from (select *, list_sort(list_filter(list_transform(rest, lambda x, i: struct_pack(d := abs(x - gs[k + 1]), i := i)), lambda b: b.d <= 40))[1] as best from r where k < len(gs)))
+select episode_id, len(errors)::bigint as matched, len(ps)::bigint as n_pred, len(gs)::bigint as n_gold, case when len(ps) > 0 then len(errors) / len(ps)::double end as precision, case when len(gs) > 0 then len(errors) / len(gs)::double end as recall,
+  case when len(errors) > 0 then list_sum(errors) / len(errors)::double end as mae from r where k = len(gs)""",
+    "snapped_segments": f"""with recursive {TR}, k as (select episode_id, min(frame_idx) as frame_idx from tr group by 1
+union all select episode_id, n from (select k.episode_id, (select min(r.frame_idx) from tr r where r.episode_id = k.episode_id and r.frame_idx >= k.frame_idx + 8) as n from k) where n is not null),
+m as (select k.episode_id, k.frame_idx as f, kind from k join tr on k.episode_id = tr.episode_id and k.frame_idx = tr.frame_idx),
+n as (select episode_id, greatest(count(*) - 1, 3) as l from fr where episode_id in (select episode_id from m) group by 1),
+e as (select episode_id, l, [round_even(i * l / 4.0::double, 0)::bigint for i in range(4)] as s from n),
+b as (select episode_id, s, [greatest(s[1], s[2] - 1), greatest(s[2], s[3] - 1), greatest(s[3], s[4] - 1), l] as e from e),
+x as (select *, (select min(struct_pack(d := abs(f - e[1]), f := f)) from m where m.episode_id = b.episode_id and kind = 'close') as c from b),
+y as (select *, case when c.d <= 8 and c.f > s[1] and c.f < e[2] then c.f end as c0, (select min(struct_pack(d := abs(f - e[2]), f := f)) from m where m.episode_id = x.episode_id and kind = 'open') as o from x),
+z as (select *, case when o.d <= 8 and o.f > coalesce(c0 + 1, s[2]) and o.f < e[3] then o.f end as o1 from y),
+w as (select episode_id, [s[1], coalesce(c0 + 1, s[2]), coalesce(o1 + 1, s[3]), s[4]] as s, [coalesce(c0, e[1]), coalesce(o1, e[2]), e[3], e[4]] as e from z)
+select episode_id, i as segment_idx, s[i + 1] as start_frame, e[i + 1] as end_frame, p[i + 1] as subtask_text, p[i + 1] as phase, null::varchar as evidence, null::varchar as target from w, (select ['approach', 'grasp', 'release', 'retract'] as p), (select unnest(range(4)) as i)""",
 }
