@@ -17,7 +17,7 @@ from ..operators import gold, segments, signals, views
 from ..schema import canonical, episode_ids, episode_view, segments_of, subgoals_of
 from ..sources import episodes as src
 from . import stand_ins as s
-from .catalog import CONV, EVEN, FR, ORACLE_SQL, SC, TR, _annotations, _gold, query, r
+from .catalog import CONV, EE, EVEN, FR, ORACLE_SQL, SC, TR, _annotations, _gold, query, r
 
 
 def pick(values: list[str | None], by: str) -> tuple[Callable[[], F.Column], str]:
@@ -371,4 +371,21 @@ y as (select *, case when c.d <= 8 and c.f > s[1] and c.f < e[2] then c.f end as
 z as (select *, case when o.d <= 8 and o.f > coalesce(c0 + 1, s[2]) and o.f < e[3] then o.f end as o1 from y),
 w as (select episode_id, [s[1], coalesce(c0 + 1, s[2]), coalesce(o1 + 1, s[3]), s[4]] as s, [coalesce(c0, e[1]), coalesce(o1, e[2]), e[3], e[4]] as e from z)
 select episode_id, i as segment_idx, s[i + 1] as start_frame, e[i + 1] as end_frame, p[i + 1] as subtask_text, p[i + 1] as phase, null::varchar as evidence, null::varchar as target from w, (select ['approach', 'grasp', 'release', 'retract'] as p), (select unnest(range(4)) as i)""",
+    "proprioceptive_segments": f"""with recursive {EE}, cl as (select episode_id, frame_idx, (x - min(x) over p) / (max(x) over p - min(x) over p) < 0.5 as c, max(x) over p - min(x) over p as w from (select *, (event_id % 7)::double as x from fr) window p as (partition by episode_id)),
+tr as (select episode_id, frame_idx from (select *, lag(c) over (partition by episode_id order by frame_idx) as was from cl) where was <> c and w > 1e-9),
+k as (select episode_id, min(frame_idx) as frame_idx from tr group by 1
+union all select episode_id, n from (select k.episode_id, (select min(r.frame_idx) from tr r where r.episode_id = k.episode_id and r.frame_idx >= k.frame_idx + 8) as n from k) where n is not null),
+fi as (select episode_id, min(frame_idx) as g, max(frame_idx) as r from k group by 1),
+a as (select episode_id, g as f, 0 as floor from fi union all select episode_id, r, g + 1 from fi where r > g),
+pz as (select a.episode_id, f, arg_min(es.i, struct_pack(s := es.s, i := es.i)) as b from a join es on es.episode_id = a.episode_id and es.i >= greatest(floor, f - 40) and es.i < f and f - greatest(floor, f - 40) >= 2 group by 1, 2),
+lo as (select *, s < quantile_cont(s, 0.25) over (partition by episode_id) as low, count(*) over (partition by episode_id) as n from es),
+lr as (select *, sum(case when low then 0 else 1 end) over (partition by episode_id order by i) as run from lo),
+al as (select episode_id, floor((a + b + 1) / 2)::bigint as b from (select episode_id, run, min(i) as a, max(i) as b, any_value(n) as n from lr where low and n >= 4 group by 1, 2) where a >= 1 and a < n - 1 and episode_id not in (select episode_id from fi)),
+n as (select episode_id, count(*) as n from fr group by 1),
+mk as (select distinct x.episode_id, b from (select episode_id, f as b from a union all select episode_id, b from pz union all select episode_id, b from al) x join n on n.episode_id = x.episode_id where b > 0 and b < n - 1),
+kp as (select episode_id, min(b) as b from mk group by 1 union all select episode_id, x from (select kp.episode_id, (select min(m.b) from mk m where m.episode_id = kp.episode_id and m.b >= kp.b + 5) as x from kp) where x is not null),
+ed as (select episode_id, -1 as b from n union all select * from kp),
+sg as (select ed.episode_id, b, row_number() over w - 1 as i, lead(b) over w as nx, n from ed join n on n.episode_id = ed.episode_id window w as (partition by ed.episode_id order by b)),
+ph as (select *, coalesce(['approach', 'grasp', 'transport', 'release-place', 'retract'][i + 1], 'other') as p from sg)
+select episode_id, i as segment_idx, b + 1 as start_frame, coalesce(nx, n - 1) as end_frame, case when n <= 1 then 'complete the task' else p || ' (proprioceptive)' end as subtask_text, case when n <= 1 then 'other' else p end as phase, case when n > 1 then 'gripper/end-effector event' end as evidence, null::varchar as target from ph""",
 }
