@@ -17,7 +17,7 @@ from ..operators import gold, segments, signals, views
 from ..schema import canonical, episode_ids, episode_view, segments_of, subgoals_of
 from ..sources import episodes as src
 from . import stand_ins as s
-from .catalog import CONV, EE, EVEN, FR, ORACLE_SQL, SC, TR, _annotations, _gold, query, r
+from .catalog import CONV, EE, EVEN, FR, ORACLE_SQL, OUT, PAIR, SC, TOK, TR, _annotations, _gold, query, r
 
 
 def pick(values: list[str | None], by: str) -> tuple[Callable[[], F.Column], str]:
@@ -344,6 +344,11 @@ def first_ten(spark, d):
 
 # --- oracles of queries that had none
 
+
+def _unnegated(words: list[str]) -> str:
+    return f"len(list_filter(range(1, len(t) + 1), lambda i: list_contains({words!r}, t[i]) and not list_has_any(t[greatest(i - 10, 1) : i - 1], {text.NEGATORS!r}))) > 0"
+
+
 _EVEN4 = "round_even(i * greatest(l, 3) / 4.0::double, 0)::bigint"
 ORACLE_SQL |= {
     "mock_answers": f"""with {CONV}, e as (select episode_id, max(end_frame) as l from seg group by 1), b as (select *, unnest(range(4)) as i from e),
@@ -388,4 +393,20 @@ ed as (select episode_id, -1 as b from n union all select * from kp),
 sg as (select ed.episode_id, b, row_number() over w - 1 as i, lead(b) over w as nx, n from ed join n on n.episode_id = ed.episode_id window w as (partition by ed.episode_id order by b)),
 ph as (select *, coalesce(['approach', 'grasp', 'transport', 'release-place', 'retract'][i + 1], 'other') as p from sg)
 select episode_id, i as segment_idx, b + 1 as start_frame, coalesce(nx, n - 1) as end_frame, case when n <= 1 then 'complete the task' else p || ' (proprioceptive)' end as subtask_text, case when n <= 1 then 'other' else p end as phase, case when n > 1 then 'gripper/end-effector event' end as evidence, null::varchar as target from ph""",
+    "gate_all": f"""with {OUT}, {CONV}, st as (select episode_id, count(*) as k, avg(end_frame - start_frame + 1) as m, stddev_pop(end_frame - start_frame + 1) / nullif(avg(end_frame - start_frame + 1), 0) as cv, count(nullif(text, '')) as nt, count(distinct lower(trim(nullif(text, '')))) as dt from seg group by 1),
+o as (select doc_id, lower(text) as o from documents where text is not null), gr as (select seg.episode_id, list_filter({TOK % 'seg.text'}, lambda w: not contains(o, w) and not contains('talk', w))[1] as w from seg join o on seg.episode_id = o.doc_id),
+tk as (select episode_id, quality as q, coalesce(mistake, false) as mistake, regexp_extract_all(lower(coalesce(reason, '')), '[a-z0-9_]+') as t from sc where quality is not null), wd as (select *, {_unnegated(text.SUCCESS_WORDS)} as good, {_unnegated(text.FAILURE_WORDS)} as bad from tk),
+dq as (select count(quality) as n, count(distinct quality) as d, string_agg(distinct quality::varchar, ', ') as qs from sc)
+select episode_id::varchar as episode_id, 'repeated_subtask_text' as "check", 'duplicate subtask text within episode' as detail from st where dt < nt
+union all select episode_id::varchar, 'object_grounding', chr(39) || w || chr(39) || ' not in stage-one observation' from gr where w is not null
+union all select episode_id::varchar, 'placeholder_reason', 'missing or templated reason' from sc where list_contains({['', *text.PLACEHOLDER_REASONS]!r}, lower(trim(coalesce(reason, ''))))
+union all select episode_id::varchar, 'score_reason_contradiction', 'low quality with success reason' from wd where q <= 2 and good and not bad
+union all select episode_id::varchar, 'score_reason_contradiction', 'high quality with failure reason' from wd where q >= 4 and bad and not good
+union all select episode_id::varchar, 'score_reason_contradiction', 'mistake=true with perfect quality' from wd where mistake and q >= 5
+union all select episode_id::varchar, 'degenerate_single_segment', 'a single subtask spans the whole episode' from st where k <= 1
+union all select episode_id::varchar, 'uniform_split', 'segment lengths are near-uniform (boundaries not grounded to frames)' from st where k >= 3 and m > 0 and cv < 0.12
+union all select '__dataset__', 'collapsed_score_distribution', 'only ' || d || ' distinct quality score(s) [' || qs || '] across ' || n || ' episodes' from dq where n >= 8 and d < 2
+union all select episode_id, "check", detail from ol""",
 }
+ORACLE_SQL["episode_payloads_all"] = f"""with ga as ({ORACLE_SQL['gate_all']}), n as (select episode_id, count(*) as n from ga group by 1), {PAIR}, io as (select episode_id::varchar as episode_id, avg(iou) as iou from pr group by 1)
+select io.episode_id, round(least(1.0, iou), 4) as sort_iou, coalesce(n.n, 0)::bigint as n_flags from io left join n on n.episode_id = io.episode_id"""
