@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from ..functions.vectors import let
 from ..operators import gold, segments, signals, views
-from ..schema import canonical, episode_ids, episode_view, segments_of, subgoals_of
+from ..schema import SCHEMA_VERSION, canonical, episode_ids, episode_view, segments_of, subgoals_of
 from ..sources import episodes as src
 from . import stand_ins as s
 from .catalog import CONV, EE, EVEN, FR, ORACLE_SQL, OUT, PAIR, SC, TOK, TR, _annotations, _gold, query, r
@@ -410,3 +410,8 @@ union all select episode_id, "check", detail from ol""",
 }
 ORACLE_SQL["episode_payloads_all"] = f"""with ga as ({ORACLE_SQL['gate_all']}), n as (select episode_id, count(*) as n from ga group by 1), {PAIR}, io as (select episode_id::varchar as episode_id, avg(iou) as iou from pr group by 1)
 select io.episode_id, round(least(1.0, iou), 4) as sort_iou, coalesce(n.n, 0)::bigint as n_flags from io left join n on n.episode_id = io.episode_id"""
+ORACLE_SQL["export_json_lines"] = f"""with {CONV}, {SC}, {ENDS}, li as (select episode_id, list(struct_pack(segment_idx := segment_idx, frame_idx := end_frame, image_path := null::varchar) order by segment_idx) as goals,
+  list(struct_pack(segment_idx := segment_idx, active_dof := null::varchar, end_frame := end_frame, start_frame := start_frame, subtask_text := text) order by segment_idx) as segs from seg group by 1)
+select nn.episode_id::varchar as episode_id, json_object('boundary_clarity', null, 'control_modality', null, 'control_mode', null, 'cost_usd', null, 'episode_id', nn.episode_id::varchar, 'fps', 10.0::double, 'mistake', sc.mistake, 'model', null, 'num_frames', l + 1,
+  'provider', null, 'quality', sc.quality, 'reason', sc.reason, 'schema_version', '{SCHEMA_VERSION}', 'source', null, 'subgoals', goals, 'subtasks', segs, 'task', 'talk', 'task_success_quality', null)::varchar as json
+from nn join li on nn.episode_id = li.episode_id left join sc on nn.episode_id = sc.episode_id"""
