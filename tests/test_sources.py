@@ -60,12 +60,10 @@ def test_annotate_with_rubric_and_images(spark, folder):
     r = config.load_rubric(folder / "r.json")
     assert (r.keyframes, r.phase_vocabulary, r.max_segments, r.min_segments, r.gate.quality_outlier_margin) == (4, ("approach", "grasp", "transport", "other"), 5, 3, 3)
     assert config.load_rubric() == config.Rubric()
-    a = ["annotate", "--source", "images", "--target", str(folder), "--strategy", "S2", "--rubric", str(folder / "r.json"), "--fps", "5"]
-    for more, pictures in (([], 4), (["--no-images"], 0)):
+    a = ["annotate", "--source", "images", "--target", str(folder), "--rubric", str(folder / "r.json"), "--fps", "5"]
+    for more, n, pictures in ((["--strategy", "S1"], 4, 4), (["--no-images"], 3, 0)):
         out = str(folder.parent / f"out{pictures}")
         assert cli.run(spark, cli.parser().parse_args([*a, "--out", out, *more])) == 0
-        df = schema.read_annotations(spark, f"{out}/annotations")
-        goals = schema.subgoals_of(df).where("episode_id = 'a'")
-        assert goals.count() == 4 and goals.where("subgoal_image_path is not null").count() == pictures
-        assert {x["phase"] for x in schema.segments_of(df).collect()} == {"approach", "grasp", "transport", "other"}  # the last is closed to other
+        goals = schema.subgoals_of(schema.read_annotations(spark, f"{out}/annotations")).where("episode_id = 'a'").collect()
+        assert len(goals) == n and sum(g["subgoal_image_path"] is not None for g in goals) == pictures
     assert {bytes(x["content"])[:1] for x in spark.read.parquet(f"{folder.parent}/out4/subgoal_images").where("episode_id = 'a'").collect()} == {b"a"}
