@@ -82,7 +82,7 @@ def test_planted_cutoffs_act_and_ties_go_to_the_largest(spark):
 def test_bound_on_false_rejections_holds(spark):
     """Where the true share of falsely rejected is just above alpha, hardly a holdout lets the cutoff act."""
     alpha, acted = q.TOTAL_ALPHA / len(q.RULES), 0
-    for seed in range(5):
+    for seed in range(2):
         rows, labels = planted(seed, 1200, alpha * 1.05)
         m, lab = spark.createDataFrame(rows, KINDS), spark.createDataFrame(labels, "doc_id long, quality int")
         acted += q.choose_cutoffs(m, lab, good_cost=0).count() > 0
