@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, html_text, mixing, quality_rules, simhash, suffix_dedup, surrogates, token_counts, token_store, warc
+from . import decontamination, html_text, importance, mixing, quality_rules, simhash, suffix_dedup, surrogates, token_counts, token_store, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,7 +17,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
+    "op12_importance": importance.op12_importance,
     "quality_rules_lenient": quality_rules.quality_rules_lenient,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = quality_rules.ORACLE_SQL | warc.ORACLE_SQL | decontamination.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = quality_rules.ORACLE_SQL | warc.ORACLE_SQL | decontamination.ORACLE_SQL | importance.ORACLE_SQL
