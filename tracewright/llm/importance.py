@@ -39,7 +39,7 @@ from .common import materialize, mix64, new_path
 from .decontamination import _IS_WORD, find_words
 
 BUCKETS = 10_000
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 SLICE_ROWS = 400_000
 MIN_WORDS = 20
 SHARE = (25, 100)
@@ -121,10 +121,12 @@ def feature_group(texts: list[bytes], slices: int) -> tuple[list[bytes], np.ndar
     number = np.empty(len(by_part), np.int64)
     number[by_part] = np.arange(len(by_part))
     which = number[which]
+    del pairs, number
     a, b, part = a[by_part], b[by_part], part[by_part].astype(np.int64)
     counts = np.bincount(which, minlength=len(a))
     top = max(1, len(a))
     key = owner * top + which
+    del which, by_part, code
     key.sort()
     steps = np.diff(key % top, prepend=0)
     edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int64)
@@ -132,6 +134,7 @@ def feature_group(texts: list[bytes], slices: int) -> tuple[list[bytes], np.ndar
     steps[first] = key[first] % top
     steps = steps.astype("<u4")
     lists = [pack_numbers(steps[x:y]) for x, y in zip(edges[:-1], edges[1:])]
+    del key, steps, owner, paired
     heads = names.take(pa.array(a - 1))
     both = b > 0
     tails = names.take(pa.array(np.where(both, b - 1, 0)))
@@ -248,7 +251,7 @@ def weights(documents: DataFrame, targets: DataFrame) -> DataFrame:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # half of the table; its buckets are written
     table = gain_table(counted.where("side is not null").select("side", "__data")).orderBy("bucket").select("gain").toPandas()["gain"]  # 10,000 values
     gains = spark.sparkContext.broadcast(table.to_numpy(np.int64))
-    rows = spark.read.schema(found.drop("__dictionary").schema).parquet(f"{path}/__dictionary=false").drop("__slice", "__strings")
+    rows = spark.read.schema(made.schema).parquet(path).where("not __dictionary").drop("__slice", "__strings", "__dictionary")
     passed = [f for f in kept.schema.fields if f.name != "text"]
 
     def score(key, left, right):
