@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, html_text, importance, mixing, quality_rules, simhash, suffix_dedup, surrogates, token_counts, token_store, warc
+from . import decontamination, html_text, importance, mixing, periodic, quality_rules, simhash, suffix_dedup, surrogates, token_counts, token_store, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
     "op12_importance": importance.op12_importance,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
     "quality_rules_lenient": quality_rules.quality_rules_lenient,
     "pipeline": corpus_pipeline.run,
 }
