@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, html_text, importance, mixing, periodic, quality_rules, simhash, suffix_dedup, surrogates, token_counts, token_store, warc
+from . import decontamination, factorization, html_text, importance, mixing, periodic, quality_rules, simhash, suffix_dedup, surrogates, token_counts, token_store, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_html_text": html_text.op10_html_text,
+    "op11_quality_classifier": factorization.op11_quality_classifier,
     "op12_importance": importance.op12_importance,
     "op13_periodic_runs": periodic.op13_periodic_runs,
     "quality_rules_lenient": quality_rules.quality_rules_lenient,
