@@ -69,11 +69,15 @@ def test_empty_tables(spark, texts):
     assert ran(spark, texts[:30], []) == model(texts[:30], [])
 
 
-def test_numbers_and_strings_come_back():
-    lists, n_words, dictionary = m.feature_group([b"b a b", b"", b"A  b"], 3)
+def test_features_of_a_group():
+    names, code, n_words = m.code_words([b"b a b", b"", b"A  b"])
+    assert names.to_pylist() == ["b", "a"] and list(code) == [0, 1, 0, 1, 0] and list(n_words) == [3, 0, 2]
+    assert list(m.unpack_numbers(m.pack_numbers(code))) == list(code)
+    group = m.Group(names, code, n_words, 3)
+    dictionary = list(group.dictionary())
     strings = [x for _, s, _ in dictionary for x in s.to_pylist()]
-    back = [[strings[i] for i in m.unpack_numbers(x)] for x in lists]
-    assert [sorted(x) for x in back] == [["a", "a b", "b", "b", "b a"], [], ["a", "a b", "b"]] and list(n_words) == [3, 0, 2]
+    of = [sorted(strings[w] for w in group.which[group.owner == i]) for i in range(3)]
+    assert of == [["a", "a b", "b", "b", "b a"], [], ["a", "a b", "b"]]
     for _, s, c in dictionary:
         again, counts = m.unpack_strings(m.pack_strings(s, c))
         assert again.equals(s) and (counts == c).all()

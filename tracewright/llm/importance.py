@@ -4,14 +4,14 @@ Features are runs of one and two consecutive words. They are counted as strings
 hashed to its bucket once, buckets are added up, and the gain of a bucket (log ratio of target to source) goes back to
 the feature counts of each document by joins:
 
-1. Texts are read in groups of about ``GROUP_BYTES``. A group has a dictionary of its own: its distinct features in the order
-   of (slice, first word, second word) are numbered, and each of its documents becomes a sorted list of these numbers, a
-   repeat for each repeat in the text (``counts``).
-2. Dictionaries travel by slices of the hash of their features (``grams``): slices of all groups meet, equal strings
-   are counted together, and each distinct one is hashed. A slice gives its sums per bucket, and to each group the buckets
-   of that group's strings, in the group's order (``buckets``).
-3. Sums make the 10,000 gains (``gain_table``). A group's buckets meet its documents by the group's number, and gains are
-   looked up and added (``weights``).
+1. Texts are read in groups of about ``GROUP_BYTES`` and written as words by number, with the group's own list of words
+   (``coded_groups``). All that follows starts from this table, so a group is the same in every step.
+2. A group's distinct features, in the order of (slice of their hash, first word, second word), are its dictionary.
+   Dictionaries travel by slices: slices of all groups meet, equal strings are counted together, and each distinct one is
+   hashed. A slice gives its sums per bucket, and to each group the buckets of that group's strings, in the group's order
+   (``count_slices``).
+3. Sums make the 10,000 gains (``gain_table``). A group's buckets meet its documents' features by the group's number, and
+   gains are added up (``weights``).
 
 A group sends a string once however often it holds it, so a frequent feature has as many rows as there are groups.
 Slices are as many as let one hold about ``SLICE_ROWS`` strings.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import number_rows
-from .common import materialize, mix64, new_path
+from .common import materialize, mix64
 from .decontamination import _IS_WORD, find_words
 
 BUCKETS = 10_000
@@ -68,16 +68,6 @@ def unpack_strings(data: bytes) -> tuple[pa.Array, np.ndarray]:
     return strings, np.ascontiguousarray(counts).view("<u4").ravel().astype(np.int64)
 
 
-def pack_numbers(steps: np.ndarray) -> bytes:
-    """Differences of ascending numbers, low bytes first and together, so that they compress where they are stored."""
-    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unpack_numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
-
-
 def distinct(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of x, all under ``top``, and the place of each element among them. Value and place share
     a 64-bit number where they fit, which sorts much faster than by reference."""
@@ -94,93 +84,110 @@ def distinct(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], which
 
 
-def feature_group(texts: list[bytes], slices: int) -> tuple[list[bytes], np.ndarray, list[tuple[int, pa.Array, np.ndarray]]]:
-    """Features of a group of texts: per text its features' numbers, packed, and its number of words; and per slice (slice,
-    strings, counts) in the order of the numbers."""
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers by their bytes, all low ones first, so that they compress where they are stored."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def code_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a group, frequent ones first; all words in order by their number there; words of each text."""
     data, start, end, text = find_words(texts)
-    n_words = np.bincount(text, minlength=len(texts))
     offsets = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=offsets[1:])
     words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[_IS_WORD[data]]))
     coded = words.dictionary_encode()
-    order = pc.array_sort_indices(coded.dictionary)
-    names, many = coded.dictionary.take(order), len(order)
-    rank = np.empty(many, np.int64)
-    rank[order.to_numpy()] = np.arange(1, many + 1)  # 0 stands for no second word
-    code = rank[coded.indices.to_numpy(zero_copy_only=False)]
-    hashes = np.fromiter((zlib.crc32(x) for x in names.cast(pa.large_binary()).to_pylist()), np.uint64, many)
-    hashes = mix64(np.concatenate([np.zeros(1, np.uint64), hashes]) + np.uint64(1))
-    paired = text[1:] == text[:-1]
-    wide = many + 1
-    owner = np.concatenate([text, text[1:][paired]])
-    # ranks of its words tell a feature; sorted by them, then put in the order of slices
-    pairs, which = distinct(np.concatenate([code * wide, code[:-1][paired] * wide + code[1:][paired]]), wide * wide)
-    a, b = pairs // wide, pairs % wide
-    part = mix64(hashes[a] * np.uint64(0x9E3779B97F4A7C15) + hashes[b]) % np.uint64(slices)
-    by_part = np.argsort(part.astype(np.uint16 if slices <= 1 << 16 else np.uint64), kind="stable")
-    number = np.empty(len(by_part), np.int64)
-    number[by_part] = np.arange(len(by_part))
-    which = number[which]
-    del pairs, number
-    a, b, part = a[by_part], b[by_part], part[by_part].astype(np.int64)
-    counts = np.bincount(which, minlength=len(a))
-    top = max(1, len(a))
-    key = owner * top + which
-    del which, by_part, code
-    key.sort()
-    steps = np.diff(key % top, prepend=0)
-    edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int64)
-    first = edges[:-1][edges[:-1] < edges[1:]]
-    steps[first] = key[first] % top
-    steps = steps.astype("<u4")
-    lists = [pack_numbers(steps[x:y]) for x, y in zip(edges[:-1], edges[1:])]
-    del key, steps, owner, paired
-    heads = names.take(pa.array(a - 1))
-    both = b > 0
-    tails = names.take(pa.array(np.where(both, b - 1, 0)))
-    strings = pc.if_else(pa.array(both), pc.binary_join_element_wise(heads, tails, pa.scalar(" ", pa.large_string())), heads) if len(a) else pa.array([], pa.large_string())
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(part))
-    return lists, n_words, [(int(part[x]), strings.slice(x, y - x), counts[x:y]) for x, y in zip(cuts, ends)]
-
-
-def grouped_features(texts: DataFrame, slices: int, target: bool) -> DataFrame:
-    """Rows of documents (all columns but text; __group, __words, __numbers) and of dictionaries (__group, __slice, __strings);
-    the columns of the other kind are null. Target texts give dictionaries alone."""
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(-np.bincount(code, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), rank[code], np.bincount(text, minlength=len(texts))
+
+
+class Group:
+    """Features of a coded group: ``owner`` and ``which`` tell the text and the distinct feature of each occurrence; distinct
+    features stand in the order of (slice, first word, second word)."""
+
+    def __init__(self, names: pa.Array, code: np.ndarray, n_words: np.ndarray, slices: int) -> None:
+        order = pc.array_sort_indices(names)
+        self.names, many = names.take(order), len(order)
+        rank = np.empty(many, np.int64)
+        rank[order.to_numpy()] = np.arange(1, many + 1)  # 0 stands for no second word
+        code = rank[code]
+        hashes = np.fromiter((zlib.crc32(x) for x in self.names.cast(pa.large_binary()).to_pylist()), np.uint64, many)
+        hashes = mix64(np.concatenate([np.zeros(1, np.uint64), hashes]) + np.uint64(1))
+        text = np.repeat(np.arange(len(n_words)), n_words)
+        paired = text[1:] == text[:-1]
+        self.owner = np.concatenate([text, text[1:][paired]])
+        wide = many + 1
+        pairs, which = distinct(np.concatenate([code * wide, code[:-1][paired] * wide + code[1:][paired]]), wide * wide)
+        a, b = pairs // wide, pairs % wide
+        part = mix64(hashes[a] * np.uint64(0x9E3779B97F4A7C15) + hashes[b]) % np.uint64(slices)
+        by_part = np.argsort(part.astype(np.uint16 if slices <= 1 << 16 else np.uint64), kind="stable")
+        number = np.empty(len(by_part), np.int64)
+        number[by_part] = np.arange(len(by_part))
+        self.which = number[which]
+        self.first, self.second, self.part = a[by_part], b[by_part], part[by_part].astype(np.int64)
+
+    def dictionary(self) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        """(slice, strings, counts) of the slices that have any."""
+        counts = np.bincount(self.which, minlength=len(self.part))
+        edges = np.append(np.flatnonzero(np.diff(self.part, prepend=-1)), len(self.part))
+        for x, y in zip(edges[:-1], edges[1:]):
+            a, b = self.first[x:y], self.second[x:y]
+            heads, both = self.names.take(pa.array(a - 1)), b > 0
+            tails = self.names.take(pa.array(np.where(both, b - 1, 0)))
+            yield int(self.part[x]), pc.if_else(pa.array(both), pc.binary_join_element_wise(heads, tails, pa.scalar(" ", pa.large_string())), heads), counts[x:y]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Groups of rows of about ``GROUP_BYTES`` of text, one row at least."""
+    for batch in batches:
+        column, a, size, raw = batch.column("text"), 0, 0, []
+        for i in range(batch.num_rows):
+            b = (column[i].as_py() or "").encode("utf-8", "surrogatepass")
+            if raw and size + len(b) > GROUP_BYTES:
+                yield batch.slice(a, len(raw)), raw
+                a, size, raw = i, 0, []
+            raw.append(b)
+            size += len(b)
+        if raw:
+            yield batch.slice(a, len(raw)), raw
+
+
+def coded_groups(texts: DataFrame) -> DataFrame:
+    """One row a group: (__group, __rows, __sizes, __names, __codes), ``__rows`` all columns but text as structs."""
     passed = [f for f in texts.schema.fields if f.name != "text"]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed)
-    names = [f.name for f in passed] + ["__group", "__words", "__numbers", "__slice", "__strings"]
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-        for batch in batches:
-            column, a, size, out = batch.column("text"), 0, 0, []
-            for i in range(batch.num_rows):
-                b = (column[i].as_py() or "").encode("utf-8", "surrogatepass")
-                if out and size + len(b) > GROUP_BYTES:
-                    yield batch.slice(a, len(out)), out
-                    a, size, out = i, 0, []
-                out.append(b)
-                size += len(b)
-            if out:
-                yield batch.slice(a, len(out)), out
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        for k, (batch, raw) in enumerate(groups(batches)):
-            lists, n_words, dictionary = feature_group(raw, slices)
-            nothing = lambda n, kind: pa.nulls(n, kind)
-            if not target:
-                n = len(raw)
-                own = [batch.column(f.name) for f in passed]
-                numbers = pa.array(lists, pa.binary())
-                yield pa.RecordBatch.from_arrays([*own, pa.array([base + k] * n, pa.int64()), pa.array(n_words, pa.int64()), numbers, nothing(n, pa.int32()), nothing(n, pa.binary())], names)
-            if dictionary:
-                n = len(dictionary)
-                blobs = pa.array([pack_strings(s, c) for _, s, c in dictionary], pa.binary())
-                own = [nothing(n, batch.schema.field(f.name).type) for f in passed]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([base + k] * n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.binary()), pa.array([p for p, _, _ in dictionary], pa.int32()), blobs], names)
-
-    return texts.mapInArrow(run, f"{kinds}__group long, __words long, __numbers binary, __slice int, __strings binary")
+        for k, (batch, raw) in enumerate(_cut(batches)):
+            names, code, n_words = code_words(raw)
+            rows = pa.StructArray.from_arrays([batch.column(f.name) for f in passed], [f.name for f in passed]) if passed else pa.nulls(len(raw), pa.struct([]))
+            blobs = [pack_numbers(n_words), pack_strings(names, np.zeros(len(names), np.int64)), pack_numbers(code)]
+            yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), rows), *(pa.array([x], pa.binary()) for x in blobs)], ["__group", "__rows", "__sizes", "__names", "__codes"])
+
+    return texts.mapInArrow(run, f"__group long, __rows array<struct<{kinds}>>, __sizes binary, __names binary, __codes binary")
+
+
+def read_group(sizes: bytes, names: bytes, codes: bytes, slices: int) -> Group:
+    return Group(unpack_strings(names)[0], unpack_numbers(codes), unpack_numbers(sizes), slices)
+
+
+def dictionaries(groups: DataFrame, side: int, slices: int) -> DataFrame:
+    """(side, __group, __slice, __strings): distinct features of every group with their counts, by slices of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                for part, strings, counts in read_group(*blobs, slices).dictionary():
+                    yield pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([group], pa.int64()), pa.array([part], pa.int32()), pa.array([pack_strings(strings, counts)], pa.binary())], ["side", "__group", "__slice", "__strings"])
+
+    return groups.select("__group", "__sizes", "__names", "__codes").mapInArrow(run, "side int, __group long, __slice int, __strings binary")
 
 
 def count_slices(dictionaries: DataFrame) -> DataFrame:
@@ -240,33 +247,28 @@ def weights(documents: DataFrame, targets: DataFrame) -> DataFrame:
     size = documents.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (20 * SLICE_ROWS // 2)))  # a new string in 10 bytes or so
     kept = documents.drop(*OWN, "n_words")
-    path = new_path(spark, "grams")
-    made = grouped_features(kept, slices, False).withColumn("__dictionary", F.col("__slice").isNotNull())
-    made.write.option("compression", "zstd").partitionBy("__dictionary").parquet(path)
-    found = spark.read.schema(made.schema).parquet(path)
-    wanted = grouped_features(targets.select("text"), slices, True).where("__slice is not null").select(F.lit(1).alias("side"), "__slice", "__group", "__strings")
-    mine = found.where("__dictionary").select(F.lit(0).alias("side"), "__slice", "__group", "__strings")
-    counted = materialize(count_slices(mine.union(wanted).repartition(slices, "__slice")), "buckets")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/__dictionary=true")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # half of the table; its buckets are written
+    coded = materialize(coded_groups(kept if len(kept.columns) > 1 else kept.withColumn("__row", F.lit(0))), "coded-texts")
+    wanted = dictionaries(coded_groups(targets.select("text", F.lit(0).alias("__row"))), 1, slices)
+    met = dictionaries(coded, 0, slices).union(wanted).repartition(slices, "__slice")
+    counted = materialize(count_slices(met), "buckets")
     table = gain_table(counted.where("side is not null").select("side", "__data")).orderBy("bucket").select("gain").toPandas()["gain"]  # 10,000 values
     gains = spark.sparkContext.broadcast(table.to_numpy(np.int64))
-    rows = spark.read.schema(made.schema).parquet(path).where("not __dictionary").drop("__slice", "__strings", "__dictionary")
     passed = [f for f in kept.schema.fields if f.name != "text"]
 
     def score(key, left, right):
         order = pc.sort_indices(right.column("__slice"))
-        data = b"".join(x.as_py() for x in right.column("__data").take(order))
-        gain_of = gains.value[np.frombuffer(data, "<u2")]
-        lists = [unpack_numbers(x.as_py()) for x in left.column("__numbers")]
-        n = np.array([len(x) for x in lists], np.int64)
-        total = np.array([int(gain_of[x].sum()) for x in lists], np.int64)
-        out = [left.column(f.name) for f in passed] + [left.column("__words"), pa.array(n), pa.array(total // np.maximum(n, 1))]
-        return pa.table(out, [f.name for f in passed] + ["n_words", "n_features", "weight"])
+        gain_of = gains.value[np.frombuffer(b"".join(x.as_py() for x in right.column("__data").take(order)), "<u2")]
+        sizes, names, codes = (left.column(c)[0].as_py() for c in ("__sizes", "__names", "__codes"))
+        group, n_words = read_group(sizes, names, codes, slices), unpack_numbers(sizes)
+        n = np.bincount(group.owner, minlength=len(n_words))
+        total = np.bincount(group.owner, gain_of[group.which], minlength=len(n_words)).astype(np.int64)  # under 2**53: exact
+        rows = left.column("__rows").combine_chunks().flatten()
+        own = [rows.field(f.name) for f in passed]
+        return pa.table([*own, pa.array(n_words), pa.array(n), pa.array(total // np.maximum(n, 1))], [f.name for f in passed] + ["n_words", "n_features", "weight"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed)
     buckets = counted.where("__group is not null").select("__group", "__slice", "__data")
-    return rows.groupBy("__group").cogroup(buckets.groupBy("__group")).applyInArrow(score, f"{kinds}n_words long, n_features long, weight long")
+    return coded.groupBy("__group").cogroup(buckets.groupBy("__group")).applyInArrow(score, f"{kinds}n_words long, n_features long, weight long")
 
 
 def with_scores(weighted: DataFrame, seed: int = 7, key: str = "doc_id") -> DataFrame:
