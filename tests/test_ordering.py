@@ -48,7 +48,8 @@ def test_quantiles(spark, rows, accuracy):
     df = spark.createDataFrame([*rows, (1000, math.nan, 0)], "id long, x double, n int")
     values = np.array([r[1] for r in rows if r[1] is not None])
     probs = [0.0, 1 / 3, 0.5, 2 / 3, 0.9, 1.0]
-    got = o.quantiles(df, "x", probs, accuracy)
+    got = o.quantiles(df, "x", probs, accuracy, few=0)
+    assert o.quantiles(df, "x", probs) == got
     assert np.allclose(got, np.quantile(values, probs), rtol=1e-14, atol=0)
     exact = df.where("not isnan(x)").agg(*(F.percentile("x", F.lit(p)).alias(str(i)) for i, p in enumerate(probs))).head()
     assert got == list(exact)
@@ -57,7 +58,7 @@ def test_quantiles(spark, rows, accuracy):
 def test_one_value_holds_a_third(spark):
     df = spark.range(30_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("x"))
     values = [5.0 if i % 3 == 0 else float(i) for i in range(30_000)]
-    assert np.allclose(o.quantiles(df, "x", [0.1, 1 / 3, 0.34, 0.9], 100), np.quantile(values, [0.1, 1 / 3, 0.34, 0.9]), rtol=1e-14)
+    assert np.allclose(o.quantiles(df, "x", [0.1, 1 / 3, 0.34, 0.9], 100, few=0), np.quantile(values, [0.1, 1 / 3, 0.34, 0.9]), rtol=1e-14)
 
 
 def test_empty_tables(spark):

@@ -123,9 +123,7 @@ def test_novelty_alone_and_ties(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 4)).round(1)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "episode_id int, embedding array<double>")
-    old, corpus.BLOCK = corpus.BLOCK, 16
     got = {r["episode_id"]: r["novelty"] for r in corpus.novelty(df, 3).collect()}
-    corpus.BLOCK = old
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     np.fill_diagonal(d, np.inf)
     assert [got[i] for i in range(60)] == pytest.approx(np.sort(d, axis=1)[:, :3].mean(axis=1), abs=1e-5)

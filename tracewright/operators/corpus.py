@@ -1,21 +1,17 @@
 """Measures relative to the whole corpus: novelty, curation value, guarded tiers, same-phase retrieval.
 
-Corpus statistics are one-row aggregates (partial sums in each task) that are joined back by broadcast. Nearest
-neighbours are exact: vectors are packed into blocks, blocks of a group meet blocks of the same group, each meeting is a
-task-sized matrix product in numpy, and only the k best of each block travel. Memory of a task is two blocks whatever
-the corpus; the work is quadratic in the group, as exact neighbours ask.
+Corpus statistics are one-row aggregates (partial sums in each task) that are joined back by broadcast; quantiles and
+nearest neighbours are exact (``ordering``, ``neighbours``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+from .neighbours import nearest
+from .ordering import quantiles
+
 MIN_POPULATION = 15
 MIN_SPREAD = 0.08
 
@@ -49,93 +45,30 @@ def tierable() -> tuple[dict[str, Column], Column]:
 
 def tiers(df: DataFrame, top_cut: float | None = None) -> DataFrame:
     """Add curation_tier: terciles minimal, reduced, full; with ``top_cut`` keep (the top share) or cut; null unless
-    the population can be tiered."""
+    the population can be tiered. The cuts are exact quantiles, found before the result is read."""
     stats, guard = tierable()
     v = F.col("curation_value")
     if top_cut is not None:
-        stats["__cut"] = F.percentile("curation_value", F.lit(max(0.0, 1.0 - top_cut)))
-        tier = F.when(v >= F.col("__cut"), "keep").otherwise("cut")
+        (cut,) = (F.lit(x).cast("double") for x in quantiles(df, "curation_value", [max(0.0, 1.0 - top_cut)]))
+        tier = F.when(v >= cut, "keep").otherwise("cut")
     else:
-        stats["__lo"], stats["__hi"] = F.percentile("curation_value", F.lit(1 / 3)), F.percentile("curation_value", F.lit(2 / 3))
-        tier = F.when(v <= F.col("__lo"), "minimal").when(v >= F.col("__hi"), "full").otherwise("reduced")
+        lo, hi = (F.lit(x).cast("double") for x in quantiles(df, "curation_value", [1 / 3, 2 / 3]))
+        tier = F.when(v <= lo, "minimal").when(v >= hi, "full").otherwise("reduced")
     return with_stats(df, **stats).withColumn("curation_tier", F.when(guard & v.isNotNull(), tier)).drop(*stats)
 
 
 def speed_tiers(df: DataFrame, cuts: tuple[float, float] = (1 / 3, 2 / 3), min_population: int = MIN_POPULATION) -> DataFrame:
-    """Add speed: slow, medium or fast by terciles of speed_norm; null for small or flat populations."""
+    """Add speed: slow, medium or fast by terciles of speed_norm; null for small or flat populations. The cuts are exact
+    quantiles, found before the result is read."""
     v = F.col("speed_norm")
-    stats = {"__pop": F.count(v), "__distinct": F.count_distinct(v), "__lo": F.percentile(v, F.lit(cuts[0])), "__hi": F.percentile(v, F.lit(cuts[1]))}
-    tier = F.when(v <= F.col("__lo"), "slow").when(v >= F.col("__hi"), "fast").otherwise("medium")
-    guard = (F.col("__pop") >= min_population) & (F.col("__distinct") >= 3) & (F.col("__hi") - F.col("__lo") >= 1e-9)
+    stats = {"__pop": F.count(v), "__distinct": F.count_distinct(v)}
+    lo, hi = (F.lit(x).cast("double") for x in quantiles(df, "speed_norm", cuts))
+    tier = F.when(v <= lo, "slow").when(v >= hi, "fast").otherwise("medium")
+    guard = (F.col("__pop") >= min_population) & (F.col("__distinct") >= 3) & (hi - lo >= 1e-9)
     return with_stats(df, **stats).withColumn("speed", F.when(guard, tier)).drop(*stats)
 
 
-# --- exact nearest neighbours
-
-
-def _blocks(vectors: DataFrame, sizes: DataFrame, role: str) -> DataFrame:
-    """One row a block: (grp, nb, block, ids, owners, data): vectors of a group packed as doubles, BLOCK of them or so."""
-    dealt = vectors.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), "nb").cast("int"))
-    packed = dealt.groupBy("grp", "nb", "block").agg(F.sort_array(F.collect_list(F.struct("id", "owner", "vector"))).alias("rows"))
-    return packed.select("grp", "nb", F.col("block").alias(role), F.col("rows").alias(f"{role}_rows"))
-
-
-def _vectors_of(rows: pa.StructArray) -> np.ndarray:
-    lists = rows.field("vector")
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
-
-
-def _best_of_blocks(mine: pa.StructArray, others: pa.StructArray, k: int, rows: int = 256) -> pa.RecordBatch:
-    """The k nearest of one block for each row of another: squared norms and a matrix product choose who may be among
-    them, with room for rounding; distances of those are then taken exactly, ties go to the smaller id."""
-    a, b = _vectors_of(mine), _vectors_of(others)
-    owner = pa.concat_arrays([mine.field("owner"), others.field("owner")]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    norm = (b * b).sum(axis=1)
-    slack = 1e-9 * (1 + norm.max(initial=0.0))
-    left, dist, right = [], [], []
-    for x in range(0, len(a), rows):
-        part = a[x : x + rows]
-        own = (part * part).sum(axis=1)
-        d = own[:, None] + norm[None, :] - 2 * (part @ b.T)
-        d[owner[x : x + len(part), None] == owner[None, len(a) :]] = np.inf
-        edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        i, j = np.nonzero((d <= edge[:, None] + slack + 1e-9 * own[:, None]) & np.isfinite(d))
-        exact = np.sqrt(((part[i] - b[j]) ** 2).sum(axis=1))
-        order = np.lexsort((j, exact, i))  # rows of a block ascend by id
-        i, j, exact = i[order], j[order], exact[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = place < k
-        left.append(i[keep] + x)
-        dist.append(exact[keep])
-        right.append(j[keep])
-    take = lambda column, at: column.take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))
-    return pa.RecordBatch.from_arrays([take(mine.field("id"), left), pa.array(np.concatenate(dist) if dist else np.zeros(0)), take(others.field("id"), right)], ["id", "dist", "other"])
-
-
-def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(id, dist, other): the k nearest candidates of each query in its group with another owner.
-
-    Both are (id, grp, owner, vector ARRAY<DOUBLE>), ids unique; ties go to the smaller candidate id.
-    """
-    sizes = candidates.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    left = _blocks(queries, sizes, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    met = left.join(_blocks(candidates, sizes, "c").drop("nb"), ["grp", "c"])
-
-    kind = queries.schema["id"].dataType.simpleString()
-
-    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_best_of_blocks(batch.column("q_rows")[i].values, batch.column("c_rows")[i].values, k) for i in range(batch.num_rows)]
-        whole = pa.Table.from_batches(found) if found else pa.table({"id": [], "dist": [], "other": []})
-        return whole.combine_chunks().to_batches()[0] if whole.num_rows else found[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield solve(batch)
-
-    parts = met.select("q_rows", "c_rows").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, f"id {kind}, dist double, other {kind}")
-    best = parts.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("best"))
-    return best.select("id", F.inline("best"))
+# --- novelty
 
 
 def novelty(embeddings: DataFrame, k: int = 5) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import METADATA, SUBGOAL, SUBTASK
+from .ordering import number_rows
 
 
 def phrase(field: str = "subtask_text") -> Column:
@@ -17,7 +18,7 @@ def phrase(field: str = "subtask_text") -> Column:
 def vocabulary(segments: DataFrame, field: str = "subtask_text") -> DataFrame:
     """(phrase, subtask_index): distinct phrases numbered from 0 by where they are first seen, episodes as strings."""
     first = segments.select(phrase(field).alias("phrase"), F.struct(F.col("episode_id").cast("string").alias("e"), F.col("segment_idx").alias("s")).alias("o")).where("phrase is not null").groupBy("phrase").agg(F.min("o").alias("o"))
-    return first.select("phrase", (F.row_number().over(Window.orderBy("o")) - 1).alias("subtask_index"))  # one row a phrase
+    return number_rows(first, ["o", "phrase"], "subtask_index", 0).select("phrase", F.col("subtask_index").cast("int").alias("subtask_index"))
 
 
 def frame_indices(segments: DataFrame, episodes: DataFrame, field: str = "subtask_text") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordering import with_neighbours
+
 #: Fixed values of the format.
 GOLD_VERSION = "gold/v1"
 AUTO_SEG = "array<struct<segment_idx:int,start_frame:int,end_frame:int,subtask_text:string>>"
@@ -91,9 +93,5 @@ def review_state(gold: DataFrame) -> DataFrame:
 def review_order(entries: DataFrame) -> DataFrame:
     """entries (episode_id, ord, reviewed) with previous, following (both around the end) and the next unreviewed
     episode after each (around the end, itself last; null if there is none)."""
-    w = Window.orderBy("ord")  # one row an episode under review
-    first, last = F.first("episode_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("episode_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    open_id = F.when(~F.col("reviewed"), F.col("episode_id"))
-    ahead = F.first(open_id, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    around = F.first(open_id, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return entries.select("episode_id", "ord", "reviewed", F.coalesce(F.lag("episode_id").over(w), last).alias("previous"), F.coalesce(F.lead("episode_id").over(w), first).alias("following"), F.coalesce(ahead, around, open_id).alias("next_unreviewed"))
+    own, unreviewed = F.col("episode_id"), F.when(~F.col("reviewed"), F.col("episode_id"))
+    return with_neighbours(entries.select("episode_id", "ord", "reviewed"), ["ord", "episode_id"], True, previous=(-1, own), following=(1, own), next_unreviewed=(1, unreviewed))

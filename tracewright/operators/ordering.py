@@ -76,16 +76,19 @@ def with_neighbours(df: DataFrame, order: Sequence[Column | str], around: bool =
     return out.select(*df.columns, *(F.coalesce(f"__in_{n}", f"__b_{n}").alias(n) for n in columns))
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy: int = 10_000) -> list[float | None]:
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy: int = 10_000, few: int = 100_000) -> list[float | None]:
     """Exact quantiles (linear interpolation) of a column's values, nulls and NaN aside; null for none.
 
-    A mergeable sketch brackets each wanted rank, a count tells where the bracket stands, and values inside it are grouped,
-    ordered and summed up by range partitions. A bracket that misses its rank is replaced by the whole column.
+    The values are written once. Up to ``few`` of them one aggregate orders. Beyond, a mergeable sketch brackets each wanted
+    rank, a count tells where the bracket stands, and values inside it are grouped, ordered and summed up by range
+    partitions. A bracket that misses its rank is replaced by the whole column.
     """
-    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    x = materialize(df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)"), "values")
     n = x.count()
     if not n:
         return [None] * len(probs)
+    if n <= few:
+        return list(x.agg(F.percentile("x", F.array(*(F.lit(float(p)) for p in probs)))).head()[0])
     # ranks as a floor and a ceiling, so that equal probabilities ask once
     wanted = sorted({r for p in probs for r in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))})
     slack = 2 / accuracy

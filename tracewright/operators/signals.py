@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import at, difference_norm, even_positions, let
+from .intervals import interval_join
 
 EPISODE = "episode_id"
+#: A table of dimensions may be broadcast up to so many rows.
+MAX_DIMS = 100_000
 
 
 def by_frame(order: str = "frame_idx") -> Window:
@@ -87,13 +90,12 @@ def active_seconds(windows: DataFrame, episodes: DataFrame) -> DataFrame:
 def excursions(frames: DataFrame, segments: DataFrame, smooth: int = 5) -> DataFrame:
     """(episode_id, segment_idx, dim, n, excursion): range of the smoothed segment over the range of the episode.
 
-    Frames meet segments by an equi join on the episode with the interval as its residual; segments without frames are
-    absent. Ends beyond the last frame are cut.
+    Frames meet the segments of their bin (``interval_join``) before their dimensions become rows; segments without frames
+    are absent. Ends beyond the last frame are cut.
     """
-    long = frames.select(EPISODE, "frame_idx", F.posexplode("action").alias("dim", "x"))
-    ranges = long.groupBy(EPISODE, "dim").agg((F.max("x") - F.min("x")).alias("range"))
-    spans = segments.select(EPISODE, "segment_idx", "start_frame", "end_frame")
-    inside = long.join(spans, EPISODE).where(F.col("frame_idx").between(F.col("start_frame"), F.col("end_frame")))
+    ranges = frames.select(EPISODE, F.posexplode("action").alias("dim", "x")).groupBy(EPISODE, "dim").agg((F.max("x") - F.min("x")).alias("range"))
+    met = interval_join(frames.select(EPISODE, "frame_idx", "action"), segments.select(EPISODE, "segment_idx", "start_frame", "end_frame"), [EPISODE], "frame_idx", "start_frame", "end_frame")
+    inside = met.select(EPISODE, "segment_idx", "frame_idx", F.posexplode("action").alias("dim", "x"))
     inside = inside.withColumn("n", F.count("*").over(Window.partitionBy(EPISODE, "segment_idx", "dim")))
     smoothed = moving_average_valid(inside, "x", "frame_idx", smooth, "y", [EPISODE, "segment_idx", "dim"])
     per = smoothed.groupBy(EPISODE, "segment_idx", "dim").agg(F.first("n").alias("n"), (F.max("y") - F.min("y")).alias("moved"))
@@ -105,7 +107,8 @@ def active_sets(frames: DataFrame, segments: DataFrame, dims: DataFrame, thresho
 
     ``dims`` is (dim, grp), one row a dimension of the action space. Episodes without two frames of actions get null.
     """
-    moved = excursions(frames, segments, smooth).join(F.broadcast(dims.limit(100_000)), "dim")  # a dimension of an action vector a row
+    few = dims.limit(MAX_DIMS + 1).count() <= MAX_DIMS  # dimensions of an action vector
+    moved = excursions(frames, segments, smooth).join(F.broadcast(dims) if few else dims, "dim")
     active = moved.where((F.col("n") >= 2) & (F.col("excursion") > threshold)).groupBy(EPISODE, "segment_idx").agg(F.array_join(F.array_sort(F.collect_set("grp")), "+").alias("active_dof"))
     known = frames.groupBy(EPISODE).agg((F.count("*") >= 2).alias("__known"))
     out = segments.drop("active_dof").join(active, [EPISODE, "segment_idx"], "left").join(known, EPISODE, "left")
@@ -159,8 +162,8 @@ def pause_before(speed: DataFrame, events: DataFrame, window: int = 40) -> DataF
     """events (episode_id, frame_idx, floor) with pause: the first frame of least speed in the ``window`` frames before
     each event and not before ``floor``; null if fewer than 2 frames are left."""
     lo = F.greatest(F.col("floor"), F.col("frame_idx") - window)
-    asked = events.withColumn("__lo", lo)
-    met = asked.join(speed, EPISODE).where((F.col("i") >= F.col("__lo")) & (F.col("i") < F.col("frame_idx")) & (F.col("frame_idx") - F.col("__lo") >= 2))
+    asked = events.withColumns({"__lo": lo, "__hi": F.col("frame_idx") - 1}).where(F.col("frame_idx") - F.col("__lo") >= 2)
+    met = interval_join(speed.select(EPISODE, "i", "s"), asked, [EPISODE], "i", "__lo", "__hi")
     best = met.groupBy(EPISODE, "frame_idx", "floor").agg(F.min_by("i", F.struct("s", "i")).alias("pause"))
     return events.join(best, [EPISODE, "frame_idx", "floor"], "left")
 

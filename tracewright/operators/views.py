@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, query_target
 from . import metrics
+from .ordering import number_rows
 
 
 def phase_segments(segments: DataFrame, phase: str) -> DataFrame:
@@ -86,7 +87,7 @@ def track_names(tracks: DataFrame) -> DataFrame:
 SPEED_RANK = {"slow": 0, "medium": 1, "fast": 2}
 
 
-def sorted_view(df: DataFrame, by: str = "id", grouped: bool = False) -> DataFrame:
+def view_order(df: DataFrame, by: str = "id", grouped: bool = False) -> list[Column]:
     """Viewer orders: id (numbers by value first), iou ascending, flags, quality, novelty, value or speed descending;
     unknown last, ids break ties."""
     number = F.expr("try_cast(episode_id as bigint)")
@@ -95,7 +96,16 @@ def sorted_view(df: DataFrame, by: str = "id", grouped: bool = False) -> DataFra
     for name, rank in SPEED_RANK.items():
         speed = F.when(F.col("speed") == name, rank).otherwise(speed) if "speed" in df.columns else speed
     keys = {"id": [], "iou": lambda: [F.col("sort_iou").asc_nulls_last()], "flags": lambda: [F.col("n_flags").desc_nulls_last()], "quality": lambda: [F.col("quality").desc_nulls_last()], "novelty": lambda: [F.col("novelty").desc_nulls_last()], "value": lambda: [F.col("curation_value").desc_nulls_last()], "speed": lambda: [speed.desc()]}[by]
-    return df.orderBy(*([F.col("task_ord")] if grouped else []), *(keys() if callable(keys) else keys), *ids)
+    return [*([F.col("task_ord")] if grouped else []), *(keys() if callable(keys) else keys), *ids]
+
+
+def sorted_view(df: DataFrame, by: str = "id", grouped: bool = False) -> DataFrame:
+    return df.orderBy(*view_order(df, by, grouped))
+
+
+def placed_view(df: DataFrame, by: str = "id", grouped: bool = False) -> DataFrame:
+    """``df`` with place, from 1, in a viewer order; pages are then filters on place."""
+    return number_rows(df, view_order(df, by, grouped), "place")
 
 
 def filtered_gallery(df: DataFrame, task: str | None = None, tier: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from ..functions.vectors import even_positions
 from ..operators import corpus, export, gate, gold, metrics, segments, signals, views
+from ..operators.ordering import number_rows
 from . import providers
 from . import stand_ins as s
 
@@ -556,11 +557,9 @@ def episode_payloads_all(spark, d):
 
 @query(f"with {SC} select 'docs::' || episode_id as episode_id, row_number() over (order by quality desc nulls last, episode_id) as place from sc")
 def gallery_sort(spark, d):
-    from pyspark.sql import Window
-
     merged = views.merge_galleries([("docs", s.scores(spark, d).select("episode_id", "quality"))])
-    w = Window.orderBy(F.col("quality").desc_nulls_last(), F.col("source_episode_id").cast("long"))
-    return views.sorted_view(merged, "quality").select("episode_id", F.row_number().over(w).alias("place"))
+    order = [F.col("quality").desc_nulls_last(), F.col("source_episode_id").cast("long")]
+    return number_rows(merged, order, "place").select("episode_id", "place")
 
 
 @query(f"""with {CONV}, e as (select distinct episode_id, episode_id % 3 <> 0 as reviewed from seg), o as (select *, row_number() over (order by episode_id) as k, count(*) over () as n from e)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from ..functions.vectors import let
 from ..operators import gold, segments, signals, views
-from ..schema import SCHEMA_VERSION, canonical, episode_ids, episode_view, segments_of, subgoals_of
+from ..operators.ordering import number_rows
+from ..schema import SCHEMA_VERSION, conform, episode_ids, episode_view, segments_of, sort_key, subgoals_of
 from ..sources import episodes as src
 from . import stand_ins as s
 from .catalog import CONV, EE, EVEN, FR, ORACLE_SQL, OUT, PAIR, SC, TOK, TR, _annotations, _gold, query, r
@@ -232,13 +233,9 @@ def segment_at_playhead(spark, d):
 @query(f"""with {CONV}, e as (select distinct episode_id from seg), x as (select episode_id, 0 as k, -1 as i from e where episode_id in (select doc_id from documents) union all select episode_id, 1, segment_idx from seg union all select episode_id, 2, segment_idx from seg)
 select row_number() over (order by episode_id::varchar, k, i) as place, episode_id::varchar as episode_id, ['episode_metadata', 'subtask', 'subgoal'][k + 1] as record_type, case when i >= 0 then i end as segment_idx from x""")
 def canonical_order(spark, d):
-    """The place of every row in canonical order, read off the ordered table partition by partition."""
-    df = canonical(_annotations(spark, d)).select("episode_id", "record_type", "segment_idx")
-    numbered = df.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
-    at = F.row_number().over(Window.partitionBy("__p").orderBy("__i"))
-    counts = numbered.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy("a.__p").agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))  # one row a partition
-    return numbered.withColumn("__k", at).join(before, "__p").select((F.col("__before") + F.col("__k")).alias("place"), "episode_id", "record_type", "segment_idx")
+    """The place of every row in canonical order."""
+    df = conform(_annotations(spark, d)).select("episode_id", "record_type", "segment_idx")
+    return number_rows(df, sort_key(), "place").select("place", "episode_id", "record_type", "segment_idx")
 
 
 @query(f"""with {CONV}, {SC}, {ENDS} select nn.episode_id::varchar as episode_id, 'talk' as task, l + 1 as num_frames, sc.quality, sc.mistake, k as n_subtasks, k as n_subgoals, (select string_agg(end_frame::varchar, ',' order by segment_idx) from seg where seg.episode_id = nn.episode_id) as ends from nn left join sc on nn.episode_id = sc.episode_id""")
@@ -295,12 +292,22 @@ def gallery_orders(spark, d):
     """Every order of the viewer over two galleries, every other one grouped by task."""
     g, out = _gallery(spark, d), None
     for i, by in enumerate(_ORDERS):
-        ordered = views.sorted_view(g, by, grouped=bool(i % 2)).coalesce(1).withColumn("k", F.monotonically_increasing_id())
+        ordered = views.placed_view(g, by, grouped=bool(i % 2)).withColumnRenamed("place", "k")
         one = ordered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "episode_id"))), lambda x: x["episode_id"]), ",").alias("ids")).select(F.lit(by).alias("by"), "ids")
         out = one if out is None else out.union(one)
     return out
 
 
+@query(" union all ".join(f"(with {GAL} select '{k}' as by, row_number() over (order by {'ord, ' if i % 2 else ''}{o}) as place, episode_id from gal)" for i, (k, o) in enumerate(_ORDERS.items())))
+def gallery_places(spark, d):
+    """The place of every episode in every order of the viewer over two galleries."""
+    g, out = _gallery(spark, d), None
+    for i, by in enumerate(_ORDERS):
+        one = views.placed_view(g, by, grouped=bool(i % 2)).select(F.lit(by).alias("by"), "place", "episode_id")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query(f"with {CONV}, e as (select distinct episode_id from seg) select 'flagged' as kind, count(*) as n from e where episode_id % 7 > 0 union all select 'ungraded', count(*) from e where episode_id not in (select doc_id from labels) union all select 'all', count(*) from e")
 def review_queues(spark, d):
     """How many episodes each queue holds."""
