@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from .common import groups_of_bytes, prefix_hash, range_hash
 DIM = 1 << 14
 RANK = 8
 SAMPLE_ROWS = 8192
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
 CUT = 5.0
 STRUCTURE = [
     "log_words", "word_length", "symbols", "marks", "shouts", "bars", "capitals", "capital_words", "digits", "other_bytes",
@@ -60,8 +61,18 @@ def _of(characters: bytes) -> np.ndarray:
 _CLASSES = {"symbols": _of(b"#*$%&<>@^~_+=\\{}[]"), "marks": _of(b".,;:?'\"-()"), "shouts": _of(b"!"), "bars": _of(b"|/"), "digits": _of(b"0123456789")}
 
 
-class Features:
-    """Features of a group of texts: word entries (text, place, value) by text, and one row of numbers a text."""
+@dataclass
+class Entries:
+    """Features of texts: word entries (text, place, value) by text, and one row of numbers a text."""
+
+    text: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    numbers: np.ndarray
+
+
+class Features(Entries):
+    """Features taken from a group of texts."""
 
     def __init__(self, texts: list[bytes], stated: np.ndarray) -> None:
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -138,7 +149,7 @@ class Model:
     def scaled(self, numbers: np.ndarray) -> np.ndarray:
         return np.clip((numbers - self.mean) / self.spread, -CUT, CUT)
 
-    def score(self, f: Features) -> np.ndarray:
+    def score(self, f: Entries) -> np.ndarray:
         """Scores in time linear in the features."""
         n, x, s = len(f.numbers), f.value, self.scaled(f.numbers)
         words, rest = self.factor[:DIM], self.factor[DIM:]
@@ -152,10 +163,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def fit(texts: list[bytes], stated: np.ndarray, labels: np.ndarray, epochs: int | None = None, batch: int = 128, rate: float = 0.02, decay: float = 2e-4, seed: int = 7) -> Model:
+def fit(f: Entries, labels: np.ndarray, epochs: int | None = None, batch: int = 128, rate: float = 0.02, decay: float = 2e-4, seed: int = 7) -> Model:
     """Adam on the logistic loss of fixed batches, taken in a new order each epoch; few rows get more epochs."""
-    epochs = epochs or int(np.clip(60_000 // max(1, len(texts)), 8, 30))
-    f = Features(texts, stated)
+    many = len(labels)
+    epochs = epochs or int(np.clip(60_000 // max(1, many), 8, 30))
     spread = f.numbers.std(axis=0)
     model = Model(f.numbers.mean(axis=0), np.where(spread > 1e-9, spread, 1.0), seed)
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -163,8 +174,8 @@ def fit(texts: list[bytes], stated: np.ndarray, labels: np.ndarray, epochs: int
     if len(set(labels.tolist())) < 2:
         return model
     numbers, rng = model.scaled(f.numbers), np.random.default_rng(seed)
-    edges = np.searchsorted(f.text, np.arange(len(texts) + 1))
-    parts = np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch))
+    edges = np.searchsorted(f.text, np.arange(many + 1))
+    parts = np.array_split(rng.permutation(many), max(1, many // batch))
     fixed = np.arange(DIM, DIM + numbers.shape[1])
     prepared = []
     for rows in parts:
@@ -220,29 +231,36 @@ def _numbers(column: pa.Array) -> np.ndarray:
 def train(documents: DataFrame, labels: DataFrame, target: str = "quality", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of at most ``rows`` labelled documents that are not held out; null without any."""
     taught = labels.where(F.col(target).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min(target).alias("__y"), F.max(target).alias("__max")).where("__y = __max")
-    sample = taught.orderBy(F.xxhash64(key), key).limit(rows).select(F.col(key).alias("__id"), "__y")
+    sample = taught.orderBy(F.xxhash64(key), key).limit(rows).select(F.col(key).alias("__id"), F.col("__y").cast("int").alias("__y"))
     met = documents.select(F.col(key).alias("__id"), "text", _stated(documents)).join(F.broadcast(sample), "__id")  # ``rows`` ids at most
     # repeated ids teach once, so that the bound holds for rows too
     once = met.groupBy("__id").agg(F.min_by(F.struct("text", "__stated", "__y"), F.struct(F.length("text"), "text")).alias("r")).select("__id", "r.*")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("__id")
-        if table.num_rows:
-            texts = [(x or "").encode("utf-8", "surrogatepass") for x in table.column("text").to_pylist()]
-            model = fit(texts, _numbers(table.column("__stated").combine_chunks()), table.column("__y").to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    found = once.select("__id", "text", "__stated", "__y").repartition(1).mapInArrow(_nonempty(learn), "model binary").head()
-    return pickle.loads(found["model"]) if found else None
+    kind = dict(once.dtypes)["__id"]
 
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, raw in groups_of_bytes(batch.column("text"), GROUP_BYTES):
+                part = batch.slice(a, len(raw))
+                f = Features(raw, _numbers(part.column("__stated")))
+                ends = pa.array(np.searchsorted(f.text, np.arange(len(raw) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (f.place.astype(np.int32), f.value)]
+                every = pa.array(np.arange(len(raw) + 1) * f.numbers.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__y"), *lists, pa.ListArray.from_arrays(every, pa.array(f.numbers.ravel()))], ["__id", "__y", "place", "value", "numbers"])
 
-def _nonempty(learn):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            yield from learn(held)
+            table = pa.Table.from_batches(held).sort_by("__id").combine_chunks()
+            place, value, numbers = (table.column(c).combine_chunks() for c in ("place", "value", "numbers"))
+            text = np.repeat(np.arange(table.num_rows), place.value_lengths().to_numpy())
+            f = Entries(text, place.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy(), numbers.flatten().to_numpy().reshape(table.num_rows, -1))
+            model = fit(f, table.column("__y").to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return run
+    rows_of = once.select("__id", "text", "__stated", "__y").mapInArrow(featured, f"__id {kind}, __y int, place array<int>, value array<double>, numbers array<double>")
+    found = rows_of.repartition(1).mapInArrow(learn, "model binary").head()  # ``rows`` rows at most
+    return pickle.loads(found["model"]) if found else None
 
 
 def classify(documents: DataFrame, model: Model | None, key: str = "doc_id") -> DataFrame:
