@@ -27,7 +27,7 @@ def test_replacements(spark):
     got = {(r["doc_id"], r["n_pii"]): r["text"] for r in out.collect()}
     one = got[1, 4]
     a, b = re.findall(r"\S+@\S+\w", one)
-    assert a.lower() == b.lower() and b.isupper() and re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d@[a-z]{4}\d\.example\.com", a) and a != "ann.lee7@mail3.example.com"
+    assert a.lower() == b.lower() and b.isupper() and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}\d@[a-z]{4}\d\.example\.com", a) and a.lower() != "ann.lee7@mail3.example.com"
     p, q = re.findall(r"\+1 [\d() -]+\d", one)
     assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q) != "10175557713" and p[3] == "(" and q[3] != "("
     two = re.findall(r"\d{16}|(?:\d{4} ){3}\d{4}", got[2, 5])

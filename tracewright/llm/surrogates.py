@@ -16,8 +16,8 @@ differ. A mention's surrogate is written with its own title, punctuation and cap
 
 Collision checks: over the distinct entities of the corpus no surrogate may be taken twice within a type, nor equal any
 entity that occurs. Entities that lose are drawn again with the next round number until none does. Names have as many
-syllables as their number asks for and, like mail names and domains, grow every few rounds, so any number finds room. All of this is
-on the table of distinct entities; texts are only read to find mentions and to write surrogates between the parts they split.
+syllables as their number asks for and, like mail names and domains, grow every few rounds; short IPv6 forms are written in
+full and numbers grow if their form has no room left, so any number of entities finds room. All of this is on the table of distinct entities; texts are only read to find mentions and to write surrogates between the parts they split.
 
 Definitions: null texts stay null; texts without mentions stay as they are, byte for byte. Equal texts get equal
 results, whatever their doc_id; every input row gives a row. Columns named n_pii or text are replaced, others kept, those
@@ -39,24 +39,32 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2
 SECRET = r"(?<![0-9A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?![0-9A-Fa-f])"
 IPV4 = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d.-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\d)"
-IPV6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
+#: A shortened address has a digit and is no part of program text, where ``::`` stands between names.
+IPV6 = r"(?<![0-9A-Za-z:._])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:_(<])"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 #: Keys with a fixed beginning, which surrogates keep, and a digit.
 KEY = r"(?<![A-Za-z0-9])(?=[A-Za-z_-]*[0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"
 _KEY_START = r"^(?:AKIA|ASIA|akia|asia|gh[pousr]_|(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?|xox[abprs]-|AIza)"
-CARD = r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
+#: Sixteen digits, or other lengths that begin as cards of that length do; a moment in milliseconds is none.
+CARD = r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)(?:\d{16}|4\d{12}|3[068]\d{12}|3[47]\d{13}|[456]\d{16,18})(?!\d)"
 #: Titles of address by gender; fixed values.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Κυρία"]
 NEUTRAL = ["Mx", "Dr", "Prof"]
 _TITLE = rf"(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.?"
-NAME = rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+_NAME_WORD = r"\p{Lu}[\p{L}'-]+"
+#: Up to three initials or names before the last name, and one after an only one.
+NAME = rf"(?<!\p{{L}}){_TITLE} (?:(?:\p{{Lu}}\. ?|{_NAME_WORD} ){{0,3}}{_NAME_WORD})"
 PATTERN = "|".join((EMAIL, KEY, SECRET, IPV6, IPV4, SSN, PHONE, CARD, NAME))
 #: Every mention holds one of these or a digit; a quick look that spares most texts the pattern.
-_SIGNS = sorted({"@", "::", *(t[:3] if t in ("Señora", "Señor", "господин", "госпожа") else "Mr" if t == "Mrs" else t for t in MALE + FEMALE + NEUTRAL)})
+_SIGNS = sorted({"@", *(t[:3] if t in ("Señora", "Señor", "господин", "госпожа") else "Mr" if t == "Mrs" else t for t in MALE + FEMALE + NEUTRAL)})
 TYPES = ("email", "key", "secret", "ipv6", "ipv4", "ssn", "phone", "card", "name_male", "name_female", "name_neutral", "name_family", "name_given_male", "name_given_female", "name_given_neutral", "domain")
-MAX_ROUNDS = 40
+MAX_ROUNDS = 60
 ROUNDS_A_SYLLABLE = 3
+#: From this round on short IPv6 forms are written in full.
+WIDE_ROUND = 3
+#: From this round on numbers of fixed form grow too, a digit (or an octet) every few rounds.
+GROW_ROUND = 9
 
 #: Alphabets that a letter is redrawn in.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -173,23 +181,28 @@ def draw(canon: F.Column, kind: F.Column, round_no: int, key: str, syllables: in
     label, last = F.substring_index(canon, ".", 1), F.substring_index(canon, ".", -1)
     domain = F.concat(_redraw(label, h), more, F.lit(".example."), F.when(last.isin("com", "org", "net"), last).otherwise("com"))
     mail = F.concat(_redraw(F.substring_index(canon, "@", 1), h), more, F.lit("@"), F.substring_index(canon, "@", -1))
-    octets = F.concat_ws(".", (_byte(h, F.lit(0)) % 15 + 240).cast("string"), *(_byte(h, F.lit(i)).cast("string") for i in (1, 2, 3)))
-    number = _redraw(canon, h)
+    grown = max(0, round_no - GROW_ROUND + ROUNDS_A_SYLLABLE) // ROUNDS_A_SYLLABLE
+    octets = F.concat_ws(".", (_byte(h, F.lit(0)) % 15 + 240).cast("string"), *(_byte(h, F.lit(i)).cast("string") for i in range(1, 4 + grown)))
+    wide = F.regexp_replace(F.substr(h, F.lit(1), F.lit(32)), "(.{4})(?!$)", "$1:")
+    ipv6 = _redraw(canon, h, "0123456789abcdef") if round_no < WIDE_ROUND else F.when(F.length(F.regexp_replace(canon, ":", "")) < 16, wide).otherwise(_redraw(canon, h, "0123456789abcdef"))
+    number = _redraw(F.concat(canon, F.lit("0" * grown)), h)
     # the check digit moves by what keeps the Luhn sum of the original
     body = F.substr(number, F.lit(1), F.length(number) - 1)
     wrong = _luhn(F.concat(body, F.lit("0")))
     card = F.concat(body, ((F.when(_luhn(canon) == 0, 10 - wrong).otherwise(11 + _byte(h, F.lit(63)) % 9 - wrong)) % 10).cast("string"))
     country = F.when(F.length(canon) > 10, F.substr(canon, F.lit(1), F.length(canon) - 10)).otherwise("")
     phone = F.concat(country, F.substr(number, F.length(country) + 1, F.length(number)))
+    ssn = F.concat(F.lit("9"), F.substr(number, F.lit(2), F.length(number)))
     start = F.regexp_extract(canon, _KEY_START, 0)
     return (
         F.when(kind == "email", mail)
         .when(kind == "domain", domain)
         .when(kind == "ipv4", octets)
-        .when(kind.isin("secret", "ipv6"), _redraw(canon, h, "0123456789abcdef"))
+        .when(kind == "secret", _redraw(canon, h, "0123456789abcdef"))
+        .when(kind == "ipv6", ipv6)
         .when(kind == "key", F.concat(start, _redraw(F.substr(canon, F.length(start) + 1, F.length(canon)), h)))
         .when(kind == "card", card)
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substr(number, F.lit(2), F.lit(8))))
+        .when(kind == "ssn", ssn)
         .when(kind == "phone", phone)
         .otherwise(_name(canon, kind, h, syllables + round_no // ROUNDS_A_SYLLABLE))
     )
@@ -219,27 +232,45 @@ def assign(entities: DataFrame, key: str, max_rounds: int = MAX_ROUNDS) -> DataF
 
 
 def name_words(m: F.Column) -> F.Column:
-    """Words of a name without its title, as they are written."""
-    return F.split(F.regexp_replace(m, rf"^{_TITLE} ", ""), " ")
+    """Words of a name without its title, as they are written; an initial is a word."""
+    return F.split(F.regexp_replace(F.regexp_replace(m, rf"^{_TITLE} ", ""), r"\.(?=\p{L})", ". "), " ")
+
+
+def is_initial(word: F.Column) -> F.Column:
+    return word.rlike(r"^\p{L}\.$")
+
+
+def _case_like(original: F.Column, surrogate: F.Column) -> F.Column:
+    """The surrogate with capitals where the original has them."""
+    raised = F.zip_with(_chars(original), _chars(surrogate), lambda o, s: F.when((o == F.upper(o)) & (o != F.lower(o)), F.upper(s)).otherwise(F.coalesce(s, F.lit(""))))
+    return F.array_join(raised, "")
 
 
 def render(m: F.Column, kind: F.Column, surrogate: F.Column) -> F.Column:
     """A surrogate in the punctuation and capitals of a mention that is no name."""
     gaps = F.split(m, r"\d", -1)
     digits = F.concat(_chars(surrogate), F.array(F.lit("")))
-    spaced = F.array_join(F.zip_with(gaps, digits, lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), "")
-    cased = F.when((kind != "key") & (m == F.upper(m)), F.upper(surrogate)).otherwise(surrogate)
+    spaced = F.array_join(F.zip_with(gaps, digits, lambda g, d: F.concat(F.coalesce(g, F.lit("")), F.coalesce(d, F.lit("")))), "")
+    local, domain = F.substring_index(surrogate, "@", 1), F.substring_index(surrogate, "@", -1)
+    host, top = F.substring_index(F.substring_index(m, "@", -1), ".", 1), F.substring_index(m, ".", -1)
+    middle = F.substr(domain, F.length(F.substring_index(domain, ".", 1)) + 1, F.length(domain) - F.length(F.substring_index(domain, ".", 1)) - F.length(F.substring_index(domain, ".", -1)))
+    mail = F.concat(_case_like(F.substring_index(m, "@", 1), local), F.lit("@"), _case_like(host, F.substring_index(domain, ".", 1)), middle, _case_like(top, F.substring_index(domain, ".", -1)))
+    cased = F.when((kind != "key") & (m == F.upper(m)) & (m != F.lower(m)), F.upper(surrogate)).when((kind == "email") & (m != F.lower(m)), mail).otherwise(surrogate)
     return F.when(kind.isin("phone", "card", "ssn"), spaced).otherwise(cased)
 
 
 def _cased(word: F.Column, surrogate: F.Column) -> F.Column:
-    return F.when(word == F.upper(word), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    return F.when(word == F.upper(word), F.upper(surrogate)).when(word == F.lower(word), F.lower(surrogate)).otherwise(F.initcap(surrogate))
 
 
 def name_surrogates(named: DataFrame, key: str) -> DataFrame:
     """(m, s) of mentions that are names: each word's surrogate behind the mention's own title."""
     words = named.select("m", "kind", F.posexplode(name_words(F.col("m"))).alias("place", "word"), F.size(name_words(F.col("m"))).alias("n"))
     words = materialize(words.withColumn("canon", F.lower("word")), "name-words")
+    # initials are too few to be kept apart: each is a letter of the same script, drawn by itself
+    h = _hmac(key, F.concat_ws("|", F.lit("initial"), "canon"))
+    initials = words.where(is_initial(F.col("word"))).select("m", "place", F.upper(_redraw(F.col("canon"), h)).alias("s"))
+    words = words.where(~is_initial(F.col("word")))
     given = (F.col("n") > 1) & (F.col("place") == 0)
     uses = words.groupBy("canon").agg(
         F.max(given).alias("given"), F.coalesce(F.max(given & (F.col("kind") == "name_male")), F.lit(False)).alias("male"), F.coalesce(F.max(given & (F.col("kind") == "name_female")), F.lit(False)).alias("female")
@@ -247,7 +278,8 @@ def name_surrogates(named: DataFrame, key: str) -> DataFrame:
     kind = F.when(~F.col("given"), "name_family").when(F.col("male") & ~F.col("female"), "name_given_male").when(F.col("female") & ~F.col("male"), "name_given_female").otherwise("name_given_neutral")
     surrogates = assign(uses.select(kind.alias("kind"), "canon"), key)
     written = join_salted(words, surrogates.select("canon", "surrogate"), ["canon"], ["m", "place"])
-    whole = written.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("place", _cased(F.col("word"), F.col("surrogate")).alias("s")))).alias("x"))
+    written = written.select("m", "place", _cased(F.col("word"), F.col("surrogate")).alias("s")).union(initials)
+    whole = written.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("place", "s"))).alias("x"))
     title = F.regexp_extract("m", rf"^{_TITLE} ", 0)
     return whole.select("m", F.concat(title, F.array_join(F.transform("x", lambda w: w["s"]), " ")).alias("s"))
 
@@ -265,9 +297,13 @@ def other_surrogates(named: DataFrame, key: str) -> DataFrame:
 
 
 def known_names(mentions: F.Column) -> F.Column:
-    """Pattern of the full and family names among a text's mentions, without titles; null if there are none."""
+    """Pattern of the full and family names among a text's mentions, without titles, as written or in capitals, full names
+    in small letters too; null if there are none."""
     names = F.filter(mentions, lambda m: m.rlike(rf"^{_TITLE} "))
-    forms = F.flatten(F.transform(names, lambda m: F.array(F.array_join(name_words(m), " "), F.element_at(name_words(m), -1))))
+    full = F.transform(names, lambda m: F.array_join(name_words(m), " "))
+    forms = F.concat(full, F.transform(names, lambda m: F.element_at(name_words(m), -1)))
+    forms = F.concat(forms, F.transform(forms, lambda x: F.upper(x)), F.filter(F.transform(full, lambda x: F.lower(x)), lambda x: x.contains(" ")))
+    forms = F.transform(forms, lambda x: F.replace(x, F.lit("."), F.lit("\\.")))
     forms = F.array_sort(F.array_distinct(forms), lambda a, b: F.length(b) - F.length(a))
     return F.when(F.size(names) > 0, F.concat(F.lit(r"|(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])")))
 
