@@ -1,4 +1,5 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pyarrow.parquet as pq
@@ -117,3 +118,25 @@ def test_nulls(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "<p>a", "y"), (2, "", None)], "page_id long, html string, text string")
     assert sorted(map(str, h.extract_text(df).collect())) == sorted(["Row(page_id=1, text=None, n_lines=None, n_chars=None)", "Row(page_id=None, text='a', n_lines=1, n_chars=1)", "Row(page_id=2, text='', n_lines=0, n_chars=0)"])
     assert h.extract_text(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<div>", "<ul><li>a", "<p><b>", "<dl><dd>q", "<svg><g>", "<button><p>a", "<table><tr><td>a", "<style>.a{display:none}</style><p class=b>a"])
+def test_open_elements_cost_the_same_however_many_there_are(part):
+    def took(n):
+        began = time.process_time()
+        h.render(part * n)
+        return time.process_time() - began
+
+    small, large = min(took(2_000) for _ in range(3)), took(20_000)
+    assert large < 30 * max(small, 0.01)
+
+
+def test_two_hundred_thousand_open_elements():
+    began = time.process_time()
+    text = h.render("<div>" * 200_000 + "x")
+    assert text == "x" and time.process_time() - began < 4
+
+
+def test_deeply_nested_tables_keep_their_text():
+    got = h.render("".join(f"<table><tr><td>c{i}" for i in range(300)))
+    assert re.findall(r"c\d+", got) == [f"c{i}" for i in range(300)]

@@ -220,10 +220,19 @@ class Renderer:
     """One page."""
 
     def __init__(self, rules: list[tuple] = ()) -> None:
-        self.rules = rules
+        # of equal selectors the strongest rule counts; rules are looked up by a class, id or tag that they ask for
+        best: dict[tuple, tuple] = {}
+        for rule in rules:
+            if rule[:4] not in best or rule[5] > best[rule[:4]][5]:
+                best[rule[:4]] = rule
+        self.rules: dict[str, list[tuple]] = {}
+        for rule in best.values():
+            tag, ids, classes = rule[:3]
+            self.rules.setdefault("." + min(classes) if classes else "#" + min(ids) if ids else tag, []).append(rule)
         self.flow = Flow()
         self.root = Element("#root", self.flow, True, True)
         self.stack = [self.root]
+        self.open: dict[str, list[int]] = {}  # places in the stack of open elements by name
         self.layouts = 0
         self.head_done = False
         self.pre = 0
@@ -232,14 +241,18 @@ class Renderer:
     # --- the stack of open elements
 
     def find(self, names, stop) -> int:
-        """Index of the nearest open element among names, none of stop in between; 0 if there is none."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            name = self.stack[i].name
-            if name in names:
-                return i
-            if name in stop:
-                return 0
-        return 0
+        """Index of the nearest open element among names, none of stop in between; 0 if there is none. The work does not
+        depend on how many elements are open."""
+        i = self.last(names)
+        return i if i and i >= self.last(stop) else 0
+
+    def last(self, names) -> int:
+        """Index of the nearest open element among names; 0 if there is none."""
+        top = 0
+        for name in names:
+            if (places := self.open.get(name)) and places[-1] > top:
+                top = places[-1]
+        return top
 
     def pop_to(self, i: int) -> None:
         while i and len(self.stack) > i:
@@ -248,6 +261,7 @@ class Renderer:
     def push(self, name: str, shown: bool, visible: bool) -> Element:
         parent = self.stack[-1]
         e = Element(name, parent.own or parent.flow, parent.shown and shown, visible)
+        self.open.setdefault(name, []).append(len(self.stack))
         self.stack.append(e)
         self.foreign += name in ("math", "svg")
         return e
@@ -260,6 +274,7 @@ class Renderer:
     def close(self) -> None:
         e = self.stack.pop()
         name = e.name
+        self.open[name].pop()
         if name in ("pre", "textarea", "xmp"):
             self.pre -= 1
         self.foreign -= name in ("math", "svg")
@@ -267,9 +282,9 @@ class Renderer:
             self.layouts -= 1
             lines = e.own.finish()
             if name in CELLS:
-                row = next((x for x in reversed(self.stack) if x.name == "table"), None)
-                if e.shown and row is not None and row.rows:
-                    row.rows[-1].append((lines, *e.span))
+                table = self.last(("table",))
+                if e.shown and table and self.stack[table].rows:
+                    self.stack[table].rows[-1].append((lines, *e.span))
                 return
             if lines:
                 pad = " " * len(e.marker) if e.marker.strip() else e.marker
@@ -281,14 +296,14 @@ class Renderer:
             for line in lay_out_table(e.rows):
                 e.flow.put(line)
         if name in BLOCKS and e.shown:
-            nested = name in LISTS and any(x.name == "li" for x in self.stack)
+            nested = name in LISTS and self.last(("li",)) > 0
             e.flow.block(0 if nested else BLOCKS[name])
 
     # --- tokens
 
     def text(self, s: str) -> None:
         top = self.stack[-1]
-        if self.foreign and (i := self.in_foreign()) and self.stack[i].name == "svg" and not any(x.name == "text" for x in self.stack[i:]):
+        if self.foreign and (i := self.in_foreign()) and self.stack[i].name == "svg" and self.last(("text",)) < i:
             return
         if top.name == "head" and s.strip(_BLANK):
             self.pop_to(len(self.stack) - 1)
@@ -343,7 +358,8 @@ class Renderer:
         """display and visibility that the page's rules give an element."""
         out: dict[str, tuple] = {}
         classes = frozenset(a["class"].split()) if "class" in a else frozenset()
-        for tag, ids, wanted, prop, value, rank in self.rules:
+        near = [name, "", *(["#" + a["id"]] if "id" in a else []), *("." + c for c in classes)]
+        for tag, ids, wanted, prop, value, rank in (rule for place in near for rule in self.rules.get(place, ())):
             if (not tag or tag == name) and wanted <= classes and (not ids or ids == {a.get("id")}) and (prop not in out or rank > out[prop][0]):
                 out[prop] = (rank, value)
         return {prop: value for prop, (_, value) in out.items()}
@@ -430,23 +446,24 @@ class Renderer:
         if not e.shown:
             return
         if name in BLOCKS and name != "table":  # text that strays into a table still belongs to the line before it
-            nested = name in LISTS and any(x.name == "li" for x in stack[:-1])
+            nested = name in LISTS and self.last(("li",)) > 0
             flow.block(0 if nested else BLOCKS[name])
         if name == "table":
             e.rows = []
         elif name == "tr":
-            table = next((x for x in reversed(self.stack) if x.name == "table"), None)
-            if table is not None and table.rows is not None:
-                table.rows.append([])
+            table = self.last(("table",))
+            if table and self.stack[table].rows is not None:
+                self.stack[table].rows.append([])
         elif name in CELLS:
             e.span = (_number(a.get("colspan"), 1, MAX_SPAN), _number(a.get("rowspan"), 1, 65_534))
-            e.own = Flow()
-            self.layouts += 1
+            self.lay_apart(e)
+            if e.own is None:
+                flow.block(0)
         elif name in ("ol", "ul", "menu", "dir"):
             e.count = _number(a.get("start"), 1, 999_999) - 1 if name == "ol" else 0
         elif name == "li":
-            holder = next((x for x in reversed(self.stack[:-1]) if x.name in LISTS), None)
-            if holder is not None and holder.name == "ol":
+            holder = self.stack[self.last(LISTS)]  # the root if there is none
+            if holder.name == "ol":
                 holder.count = _number(a.get("value"), holder.count + 1, 999_999)
                 e.marker = f"{holder.count}. "
             else:
