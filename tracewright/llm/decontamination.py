@@ -145,6 +145,40 @@ def windows_at_hits(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("key", "text", "hits"), extend, "key binary, n int, a int, window binary")
 
 
+#: Bits of the filter that keeps texts without hits out of shuffles; 8 MB whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def _places(key: bytes) -> tuple[int, int, int]:
+    """Three places in the filter from a digest."""
+    return tuple(int.from_bytes(key[i : i + 4], "little") % FILTER_BITS for i in (0, 4, 8))
+
+
+def maybe_in(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose ``key`` may be among ``keys``: none that is goes missing, few others stay while the keys are
+    under some ten million. A Bloom filter, put together from each task's own."""
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        for batch in batches:
+            at = np.array([p for k in batch.column("key").to_pylist() for p in _places(k)], np.int64)
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        word = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits[word].view(np.int64))], ["word", "bits"])
+
+    marked = keys.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()  # a row for each 64 bits at most
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[marked["word"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = keyed.sparkSession.sparkContext.broadcast(bits)
+
+    def look(batch: pa.RecordBatch):
+        at = np.array([_places(k) for k in batch.column("key").to_pylist()], np.int64)
+        found = ((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+        return batch.filter(pa.array(found))
+
+    return map_arrow(keyed.select("key", "text"), look, "key binary, text string")
+
+
 def hit_words(spans: F.Column) -> F.Column:
     """Words covered by the spans (a, n), sorted by a."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum"))
@@ -170,7 +204,7 @@ def contamination(documents: DataFrame, items: DataFrame, broadcast_bytes: int =
 
     def joined(left: DataFrame, right: DataFrame, on: list[str], row_bytes: int, spread: list[str]) -> DataFrame:
         few = maybe_broadcast(right, row_bytes, broadcast_bytes)
-        return left.join(few, on) if few is not right else join_salted(left, right, on, spread)
+        return left.join(few, on) if few is not right else join_salted(materialize(left, "left-of-join"), right, on, spread)
 
     fps = document_fingerprints(documents, lengths)
     hits = joined(fps, windows.select("n", "fp").distinct(), ["n", "fp"], 16, ["key", "at"]).groupBy("key").agg(F.collect_set(F.struct("n", "at")).alias("hits"))
@@ -179,6 +213,8 @@ def contamination(documents: DataFrame, items: DataFrame, broadcast_bytes: int =
     keyed, keys = documents.where("text is not null").select(content_key("text").alias("key"), "text"), hits.select("key")
     if (few := maybe_broadcast(keys, 32, broadcast_bytes)) is not keys:
         keyed = keyed.join(few, "key", "left_semi")
+    else:
+        keyed = maybe_in(keyed, keys)  # the join below settles it
     seen = windows_at_hits(keyed.groupBy("key").agg(F.first("text").alias("text")).join(hits, "key"))
     owners = windows.groupBy("n", "window").agg(F.collect_set("item_id").alias("ids"))
     met = materialize(joined(seen, windows.select("n", "window").distinct(), ["n", "window"], 48, ["key", "a"]), "window-hits")

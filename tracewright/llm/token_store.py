@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, join_salted, map_arrow, mix64, new_path, scale_to_parts
+from .common import Powers, join_salted, map_arrow, materialize, mix64, new_path, scale_to_parts
 
 END_ID = 1
 ROLL = 16
@@ -391,7 +391,7 @@ def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids array<long>): the documents again, from verified chunks and recipes."""
-    parts = verified_recipes(spark, path).select("shard", "place", F.posexplode("digests").alias("pos", "digest"))
+    parts = materialize(verified_recipes(spark, path).select("shard", "place", F.posexplode("digests").alias("pos", "digest")), "recipe-chunks")
     parts = join_salted(parts, verified_chunks(spark, path), ["digest"], ["shard", "place", "pos"])
     whole = parts.groupBy("shard", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
 
@@ -407,8 +407,18 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): read from the files; each chunk's bytes are read and checked once, where
     they lie, and only its CRC travels; CRCs of parts combine to that of the document."""
     recipes = verified_recipes(spark, path)
-    ends = F.transform("sizes", lambda _, i: F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(0).cast("long"), lambda s, x: s + x))
-    parts = recipes.select("shard", "place", F.inline(F.arrays_zip(F.col("digests").alias("digest"), ends.alias("after"))))
+
+    def chunks_of(batch: pa.RecordBatch):
+        """A row a chunk of every document, with the number of ids after it."""
+        sizes, digests = batch.column("sizes"), batch.column("digests")
+        counts = sizes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        total, ends = np.concatenate([[0], np.cumsum(flat)]), np.cumsum(counts)
+        after = np.repeat(total[ends], counts) - total[1:]
+        row = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        return pa.RecordBatch.from_arrays([batch.column("shard").take(row), batch.column("place").take(row), digests.flatten(), pa.array(after)], ["shard", "place", "digest", "after"])
+
+    parts = materialize(map_arrow(recipes.select("shard", "place", "digests", "sizes"), chunks_of, "shard int, place long, digest binary, after long"), "recipe-chunks")
     found = join_salted(parts, verified_chunks(spark, path).select("digest", "crc"), ["digest"], ["shard", "place", "after"], "left")
 
     def shift(batch: pa.RecordBatch):
