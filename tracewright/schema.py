@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.commits import CommitLog, is_log
+
 #: Fixed value of the format.
 SCHEMA_VERSION = "annotations/v6"
 #: Column names and types in canonical order; fixed values of the format.
@@ -78,7 +80,9 @@ def append_annotations(df: DataFrame, path: str) -> None:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Any version of the table; columns it lacks are null."""
+    """Any version of the table, plain files or a commit log; columns it lacks are null."""
+    if is_log(spark, path):
+        return conform(CommitLog(spark, path).read())
     return conform(spark.read.option("mergeSchema", "true").parquet(path))
 
 

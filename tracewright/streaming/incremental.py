@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import append_annotations, ddl
+from ..schema import conform, ddl
+from ..sources.commits import CommitLog
 
 
 def remaining(episodes: DataFrame, done: DataFrame) -> DataFrame:
@@ -15,29 +16,25 @@ def remaining(episodes: DataFrame, done: DataFrame) -> DataFrame:
     return episodes.join(done.select("episode_id").distinct(), "episode_id", "left_anti")
 
 
-def annotate_batch(spark: SparkSession, episodes: DataFrame, annotate: Callable[[DataFrame], DataFrame], out: str) -> None:
-    """Annotate what is not done and append it. ``annotate`` gives annotations of the episodes it could do; those it
-    couldn't are recorded in ``out``/failures and tried again with the next batch."""
-    spark.createDataFrame([], ddl()).write.mode("append").parquet(f"{out}/annotations")
-    done = spark.read.schema(ddl()).parquet(f"{out}/annotations")
-    todo = remaining(episodes, done)
-    append_annotations(annotate(todo), f"{out}/annotations")
-    now = spark.read.schema(ddl()).parquet(f"{out}/annotations")
-    remaining(todo, now).write.mode("append").parquet(f"{out}/failures")
+def annotate_batch(spark: SparkSession, episodes: DataFrame, annotate: Callable[[DataFrame], DataFrame], out: str, key: str | None = None) -> None:
+    """Annotate what is not done and commit it, at most once for a ``key``. ``annotate`` gives annotations of the episodes it
+    could do; those it couldn't become the table ``out``/failures, from which done ones leave."""
+    done, failed = CommitLog(spark, f"{out}/annotations"), CommitLog(spark, f"{out}/failures")
+    todo = remaining(episodes, done.read(schema=ddl()))
+    if key is None or key not in done.snapshot().keys:
+        done.append(conform(annotate(todo)), key)
+    base, kinds = failed.snapshot(), ", ".join(f"`{n}` {t}" for n, t in episodes.dtypes)
+    left = remaining(episodes.unionByName(failed.read(base.version, kinds)), done.read(schema=ddl()))
+    failed.replace(left.dropDuplicates(["episode_id"]), base)
 
 
 def annotate_stream(spark: SparkSession, source: str, schema: str, annotate: Callable[[DataFrame], DataFrame], out: str):
-    """Annotate all episode files below ``source`` that are new since the last run, then stop; progress and exactly-once
-    file tracking are in the query's checkpoint. Returns the finished query."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        again = df
-        try:
-            again = df.unionByName(spark.read.schema(schema).parquet(f"{out}/failures")).dropDuplicates(["episode_id"])
-        except Exception as e:  # noqa: BLE001 - no failures were ever written
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        annotate_batch(spark, again, annotate, out)
+    """Annotate all episode files below ``source`` that are new since the last run, and what failed before, then stop; progress
+    is in the query's checkpoint, and a batch that is replayed commits nothing twice. Returns the finished query."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        failed = CommitLog(spark, f"{out}/failures").read(schema=schema)
+        annotate_batch(spark, df.unionByName(failed).dropDuplicates(["episode_id"]), annotate, out, f"batch-{number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_progress").trigger(availableNow=True).start()
