@@ -670,4 +670,4 @@ def event_windows(spark, d):
     return windows(ev, "ts").select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", r("total", 4))
 
 
-from . import catalog_more  # noqa: E402, F401 - registers its queries under the same names
+from . import catalog_files, catalog_more  # noqa: E402, F401 - register their queries under the same names

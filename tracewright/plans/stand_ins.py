@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,15 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("episode_id"), F.lit(0).alias("frame_idx"), "embedding", "label")
+
+
+def clip_file(frames: list[bytes], scale: int = 600, step: int = 60, every: int = 5) -> bytes:
+    """A minimal MP4 file whose frames are any bytes: the data, then one video track's tables; every n-th frame is a key."""
+    box = lambda kind, *body: struct.pack(">I4s", 8 + sum(map(len, body)), kind) + b"".join(body)
+    table = lambda kind, *numbers: box(kind, bytes(4), struct.pack(f">{len(numbers)}I", *numbers))
+    n, start, keys = len(frames), box(b"ftyp", b"isom"), range(1, len(frames) + 1, every)
+    tables = box(
+        b"stbl", table(b"stts", 1, n, step), table(b"stss", len(keys), *keys), table(b"stsc", 1, 1, n, 1), table(b"stsz", 0, n, *map(len, frames)), table(b"stco", 1, len(start) + 8)
+    )
+    head, kind = table(b"mdhd", 0, 0, scale, n * step, 0), box(b"hdlr", bytes(8), b"vide", bytes(13))
+    return start + box(b"mdat", *frames) + box(b"moov", box(b"trak", box(b"mdia", head, kind, box(b"minf", tables))))

@@ -77,14 +77,50 @@ def decode(frames: DataFrame) -> DataFrame:
     return frames.mapInPandas(run, f"{kinds}, height int, width int, gray array<double>")
 
 
+def episode_files(spark: SparkSession, root: str, below: str = "data") -> DataFrame:
+    """(path, first, last, rows): which episodes each parquet file of a dataset may hold, from footers alone. Files without
+    statistics may hold any (nulls)."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{below}").select("path")
+
+    def footers(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                files, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                with files.open_input_file(at) as f:
+                    meta = pq.ParquetFile(f).metadata
+                place = next((i for i in range(meta.num_columns) if meta.schema.column(i).path == "episode_index"), None)
+                stats = [meta.row_group(i).column(place).statistics for i in range(meta.num_row_groups)] if place is not None else []
+                known = stats and all(x is not None and x.has_min_max for x in stats)
+                out.append((path, min(x.min for x in stats) if known else None, max(x.max for x in stats) if known else None, meta.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["path", "first", "last", "rows"])
+
+    return listed.mapInArrow(footers, "path string, first long, last long, rows long")
+
+
+def frame_files(spark: SparkSession, root: str, episodes: list[int] | None = None) -> DataFrame:
+    """Rows of data/**/*.parquet, of the episodes of a list if there is one: only files that may hold them are opened, of these
+    only row groups that may. Columns are those of one file."""
+    everything = spark.read.option("recursiveFileLookup", "true")
+    if episodes is None:
+        return everything.parquet(f"{root}/data")
+    wanted = sorted(set(episodes))
+    holds = F.exists(F.array(*map(F.lit, wanted)).cast("array<long>"), lambda e: e.between(F.col("first"), F.col("last"))) if wanted else F.lit(False)
+    paths = [r["path"] for r in episode_files(spark, root).where(holds | F.col("first").isNull() & F.lit(bool(wanted)) & (F.col("rows") > 0)).select("path").collect()]
+    rows = spark.read.parquet(*paths) if paths else everything.parquet(f"{root}/data").where("false")
+    return rows.where(F.col("episode_index").isin(wanted)) if wanted else rows
+
+
 def vector_frames(spark: SparkSession, root: str, column: str = "action", episodes: list[int] | None = None) -> DataFrame:
-    """(episode_id, frame_idx, action) of all data/**/*.parquet; an episode list becomes a filter of the scan.
+    """(episode_id, frame_idx, action) of all data/**/*.parquet; an episode list chooses files, row groups and rows.
 
     Stays long: no grouping, no ordering until an operator asks for it.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(f"{root}/data")
-    if episodes is not None:
-        rows = rows.where(F.col("episode_index").isin(episodes))
+    rows = frame_files(spark, root, episodes)
     return rows.select(F.col("episode_index").cast("string").alias("episode_id"), F.col("frame_index").cast("int").alias("frame_idx"), F.transform(F.col(f"`{column}`"), lambda x: x.cast("double")).alias("action"))
 
 
@@ -101,14 +137,15 @@ def dataset_episodes(spark: SparkSession, root: str, episodes: list[int] | None
     task = F.nullif(F.trim(F.coalesce(*given)), F.lit("")) if given else F.lit(None).cast("string")
     fps = float(dataset_info(root).get("fps", 30.0))
     out = rows.select(F.col("episode_index").cast("string").alias("episode_id"), task.alias("task"), (F.col("dataset_to_index") - F.col("dataset_from_index")).cast("int").alias("num_frames"), F.lit(fps).alias("fps"))
-    if (first := first_frame_tasks(spark, root)) is None:
+    if (first := first_frame_tasks(spark, root, episodes)) is None:
         return out
     return out.join(first, "episode_id", "left").select("episode_id", F.coalesce("task", "__first").alias("task"), "num_frames", "fps")
 
 
-def first_frame_tasks(spark: SparkSession, root: str) -> DataFrame | None:
-    """(episode_id, __first): the task text that the first frame of each episode states; None if frames have no such column."""
-    frames = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(f"{root}/data")
+def first_frame_tasks(spark: SparkSession, root: str, episodes: list[int] | None = None) -> DataFrame | None:
+    """(episode_id, __first): the task text that the first frame of each episode states; None if frames have no such column.
+    An episode list chooses files as for ``vector_frames``."""
+    frames = frame_files(spark, root, episodes)
     if "task" not in frames.columns:
         return None
     return frames.groupBy(F.col("episode_index").cast("string").alias("episode_id")).agg(F.min_by("task", "frame_index").alias("__first"))
