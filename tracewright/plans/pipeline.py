@@ -29,11 +29,30 @@ QUESTIONS = {
 }
 
 
-def _requests(episodes: DataFrame, stage: str, labels, extra=None) -> DataFrame:
+def duties(strategy: Strategy, rubric: Rubric) -> str:
+    """What an answer to the grounded question is held to, as ``segments.grounded`` will check it."""
+    floor = rubric.min_segments if strategy.enforce_min_segments else 1
+    said = [f"Give {floor} to {rubric.max_segments} segments.", "Each ends at one of the listed frames (end_frame, a whole number) and states in one clause what is seen there (evidence)."]
+    if strategy.closed_vocabulary:
+        said.append(f"phase is one of: {', '.join(rubric.phase_vocabulary)}.")
+    else:
+        said.append("phase is a short verb phrase of your own.")
+    if strategy.require_target:
+        said.append("target names the object that is acted on so that it is told from others in view; only a withdrawal may have none.")
+    if floor > 1:
+        said.append("One segment for the whole episode is no answer.")
+    return " ".join(said)
+
+
+def _requests(episodes: DataFrame, stage: str, labels, extra=None, rules: str = "", times: bool = True) -> DataFrame:
+    """Questions of a stage. ``rules`` is said before the frames; a column ``rejected`` says why the last answer was no good."""
     kind = stage.split("/")[0]
-    parts = [F.lit(QUESTIONS[kind]), F.coalesce("task", "episode_id"), F.lit("\nFrames: "), manifest(labels, F.col("fps"))]
+    shown = manifest(labels, F.col("fps")) if times else F.array_join(F.transform(labels, lambda i: F.format_string("frame %d", i)), ", ")
+    parts = [F.lit(QUESTIONS[kind]), F.coalesce("task", "episode_id"), F.lit(f"\n{rules}" if rules else ""), F.lit("\nFrames: "), shown]
     if extra is not None:
         parts += [F.lit("\nObserved: "), extra]
+    if "rejected" in episodes.columns:
+        parts.append(F.when(F.col("rejected").isNotNull(), F.concat(F.lit("\nThe last answer was rejected: "), "rejected", F.lit(". Answer anew and keep to all that is asked."))).otherwise(""))
     return episodes.select(F.col("episode_id").cast("string").alias("episode_id"), F.lit(stage).alias("stage"), F.concat(*parts).alias("question"), labels.alias("frame_labels"))
 
 
@@ -46,10 +65,12 @@ def label_segments(episodes: DataFrame, provider: Provider, strategy: Strategy,
     labels = even_positions(F.col("num_frames"), F.greatest(F.lit(2), F.lit(strategy.frame_count)))
     text = lambda df: df.withColumn("items", segments.parse_answer(extract_json(F.col("answer"))))
     base = episodes.select(F.col("episode_id").cast("string").alias("episode_id"), "task", "num_frames", "fps")
+    provider = provider.at(strategy.temperature if strategy.self_consistency_k > 1 else 0.0)  # samples must differ
     if not strategy.grounded:
         got = text(ask(_requests(base, "subtasks", labels), provider, receipts)).select("episode_id", "items").join(base, "episode_id")
         return got.select("episode_id", segments.validated(F.col("items"), F.col("num_frames"), rubric.max_segments).alias("segments"), F.lit(None).cast("string").alias("error"))
-    seen = ask(_requests(base, "events", labels), provider, receipts).select("episode_id", F.col("answer").alias("observations"))
+    times, rules = strategy.caption_timestamps, duties(strategy, rubric)
+    seen = ask(_requests(base, "events", labels, times=times), provider, receipts).select("episode_id", F.col("answer").alias("observations"))
     base = base.join(seen, "episode_id")
     vocabulary = list(rubric.phase_vocabulary) if strategy.closed_vocabulary else None
     samples = None
@@ -57,7 +78,7 @@ def label_segments(episodes: DataFrame, provider: Provider, strategy: Strategy,
         todo, done = base, None
         for attempt in range(strategy.max_label_attempts):
             stage = f"grounded/s{sample}_a{attempt}"
-            got = text(ask(_requests(todo, stage, labels, F.col("observations")), provider, receipts)).select("episode_id", "items").join(todo, "episode_id")
+            got = text(ask(_requests(todo, stage, labels, F.col("observations"), rules, times), provider, receipts)).select("episode_id", "items").join(todo, "episode_id")
             segs, error = segments.grounded(F.col("items"), F.col("num_frames"), vocabulary=vocabulary, require_target=strategy.require_target, min_segments=rubric.min_segments if strategy.enforce_min_segments else None, most=rubric.max_segments)
             tried = got.select("episode_id", "num_frames", segs.alias("segments"), error.alias("error"), F.lit(sample).alias("sample"))
             fine = F.col("error").isNull() | (F.col("error").startswith("below min") & F.lit(strategy.min_granularity_policy == "warn"))
@@ -66,7 +87,7 @@ def label_segments(episodes: DataFrame, provider: Provider, strategy: Strategy,
             done = kept if done is None else done.unionByName(kept)
             if last or tried.where(~fine).isEmpty():
                 break
-            todo = todo.join(tried.where(~fine).select("episode_id"), "episode_id", "left_semi")
+            todo = todo.drop("rejected").join(tried.where(~fine).select("episode_id", F.col("error").alias("rejected")), "episode_id")
         samples = done if samples is None else samples.unionByName(done)
     if strategy.self_consistency_k > 1:
         out = segments.combined_samples(samples).withColumn("error", F.lit(None).cast("string"))
