@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import nearest
+from .neighbours import extend_nearest, nearest
 from .ordering import quantiles
 
 MIN_POPULATION = 15
@@ -71,18 +71,45 @@ def speed_tiers(df: DataFrame, cuts: tuple[float, float] = (1 / 3, 2 / 3), min_p
 # --- novelty
 
 
+def _vectors(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("episode_id").alias("id"), F.lit(0).alias("grp"), F.col("episode_id").alias("owner"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+
+
+def _mean_distance(episodes: DataFrame, best: DataFrame) -> DataFrame:
+    """(episode_id, novelty) from (id, dist, other); 0 without neighbours."""
+    mean = best.groupBy("id").agg(F.avg("dist").alias("m"))
+    joined = episodes.select("episode_id").join(mean, F.col("episode_id") == F.col("id"), "left")
+    return joined.select("episode_id", F.round(F.coalesce("m", F.lit(0.0)), 5).alias("novelty"))
+
+
 def novelty(embeddings: DataFrame, k: int = 5) -> DataFrame:
     """(episode_id, novelty): mean distance to the k nearest other episodes (fewer if there are fewer); 0 alone."""
-    rows = embeddings.select(F.col("episode_id").alias("id"), F.lit(0).alias("grp"), F.col("episode_id").alias("owner"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    mean = nearest(rows, rows, k).groupBy("id").agg(F.avg("dist").alias("m"))
-    joined = embeddings.select("episode_id").join(mean, F.col("episode_id") == F.col("id"), "left")
-    return joined.select("episode_id", F.round(F.coalesce("m", F.lit(0.0)), 5).alias("novelty"))
+    rows = _vectors(embeddings)
+    return _mean_distance(embeddings, nearest(rows, rows, k))
 
 
-def rescore(pool: DataFrame, k: int = 8, w_quality: float = 0.5, w_novelty: float = 0.5) -> DataFrame:
-    """Pooled datasets (dataset, episode_id, embedding, quality, speed_norm): novelty, value, tier and speed over all."""
-    key = pool.withColumn("__id", F.concat_ws("::", "dataset", "episode_id"))
-    new = novelty(key.select(F.col("__id").alias("episode_id"), "embedding"), k).withColumnRenamed("episode_id", "__id")
+def pool_keys(pool: DataFrame) -> DataFrame:
+    """A pool of datasets with the ids that tell its episodes apart (__id)."""
+    return pool.withColumn("__id", F.concat_ws("::", "dataset", "episode_id"))
+
+
+def pool_neighbours(pool: DataFrame, k: int = 8, before: DataFrame | None = None, neighbours: DataFrame | None = None) -> DataFrame:
+    """(id, dist, other) of a pool, to be kept; with those of the pool ``before``, ``pool`` is only what was added to it."""
+    rows = _vectors(pool_keys(pool).select(F.col("__id").alias("episode_id"), "embedding"))
+    if before is None:
+        return nearest(rows, rows, k)
+    known = _vectors(pool_keys(before).select(F.col("__id").alias("episode_id"), "embedding"))
+    return extend_nearest(neighbours, known, rows, k)
+
+
+def rescore(pool: DataFrame, k: int = 8, w_quality: float = 0.5, w_novelty: float = 0.5, neighbours: DataFrame | None = None) -> DataFrame:
+    """Pooled datasets (dataset, episode_id, embedding, quality, speed_norm): novelty, value, tier and speed over all.
+
+    ``neighbours`` are those of ``pool_neighbours``, where a dataset joins others that are scored already.
+    """
+    key = pool_keys(pool)
+    best = pool_neighbours(pool, k) if neighbours is None else neighbours
+    new = _mean_distance(key.select(F.col("__id").alias("episode_id")), best).withColumnRenamed("episode_id", "__id")
     scored = curation_values(key.drop("novelty").join(new, "__id", "left"), w_quality=w_quality, w_novelty=w_novelty)
     return speed_tiers(tiers(scored)).drop("__id", "embedding")
 

@@ -187,3 +187,16 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, few_bytes: int =
 
     best = met.select("q", "c").mapInArrow(solve, kinds).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("best"))
     return best.select("id", F.inline("best"))
+
+
+def extend_nearest(best: DataFrame, known: DataFrame, added: DataFrame, k: int, few_bytes: int = FEW_BYTES) -> DataFrame:
+    """(id, dist, other) of ``known`` and ``added`` together, from ``best``, that of ``known`` alone.
+
+    Added vectors look for neighbours among all, known ones only among the added; so the work is in proportion to what was
+    added. ``best`` is (id, dist, other) as ``nearest(known, known, k)`` gave it.
+    """
+    every = known.unionByName(added)
+    fresh = nearest(added, every, k, few_bytes)
+    closer = best.unionByName(nearest(known, added, k, few_bytes))
+    kept = closer.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("best"))  # 2k a row at most
+    return kept.select("id", F.inline("best")).unionByName(fresh)
