@@ -61,6 +61,32 @@ def safe_numbers(spark, d):
     return s.table(spark, d, "documents").select("doc_id", text.safe_int(_N()).alias("whole"), text.clamp_quality(_N()).alias("quality"))
 
 
+@query("""select conv_id, turn, case when lower(trim(coalesce(text, ''))) not in ('', 'none', 'n/a', 'na', '-', 'null', 'the scene', 'scene', 'object') then substr(trim(text), 1, 80) end as target,
+case when lower(trim(coalesce(role, ''))) not in ('', 'nan', 'none') then trim(role) end as asked, case when lower(trim(text)) not in ('', 'nan') then trim(text) end as shown from conversations""")
+def targets_of_turns(spark, d):
+    """Texts and roles of turns as labels of targets, as answers of queries and as the viewer shows them."""
+    turns = s.table(spark, d, "conversations")
+    return turns.select("conv_id", "turn", text.clean_target(F.col("text")).alias("target"), text.query_target(F.col("role")).alias("asked"), text.blank_to_null(F.col("text")).alias("shown"))
+
+
+@query(f"""select doc_id, {_has('text', text.WIND_DOWN)} as wind_down, {_has('text', text.CONTACT)} as contact, case when {_has('text', text.GRASP)} then 'grasp' when {_has('text', text.RELEASE)} then 'release' else 'other' end as kind,
+coalesce(source, '') = 'retract' or {_has('source', text.WIND_DOWN)} as optional_open, coalesce(lang, '') = 'retract' as optional_closed from documents""")
+def kinds_of_documents(spark, d):
+    """Whole texts, sources and languages through the classifiers of phases."""
+    docs = s.table(spark, d, "documents")
+    t, source, lang = F.col("text"), F.col("source"), F.col("lang")
+    return docs.select("doc_id", text.is_wind_down(t).alias("wind_down"), text.is_contact(t).alias("contact"), text.contact_kind(t).alias("kind"), text.target_optional(source, True).alias("optional_open"), text.target_optional(lang, False).alias("optional_closed"))
+
+
+@query("""with t as (select o_orderkey, try_cast(concat_ws('.', o_custkey, o_orderkey) as double) as a, try_cast(o_orderpriority as double) as b, try_cast(substr(o_orderpriority, 1, 1) as double) as c, try_cast('-' || o_custkey as double) as e from orders)
+select o_orderkey, trunc(a)::bigint as customer, trunc(b)::bigint as priority, greatest(1, least(5, trunc(c)))::bigint as quality, greatest(1, least(5, trunc(e)))::bigint as least_quality from t""")
+def numbers_of_orders(spark, d):
+    """Numbers read from keys and priorities, and cut to the scale of quality."""
+    key, first = F.concat_ws(".", "o_custkey", "o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    own = [text.safe_int(key).alias("customer"), text.safe_int(F.col("o_orderpriority")).alias("priority"), text.clamp_quality(first).alias("quality"), text.clamp_quality(F.concat(F.lit("-"), F.col("o_custkey").cast("string"))).alias("least_quality")]
+    return s.table(spark, d, "orders").select("o_orderkey", *own)
+
+
 _F, _F_SQL = pick(["frame", "frame_index", "end_frame", "transition_frame", "other", ""], "doc_id")
 
 
