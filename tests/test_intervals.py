@@ -21,6 +21,13 @@ def test_equals_all_pairs(spark, width):
     assert sorted((x["i"], x["j"]) for x in got.collect()) == want
 
 
+def test_short_intervals_need_no_look(spark):
+    points, spans = [("a", i) for i in range(50)], [("a", 5 * i, 5 * i + i % 7) for i in range(9)]
+    want = sorted((x, a) for _, x in points for _, a, b in spans if a <= x <= b)
+    got = iv.interval_join(spark.createDataFrame(points, "k string, x int"), spark.createDataFrame(spans, "k string, a int, b int"), ["k"], "x", "a", "b", 4, short=True)
+    assert sorted((r["x"], r["a"]) for r in got.collect()) == want
+
+
 def test_empty_sides(spark):
     points, spans = spark.createDataFrame([("a", 1)], "k string, x int"), spark.createDataFrame([("a", 0, 5), ("a", 5, 0)], "k string, a int, b int")
     assert iv.interval_join(points, spans, ["k"], "x", "a", "b").count() == 1

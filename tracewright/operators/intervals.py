@@ -27,20 +27,21 @@ def bin_width(points: DataFrame, intervals: DataFrame, point: str, low: str, hig
     return None if mean is None else (max(1.0, math.ceil(mean)), ends["a"], ends["b"])
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, low: str, high: str, width: float | None = None) -> DataFrame:
+def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, low: str, high: str, width: float | None = None, short: bool = False) -> DataFrame:
     """Pairs of equal keys with low <= point <= high: the columns of ``points`` and those of ``intervals`` but the keys.
 
     Other column names must differ. Null ends or points match nothing; intervals that end before they begin hold none.
-    ``points`` and ``intervals`` are read twice, once for two or three numbers about them.
+    ``points`` and ``intervals`` are read twice, once for two or three numbers about them; not so if the intervals are
+    ``short``, that is, known to be at most a few ``width`` long.
     """
-    found = bin_width(points, intervals, point, low, high)
-    kept = intervals.where(F.col(low) <= F.col(high))
-    if found is None:
-        return points.where("false").join(kept.where("false"), list(keys))
-    w, first, last = found
-    w = width or w
+    kept, a, b, w = intervals.where(F.col(low) <= F.col(high)), F.col(low), F.col(high), width
+    if not (short and width):
+        found = bin_width(points, intervals, point, low, high)
+        if found is None:
+            return points.where("false").join(kept.where("false"), list(keys))
+        w = width or found[0]
+        a, b = F.greatest(a, F.lit(found[1])), F.least(b, F.lit(found[2]))
     bins = lambda c: F.floor(c / w).cast("long")
-    a, b = F.greatest(F.col(low), F.lit(first)), F.least(F.col(high), F.lit(last))
     dealt = kept.where(a <= b).withColumn(BIN, F.explode(F.sequence(bins(a), bins(b))))
     met = points.withColumn(BIN, bins(F.col(point))).join(dealt, [*keys, BIN])
     return met.where(F.col(point).between(F.col(low), F.col(high))).drop(BIN)

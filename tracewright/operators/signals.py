@@ -163,7 +163,7 @@ def pause_before(speed: DataFrame, events: DataFrame, window: int = 40) -> DataF
     each event and not before ``floor``; null if fewer than 2 frames are left."""
     lo = F.greatest(F.col("floor"), F.col("frame_idx") - window)
     asked = events.withColumns({"__lo": lo, "__hi": F.col("frame_idx") - 1}).where(F.col("frame_idx") - F.col("__lo") >= 2)
-    met = interval_join(speed.select(EPISODE, "i", "s"), asked, [EPISODE], "i", "__lo", "__hi")
+    met = interval_join(speed.select(EPISODE, "i", "s"), asked, [EPISODE], "i", "__lo", "__hi", width=max(1, window), short=True)
     best = met.groupBy(EPISODE, "frame_idx", "floor").agg(F.min_by("i", F.struct("s", "i")).alias("pause"))
     return events.join(best, [EPISODE, "frame_idx", "floor"], "left")
 
