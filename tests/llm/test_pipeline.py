@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as p
 from tests.llm.test_decontamination import brute as contaminated
 from tests.llm.test_mixing import SPACE, brute_targets
-from tests.llm.test_simhash import brute as components
+from tests.llm.test_wide_simhash import exact_components
 from tracewright.llm import quality_rules
 
 D = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def test_every_stage(spark, documents):
     assert ids(kept) == Counter(want) and len(want) < len(documents)
 
     single = p.materialize(p.near_duplicates(spark, kept, D), "b")
-    want = {c for _, _, c in components([(i, documents[i]["text"]) for i in want])}
+    want = set(exact_components([(i, documents[i]["text"]) for i in want]).values())
     assert ids(single) == Counter(want)
 
     clean = p.materialize(p.decontaminate(spark, single, D), "c")
