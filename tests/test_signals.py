@@ -1,9 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import names
-from tracewright.functions.vectors import even_positions
+from tracewright.functions.vectors import even_positions, weigh
 from tracewright.operators import signals as s
 
 
@@ -107,3 +109,25 @@ def test_frame_embedding(spark):
     want = image[::3, ::4][:12, :12].ravel()
     want = want - want.mean()
     assert got == pytest.approx(want / np.linalg.norm(want))
+
+
+def test_a_quantile_between_near_values_stays_between_them(spark):
+    """Two values a last bit apart about the quartile: the quarter of the way from the lower one rounds to it, so it is not below."""
+    a, b = float.fromhex("0x1.54fdf3b645a1dp-1"), float.fromhex("0x1.54fdf3b645a1ep-1")
+    x = [9.0] * 58
+    for i in range(14):
+        x[2 + i] = 0.1
+    x[30], x[40] = a, b  # the 15th and 16th of 58: the quartile is at 14.25 from 0
+    speed = spark.createDataFrame([("e", i, v) for i, v in enumerate(x)], "episode_id string, i int, s double")
+    assert {r["q"] for r in s.with_quantile(speed, "s", 0.25, "q").collect()} == {a}
+    assert [r["frame_idx"] for r in s.pauses(speed).collect()] == [9]
+
+
+def test_a_product_is_not_rounded_before_the_sum(spark):
+    rng = np.random.default_rng(6)
+    near = rng.random(500)
+    rows = [(float(x), float(np.nextafter(x, 2)) if i % 2 else float(rng.random()), float(p)) for i, x in enumerate(near) for p in (0.25, 0.5, 0.75, 0.1, 0.9)]
+    rows += [(float("inf"), float("inf"), 0.5), (1.0, float("inf"), 0.5)]
+    df = spark.createDataFrame(rows, "a double, b double, p double")
+    got = df.select("*", weigh(F.col("a"), F.col("b"), F.col("p")).alias("w")).collect()
+    assert all(r["w"] == (r["a"] if r["a"] == r["b"] else math.fma(1 - r["p"], r["a"], r["p"] * r["b"])) for r in got)

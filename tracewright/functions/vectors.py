@@ -39,3 +39,18 @@ def even_positions(n: Column, k: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, also where the body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def weigh(a: Column, b: Column, part: Column) -> Column:
+    """(1 - part) * a + part * b with the first product not rounded by itself, as a fused multiply-add gives it; a where both are equal.
+
+    The error of that product is taken by splitting its factors in halves, that of the sum by subtracting back.
+    """
+    w = 1 - part
+    half = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    wh, ah = half(w), half(a)
+    p, q = w * a, part * b
+    lost = ((wh * ah - p) + wh * (a - ah) + (w - wh) * ah) + (w - wh) * (a - ah)
+    s = p + q
+    rest = (p - (s - (s - p))) + (q - (s - p))
+    return F.when(a == b, a).otherwise(F.nanvl(s + (rest + lost), s))

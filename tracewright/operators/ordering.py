@@ -8,6 +8,7 @@ Null values sort as the order columns say. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -76,6 +77,11 @@ def with_neighbours(df: DataFrame, order: Sequence[Column | str], around: bool =
     return out.select(*df.columns, *(F.coalesce(f"__in_{n}", f"__b_{n}").alias(n) for n in columns))
 
 
+def _between(a: float, b: float, part: float) -> float:
+    """From a towards b, as ``weigh`` gives it."""
+    return a if part == 0 or a == b else math.fma(1 - part, a, part * b)
+
+
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy: int = 10_000, few: int = 100_000) -> list[float | None]:
     """Exact quantiles (linear interpolation) of a column's values, nulls and NaN aside; null for none.
 
@@ -88,7 +94,10 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy: int =
     if not n:
         return [None] * len(probs)
     if n <= few:
-        return list(x.agg(F.percentile("x", F.array(*(F.lit(float(p)) for p in probs)))).head()[0])
+        held = x.agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        near = [(int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1)) for p in probs]
+        ends = held.select(*(F.element_at("xs", r + 1) for pair in near for r in pair)).head()
+        return [_between(ends[2 * i], ends[2 * i + 1], p * (n - 1) - near[i][0]) for i, p in enumerate(probs)]
     # ranks as a floor and a ceiling, so that equal probabilities ask once
     wanted = sorted({r for p in probs for r in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))})
     slack = 2 / accuracy
@@ -119,5 +128,5 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], accuracy: int =
         place = p * (n - 1)
         lo = int(place)
         hi = min(n - 1, lo + 1)
-        out.append(at[lo] if place == lo or at[lo] == at[hi] else (lo + 1 - place) * at[lo] + (place - lo) * at[hi])
+        out.append(_between(at[lo], at[hi], place - lo))
     return out

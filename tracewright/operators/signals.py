@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import at, difference_norm, even_positions, let
+from ..functions.vectors import at, difference_norm, even_positions, let, weigh
 from .intervals import interval_join
 
 EPISODE = "episode_id"
@@ -51,6 +51,17 @@ def moving_average_valid(df: DataFrame, value: str, order: str, k: int, out: str
     return df.withColumns({"__n": n, "__place": place, out: F.when(smooth, mean).otherwise(F.col(value))}).where((F.col("__n") < k) | (F.col("__place") >= k) | F.lit(k <= 1)).drop("__n", "__place")
 
 
+def with_quantile(df: DataFrame, value: str, p: float, out: str) -> DataFrame:
+    """Add the exact quantile of a column over each episode, nulls aside, between two values as ``weigh`` gives it: that is what the
+    SQL engine compares with. Spark's ``percentile`` rounds once more and may pass a value it stands beside."""
+    whole = Window.partitionBy(EPISODE)
+    rank = F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last())) - 1
+    ranked = df.withColumns({"__rank": rank, "__place": (F.count(value).over(whole) - 1) * F.lit(float(p))})
+    at = lambda place: F.max(F.when(F.col("__rank") == place, F.col(value))).over(whole)
+    ends = ranked.withColumns({"__a": at(F.floor("__place")), "__b": at(F.ceil("__place"))})
+    return ends.withColumn(out, weigh(F.col("__a"), F.col("__b"), F.col("__place") - F.floor("__place"))).drop("__rank", "__place", "__a", "__b")
+
+
 def speed_norms(frames: DataFrame) -> DataFrame:
     """(episode_id, n, speed_norm): mean step velocity, 0 for episodes of one frame."""
     n = frames.groupBy(EPISODE).agg(F.count("*").alias("n"))
@@ -66,8 +77,8 @@ def active_windows(frames: DataFrame, rel_threshold: float = 0.12, smooth: int =
     """
     v = moving_average_same(step_velocity(frames), "v", "i", smooth, "s")
     whole = Window.partitionBy(EPISODE)
-    q = F.percentile("s", F.lit(0.9)).over(whole)
-    above = v.withColumn("__ref", F.coalesce(F.nullif(q, F.lit(0.0)), F.max("s").over(whole)))
+    above = with_quantile(v, "s", 0.9, "__q")
+    above = above.withColumn("__ref", F.coalesce(F.nullif("__q", F.lit(0.0)), F.max("s").over(whole)))
     above = above.withColumn("__i", F.when(F.col("s") > rel_threshold * F.col("__ref"), F.col("i")))
     per = above.groupBy(EPISODE).agg((F.count("*") + 1).alias("n"), F.avg("v").alias("speed_norm"), F.min("__i").alias("on"), (F.max("__i") + 1).alias("off"))
     single = frames.groupBy(EPISODE).agg(F.count("*").alias("n")).where("n < 2").select(EPISODE, "n", F.lit(0.0).alias("speed_norm"), F.lit(None).cast("int").alias("on"), F.lit(None).cast("int").alias("off"))
@@ -174,7 +185,7 @@ def pauses(speed: DataFrame) -> DataFrame:
     Runs that begin at the last frame, and series of fewer than 4 frames, give none.
     """
     whole = Window.partitionBy(EPISODE)
-    low = speed.withColumns({"n": F.count("*").over(whole), "__low": F.col("s") < F.percentile("s", F.lit(0.25)).over(whole)})
+    low = with_quantile(speed, "s", 0.25, "__q").withColumns({"n": F.count("*").over(whole), "__low": F.col("s") < F.col("__q")})
     marked = low.withColumn("__run", F.sum(F.when(F.col("__low"), 0).otherwise(1)).over(by_frame("i")))
     runs = marked.where("__low and n >= 4").groupBy(EPISODE, "__run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first("n").alias("n"))
     return runs.where("a >= 1 and a < n - 1").select(EPISODE, F.floor((F.col("a") + F.col("b") + 1) / 2).cast("int").alias("frame_idx"))
