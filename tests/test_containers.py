@@ -79,3 +79,15 @@ def test_lazy_frames(spark, tmp_path):
     assert rates == {"a": (7, 30.0), "b": (12, 30.0), "c": (3, 25.0)}
     (tmp_path / "none").mkdir()
     assert c.container_index(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_files_share_partitions(spark, tmp_path):
+    x = frames(2)
+    for i in range(c.PARTS + 25):
+        (tmp_path / f"f{i:03d}.mp4").write_bytes(mp4(x))
+    index = c.container_index(spark, str(tmp_path))
+    assert index.rdd.getNumPartitions() == c.PARTS
+    assert sorted((r["episode_id"], r["frame_idx"]) for r in index.collect()) == [(f"f{i:03d}", j) for i in range(c.PARTS + 25) for j in range(2)]
+    names = [str(i) for i in range(c.PARTS * c.FILES + 1)]
+    shares = c._shares(names)
+    assert sum(shares, []) == names and len(shares) == c.PARTS + 1 and max(map(len, shares)) <= c.FILES and c._shares([]) == []
