@@ -108,6 +108,16 @@ def placed_view(df: DataFrame, by: str = "id", grouped: bool = False) -> DataFra
     return number_rows(df, view_order(df, by, grouped), "place")
 
 
+#: The column that an order reads beside ids and tasks.
+VIEW_KEYS = {"id": None, "iou": "sort_iou", "flags": "n_flags", "quality": "quality", "novelty": "novelty", "value": "curation_value", "speed": "speed"}
+
+
+def places(df: DataFrame, by: str = "id", grouped: bool = False) -> DataFrame:
+    """(place, episode_id) of ``placed_view``; only columns of the order travel."""
+    keys = ["episode_id", *(["task_ord"] if grouped else []), *([VIEW_KEYS[by]] if VIEW_KEYS[by] in df.columns else [])]
+    return placed_view(df.select(*keys), by, grouped).select("place", "episode_id")
+
+
 def filtered_gallery(df: DataFrame, task: str | None = None, tier: str | None = None) -> DataFrame:
     if task:
         df = df.where(F.col("task_name") == task)

@@ -17,6 +17,7 @@ from ..operators import gold, segments, signals, views
 from ..operators.ordering import number_rows
 from ..schema import SCHEMA_VERSION, conform, episode_ids, episode_view, segments_of, sort_key, subgoals_of
 from ..sources import episodes as src
+from ..storage import materialize
 from . import stand_ins as s
 from .catalog import CONV, EE, EVEN, FR, ORACLE_SQL, OUT, PAIR, SC, TOK, TR, _annotations, _gold, query, r
 
@@ -316,9 +317,9 @@ _ORDERS = {
 @query(" union all ".join(f"(with {GAL} select '{k}' as by, string_agg(episode_id, ',' order by {'ord, ' if i % 2 else ''}{o}) as ids from gal)" for i, (k, o) in enumerate(_ORDERS.items())))
 def gallery_orders(spark, d):
     """Every order of the viewer over two galleries, every other one grouped by task."""
-    g, out = _gallery(spark, d), None
+    g, out = materialize(_gallery(spark, d), "gallery"), None
     for i, by in enumerate(_ORDERS):
-        ordered = views.placed_view(g, by, grouped=bool(i % 2)).withColumnRenamed("place", "k")
+        ordered = views.places(g, by, grouped=bool(i % 2)).withColumnRenamed("place", "k")
         one = ordered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "episode_id"))), lambda x: x["episode_id"]), ",").alias("ids")).select(F.lit(by).alias("by"), "ids")
         out = one if out is None else out.union(one)
     return out
@@ -327,9 +328,9 @@ def gallery_orders(spark, d):
 @query(" union all ".join(f"(with {GAL} select '{k}' as by, row_number() over (order by {'ord, ' if i % 2 else ''}{o}) as place, episode_id from gal)" for i, (k, o) in enumerate(_ORDERS.items())))
 def gallery_places(spark, d):
     """The place of every episode in every order of the viewer over two galleries."""
-    g, out = _gallery(spark, d), None
+    g, out = materialize(_gallery(spark, d), "gallery"), None
     for i, by in enumerate(_ORDERS):
-        one = views.placed_view(g, by, grouped=bool(i % 2)).select(F.lit(by).alias("by"), "place", "episode_id")
+        one = views.places(g, by, grouped=bool(i % 2)).select(F.lit(by).alias("by"), "place", "episode_id")
         out = one if out is None else out.union(one)
     return out
 
