@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import METADATA, SUBGOAL, SUBTASK
+from ..storage import materialize
+from .intervals import interval_join
 from .ordering import number_rows
 
 
@@ -24,17 +26,24 @@ def vocabulary(segments: DataFrame, field: str = "subtask_text") -> DataFrame:
 def frame_indices(segments: DataFrame, episodes: DataFrame, field: str = "subtask_text") -> DataFrame:
     """(episode_id, frame_idx, subtask_index) for every frame: the last segment that holds it, 0 if none does.
 
-    Segments become frames by explode, so the work is in proportion to frames; the vocabulary joins by phrase.
+    Episodes are cut where a segment begins or ends; a piece has one label throughout. Pieces find their segment and become
+    frames at the end, so no frame is shuffled.
     """
     n = F.col("num_frames") - 1
     named = segments.withColumn("phrase", phrase(field)).where("phrase is not null").join(vocabulary(segments, field), "phrase")
     spans = named.join(episodes.select("episode_id", "num_frames"), "episode_id").select(
         "episode_id", "segment_idx", "subtask_index", F.greatest(F.lit(0), F.coalesce("start_frame", F.lit(0))).alias("a"), F.least(n, F.coalesce("end_frame", n)).alias("b")
     ).where("a <= b")
-    marked = spans.select("episode_id", "segment_idx", "subtask_index", F.explode(F.sequence("a", "b")).alias("frame_idx"))
-    marked = marked.groupBy("episode_id", "frame_idx").agg(F.max_by("subtask_index", "segment_idx").alias("subtask_index"))
-    every = episodes.where("num_frames > 0").select("episode_id", F.explode(F.sequence(F.lit(0), (n).cast("int"))).alias("frame_idx"))
-    return every.join(marked, ["episode_id", "frame_idx"], "left").withColumn("subtask_index", F.coalesce("subtask_index", F.lit(0)))
+    spans = materialize(spans, "spans")
+    held = episodes.where("num_frames > 0").select("episode_id", F.col("num_frames").cast("int").alias("n"))
+    cuts = spans.select("episode_id", F.explode(F.array("a", F.col("b") + 1)).alias("c")).join(held, "episode_id").where("c < n")
+    cuts = cuts.union(held.select("episode_id", F.lit(0), "n")).dropDuplicates(["episode_id", "c"])
+    end = F.coalesce(F.lead("c").over(Window.partitionBy("episode_id").orderBy("c")), F.col("n")) - 1
+    pieces = materialize(cuts.select("episode_id", F.col("c").cast("int").alias("c"), end.cast("int").alias("end")), "pieces")
+    met = interval_join(pieces.select("episode_id", "c"), spans, ["episode_id"], "c", "a", "b")
+    label = met.groupBy("episode_id", "c").agg(F.max_by("subtask_index", "segment_idx").alias("subtask_index"))
+    every = pieces.join(label, ["episode_id", "c"], "left").withColumn("subtask_index", F.coalesce("subtask_index", F.lit(0)))
+    return every.select("episode_id", F.explode(F.sequence("c", "end")).alias("frame_idx"), "subtask_index")
 
 
 def fps_or_default(fps: Column) -> Column:
