@@ -71,3 +71,20 @@ def test_one_group_holds_most_vectors(spark, monkeypatch):
     rows = [(i, "hot" if i % 5 else f"g{i}", i, rng.normal(size=3).tolist()) for i in range(150)]
     assert found(spark, rows, rows, 2, 0) == brute(rows, rows, 2)
     assert spark.createDataFrame(rows, KIND).where(F.col("grp") == "hot").count() == 120
+
+
+def test_candidates_are_sent_once_a_tile(spark, monkeypatch):
+    """All blocks meet: each is sent once a tile, not once for each block of queries."""
+    monkeypatch.setattr(nb, "BLOCK", 8)
+    monkeypatch.setattr(nb, "TILES", 2)
+    rng, sent, pieces = np.random.default_rng(7), [], nb.solve_tiles
+    rows = [(i, "g", i, rng.normal(size=6).round(1).tolist()) for i in range(200)]
+
+    def watched(pairs, tiles, mine, others, k, kinds):
+        sent.append((pairs.join(tiles, "a").select("tile", "b").distinct().count(), pairs.count(), mine.count()))
+        return pieces(pairs, tiles, mine, others, k, kinds)
+
+    monkeypatch.setattr(nb, "solve_tiles", watched)
+    assert found(spark, rows, rows, 3, 0) == brute(rows, rows, 3)
+    moved, met, blocks = sent[0]
+    assert blocks >= 20 and moved <= 2 * blocks < met / 3

@@ -8,11 +8,14 @@ it, pivots index both sides:
 2. By the triangle inequality two blocks are at least ``max(lo_a - hi_b, lo_b - hi_a)`` apart and all their pairs within
    ``hi_a + hi_b``, for any pivot. The k-th neighbour of a block's queries is no farther than ``reach``: the least upper bound
    to a block with k vectors of other owners, or what the block's own vectors show.
-3. Only pairs of blocks that may be within reach meet, first as numbers about blocks, then as vectors. A meeting is one matrix
-   product that chooses who may be near; distances of those are taken exactly, and the k best of a block travel on.
-
-Work is quadratic in a group at worst, as exactness asks; memory is two blocks whatever the corpus. Ties go to the smaller
-candidate id.
+3. Only pairs of blocks that may be within reach meet, first as numbers about blocks, then as vectors. Blocks of queries stand
+   in ``TILES`` tiles (more where a tile would exceed ``TILE`` blocks). A task holds the queries of a tile while the blocks that any
+   of them must meet pass by once. A meeting is one matrix product that chooses who may be near; distances of those are taken
+   exactly, and a query's k best are known when its tile ends.
+
+Work is quadratic in a group at worst, as exactness asks. A block of candidates is sent once a tile at most, so what is
+shuffled is in proportion to the vectors up to ``TILES * TILE`` blocks; memory is a tile whatever the corpus. Ties go to the
+smaller candidate id.
 """
 
 from __future__ import annotations
@@ -21,14 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 
 BLOCK = 1024
 PIVOTS = 32
+#: Tiles of query blocks, and blocks of one at most.
+TILES = 24
+TILE = 256
 #: Candidates are broadcast up to so many bytes of vectors.
 FEW_BYTES = 16 << 20
 #: Share of a distance by which rounding may move it.
@@ -177,16 +184,50 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, few_bytes: int =
     others = _pack(candidates.where("grp is not null"), pivots, k)
     mine = others if same else _pack(queries.where("grp is not null"), pivots, k)
     pairs = meetings(mine, others, k, same)
-    met = pairs.join(mine.select(F.col("block").alias("a"), F.col("rows").alias("q")), "a").join(others.select(F.col("block").alias("b"), F.col("rows").alias("c")), "b")
+    tile = F.ntile(max(TILES, -(-mine.count() // TILE))).over(Window.orderBy("grp", "block"))  # a row a block, of numbers alone
+    tiles = materialize(mine.select(F.col("block").alias("a"), tile.alias("tile")), "vector-tiles")
+    return solve_tiles(pairs, tiles, mine, others, k, kinds)
+
+
+def solve_tiles(pairs: DataFrame, tiles: DataFrame, mine: DataFrame, others: DataFrame, k: int, kinds: str) -> DataFrame:
+    """(id, dist, other) from the pairs (a, b) of blocks that meet and the tile of each block a."""
+    wanted = pairs.join(F.broadcast(tiles), "a").groupBy("tile", "b").agg(F.collect_list("a").alias("asked"))
+    held = tiles.join(mine.select(F.col("block").alias("a"), "rows"), "a")
+    held = held.select("tile", F.lit(0).alias("kind"), F.col("a").alias("block"), F.lit(None).cast("array<long>").alias("asked"), "rows")
+    passing = wanted.join(others.select(F.col("block").alias("b"), "rows"), "b").select("tile", F.lit(1).alias("kind"), F.col("b").alias("block"), "asked", "rows")
+    n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TILES)
+    dealt = held.union(passing).repartition(n, "tile").sortWithinPartitions("tile", "kind", "block")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda x: pa.ipc.open_stream(x.as_buffer()).read_all()
+        now, queries, best = None, {}, {}
         for batch in batches:
-            for q, c in zip(batch.column("q"), batch.column("c")):
-                yield from _pieces(best_of_blocks(read(q), read(c), k))
-
-    best = met.select("q", "c").mapInArrow(solve, kinds).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("best"))
-    return best.select("id", F.inline("best"))
+            for t, kind, block, asked, rows in zip(*(batch.column(c) for c in ("tile", "kind", "block", "asked", "rows"))):
+                if t.as_py() != now:
+                    for x in best.values():
+                        yield from _pieces(x)
+                    now, queries, best = t.as_py(), {}, {}
+                if kind.as_py() == 0:
+                    queries[block.as_py()] = read(rows)
+                    continue
+                near = read(rows)
+                for a in asked.as_py():
+                    found = best_of_blocks(queries[a], near, k)
+                    best[a] = first_of_each([best[a], found], k) if a in best else found
+        for x in best.values():
+            yield from _pieces(x)
+
+    return dealt.mapInArrow(solve, kinds)
+
+
+def first_of_each(parts: list[pa.Table], k: int) -> pa.Table:
+    """The k nearest of each id in tables (id, dist, other), ties to the smaller other."""
+    rows = pa.concat_tables(parts).combine_chunks().sort_by([("id", "ascending"), ("dist", "ascending"), ("other", "ascending")]).combine_chunks()
+    if rows.num_rows < 2:
+        return rows
+    ids, place = rows.column("id").chunk(0), np.arange(rows.num_rows)
+    new = np.concatenate([[True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)])
+    return rows.filter(pa.array(place - np.maximum.accumulate(np.where(new, place, 0)) < k))
 
 
 def extend_nearest(best: DataFrame, known: DataFrame, added: DataFrame, k: int, few_bytes: int = FEW_BYTES) -> DataFrame:
