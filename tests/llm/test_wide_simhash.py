@@ -115,3 +115,82 @@ def test_blocks_follow_the_number_of_fingerprints():
         p = w.block_positions(n, 0.8)
         miss = (1 - (1 - w.bit_rate(0.8)) ** p.shape[1]) ** p.shape[0]
         assert miss <= 0.03 and all(len(set(x)) == p.shape[1] for x in p.tolist())
+
+
+def verified_links(texts):
+    """Every pair that shares a block and is close by 128 bits and by all bits, and surely similar or similar by its shingles."""
+    sets = [np.unique(np.array(w.shingle_hashes(t.encode(), 5), np.uint64)) for t in texts]
+    fps = np.stack([np.frombuffer(w.wide_fingerprint(x), "<u8") for x in sets])
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+    meet = np.zeros((len(sets), len(sets)), bool)
+    for at in w.block_positions(len(sets), 0.8):
+        key = np.unique(bits[:, at], axis=0, return_inverse=True)[1].ravel()
+        meet |= key[:, None] == key
+    out = []
+    for x, y in np.argwhere(np.triu(meet, 1)):
+        d = int(w._distance(fps[x], fps[y]))
+        if int(w._distance(fps[x, :2], fps[y, :2])) > w.limit_of(0.8, 128, 3) or d > w.limit_of(0.8, w.WIDTH, 2.5):
+            continue
+        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if d <= w.limit_of(0.8, w.WIDTH, -2.5) or common >= 0.8 * (len(sets[x]) + len(sets[y]) - common) - 1e-9:
+            out.append((int(x), int(y)))
+    return out
+
+
+@pytest.mark.parametrize("hot_key", [50, 20_000])
+def test_no_link_is_lost_among_many_near_texts(spark, hot_key):
+    """500 texts of one template, mutually too different, of which 100 have a partner at about the limit, all under long keys."""
+    rng, texts = np.random.default_rng(6), []
+    template = [f"t{j}" for j in range(600)]
+    for i in range(500):
+        texts.append(edited(rng, template, 14))
+        if i < 100:
+            texts.append(edited(rng, texts[-1].split(), 11))
+    links = verified_links(texts)
+    assert len(links) > 80
+    c = got(spark, list(enumerate(texts)), hot_key=hot_key)
+    lost = [x for x in links if c[x[0]] != c[x[1]]]
+    assert not lost
+    want = label(range(len(texts)), links)
+    assert sum(c[i] != want[i] for i in c) <= 4, "a group may hold pairs that share no block"
+
+
+def test_rows_of_a_group_grow_with_its_size(spark):
+    """Groups of near copies leave a row a member, not a row a pair, under short and long keys."""
+    for size in (20, 40, 80):
+        texts = [edited(np.random.default_rng(i), [f"f{j}" for j in range(600)], 2) for i in range(size)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        nodes = w.with_wide_fingerprint(docs).selectExpr("xxhash64(fp) as node", "fp", "doc_id as first").cache()
+        found = w.close_groups(nodes, size, 0.8)
+        keys = len(w.block_positions(size, 0.8))
+        assert found.count() <= size * keys
+        members = found.distinct().join(nodes.select("node", "fp"), "node").cache()
+        assert w.sure_links(members, 2, w.limit_of(0.8, w.WIDTH, -2.5)).count() <= members.count()
+
+
+def test_links_of_sets_connect_what_similar_sets_connect():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        base = rng.integers(0, 1 << 63, (3, 40)).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base[i % 3])[: rng.integers(33, 41)], rng.integers(0, 99, 2).astype(np.uint64)])) for i in range(20)]
+        sets += [np.zeros(0, np.uint64), np.unique(base[0])]
+        root = rng.integers(0, 15, len(sets))
+        same = [(i, j) for i in range(len(sets)) for j in range(i) if root[i] == root[j]]
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if (c := len(np.intersect1d(sets[i], sets[j]))) and c >= 0.8 * (len(sets[i]) + len(sets[j]) - c) - 1e-9]
+        links = w.links_of_sets(root, sets, 0.8)
+        assert all((max(x), min(x)) in near for x in links) and len(links) < len(set(root.tolist()))
+        assert label(range(len(sets)), same + links) == label(range(len(sets)), same + near)
+
+
+def test_long_sets_are_dealt_in_pairs_of_chunks(spark):
+    rng = np.random.default_rng(5)
+    base = [f"g{j}" for j in range(600)]
+    texts = [edited(rng, base, 6) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = w.with_wide_fingerprint(docs).selectExpr("xxhash64(fp) as node", "fp", "doc_id as first").cache()
+    unsure = nodes.selectExpr("1L as cluster", "node", "node as root").cache()
+    first = {r["node"]: r["first"] for r in nodes.collect()}
+    want = {i: exact_components(list(enumerate(texts)))[i] for i in range(12)}
+    for chunk in (1500, w.SET_CHUNK):
+        links = w.similar_links(docs, nodes, unsure, 5, 0.8, chunk).collect()
+        assert label(range(12), [(first[r["a"]], first[r["b"]]) for r in links]) == want

@@ -6,13 +6,15 @@ at least, and each bit of theirs differs with a chance of acos(cosine) / pi at m
 
 * blocks of w bits, cut from fixed permutations of the positions, are as many as let a pair of similarity s share one of them
   with a chance of ``RECALL``; w follows the number of distinct fingerprints, so that a chance key holds a few of them;
-* fingerprints that share a block are compared by 128 of their bits where they meet, which chance pairs don't pass;
-* what passes is compared by all bits, once a pair. Pairs clearly within the distance of similarity s are links at once; pairs about
+* fingerprints that share a block are compared by 128 of their bits where they meet, which chance pairs don't pass; what chains of
+  close ones connect under one key is a group, of which only the members leave the task, a row each;
+* members of a group are compared by all bits. Pairs clearly within the distance of similarity s are links at once; pairs about
   that distance (two and a half standard deviations to both sides) are links if their sets of shingles have that similarity, which
-  is looked up only where no chain of sure links joins them already.
+  is looked up only where no chain of sure links, under any key, joins them already.
 
-Rows of one key give all their close pairs up to ``LONG_RUN`` fingerprints, beyond that the links of two spanning forests (one of a
-narrow limit, one of a wide one); a key with more than ``hot_key`` of them is dealt out as pairs of chunks.
+Every two members of a group are compared, whatever its size, unless links join them already; a task returns one row per member at
+most, which names whom it is joined to. A key with more than ``hot_key`` fingerprints is dealt out as pairs of chunks, and so is a
+group whose sets of shingles are too long for one task.
 
 Definitions: words and shingles are those of ``simhash`` with five words and without repeats. A text without words (null, empty) has
 fingerprint zero. Equal fingerprints are one node, copies are never paired. Rows with a null doc_id take no part.
@@ -21,7 +23,7 @@ fingerprint zero. Equal fingerprints are one node, copies are never paired. Rows
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ WIDTH = 1024
 #: Chance that a pair just similar enough shares a block.
 RECALL = 0.97
 LONG_RUN = 48
+#: Shingles of a group's sets that a task compares at once with as many others.
+SET_CHUNK = 2_000_000
 #: One constant per 64 bits of the fingerprint, from a fixed rule.
 WORD_SEEDS = mix64(np.arange(1, WIDTH // 64 + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -141,62 +145,120 @@ def pairs_of_runs(group: np.ndarray, sketch: np.ndarray, limits: tuple[int, int]
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidate_links(nodes: DataFrame, n: int, similarity: float, hot_key: int = HOT_KEY) -> DataFrame:
-    """(a, b) with a < b: nodes that share a block and are close by 128 bits, repeats included."""
-    positions = block_positions(n, similarity)
-    limits = (limit_of(similarity, 128, 0), limit_of(similarity, 128, 3))
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), scale_to_parts(n * len(positions), 500_000))
-    rows = block_rows(nodes.repartition(max(parts // 4, 1), "node"), positions)
-    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key)
-    hot = materialize(hot.select("key", F.ceil(F.col("n") / hot_key).cast("int").alias("c")), "hot-keys")
-    if hot.isEmpty():
-        dealt = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "s", "u")
-    else:
-        mine = F.pmod(F.xxhash64("node"), "c").cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
-        cold = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-        dealt = rows.join(hot, "key", "left").select("key", "node", "s", "u", F.inline(F.when(F.col("c").isNull(), cold).otherwise(pair)))
-    dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # rows of the last key so far
-
-        def solve(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-            key, i, j, node, s, u = (np.concatenate(c) for c in zip(*parts))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            a, b = pairs_of_runs(np.cumsum(new), np.stack([s, u], axis=1).view(np.uint64), limits)
-            ends = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row that links (a, b) reach from each of n rows: hooks to the smallest neighbour, then pointers to their ends."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def map_runs(df: DataFrame, keys: list[str], parts: int, solve: Callable[[np.ndarray, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``solve(group, rows)`` of whole runs of rows with equal integer ``keys``; group numbers the runs in ascending order."""
+    df = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list[np.ndarray], pa.RecordBatch]] = []  # rows of the last run so far
+
+        def whole_runs(pieces: list[tuple[list[np.ndarray], pa.RecordBatch]]) -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*(k for k, _ in pieces))]
+            new = np.logical_or.reduce([np.concatenate([[True], c[1:] != c[:-1]]) for c in cols])
+            return solve(np.cumsum(new), pa.Table.from_batches([b for _, b in pieces]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
-            whole = int(other[-1]) + 1 if len(other) else 0  # rows before those of the batch's last key
-            if whole or (held and any(c[0] != h[-1] for c, h in zip(cols[:3], held[-1]))):
-                yield solve([*held, [c[:whole] for c in cols]])
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys))]
+            other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in cols]))
+            cut = int(other[-1]) + 1 if len(other) else 0  # rows before those of the batch's last run
+            if cut or (held and any(c[0] != h[-1] for c, h in zip(cols, held[-1][0]))):
+                yield whole_runs([*held, ([c[:cut] for c in cols], batch.slice(0, cut))])
                 held = []
-            held.append([c[whole:] for c in cols])
+            held.append(([c[cut:] for c in cols], batch.slice(cut)))
         if held:
-            yield solve(held)
+            yield whole_runs(held)
+
+    return df.mapInArrow(run, schema)
+
+
+def dealt_in_pairs(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with i, j: of keys in ``hot`` (key, c chunks) each row goes to every pair of chunks that has its own, so every two
+    rows of a key meet; rows of other keys stay together."""
+    if hot.isEmpty():
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    mine = F.pmod(F.xxhash64("node"), "c").cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
+    cold = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    return rows.join(hot, key, "left").select(*rows.columns, F.inline(F.when(F.col("c").isNull(), cold).otherwise(pair)))
+
+
+def close_groups(nodes: DataFrame, n: int, similarity: float, hot_key: int = HOT_KEY) -> DataFrame:
+    """(cluster, node): members of the groups, of two or more, that chains of nodes close by 128 bits make under one key. The name
+    of a group is a hash of its members, so groups that many keys find are equal rows."""
+    positions = block_positions(n, similarity)
+    limits = (limit_of(similarity, 128, 3),)
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), scale_to_parts(n * len(positions), 500_000))
+    rows = block_rows(nodes.repartition(max(parts // 4, 1), "node"), positions)
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key)
+    hot = materialize(hot.select("key", F.ceil(F.col("n") / hot_key).cast("int").alias("c")), "hot-keys")
+
+    def members(group: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        node, s, u = (rows.column(c).to_numpy() for c in ("node", "s", "u"))
+        root = labels_of(len(node), *pairs_of_runs(group, np.stack([s, u], axis=1).view(np.uint64), limits))
+        name = np.zeros(len(node), np.uint64)
+        np.add.at(name, root, mix64(node.view(np.uint64)))
+        at = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        return pa.RecordBatch.from_arrays([pa.array(name[root[at]].view(np.int64)), pa.array(node[at])], ["cluster", "node"])
 
-    return dealt.select("key", "i", "j", "node", "s", "u").mapInArrow(links, "a long, b long")
+    return map_runs(dealt_in_pairs(rows, "key", hot), ["key", "i", "j"], parts, members, "cluster long, node long")
 
 
-def measured_links(nodes: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
-    """(a, b, distance): the pairs of ``candidates`` (distinct a, b) whose whole fingerprints differ in at most ``limit`` bits."""
-    one = join_salted(candidates, nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), ["a"], ["b"])
-    both = join_salted(materialize(one, "half-links"), nodes.select(F.col("node").alias("b"), F.col("fp").alias("y")), ["b"], ["a"])
+def _prints(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u8").reshape(rows.num_rows, -1)
 
-    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("x", "y"))
-        d = _distance(x, y)
-        out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d)], ["a", "b", "distance"])
-        return out.filter(pa.array(d <= limit))
 
-    return map_arrow(both.select("a", "b", "x", "y"), close, "a long, b long, distance long")
+def sure_links(members: DataFrame, parts: int, limit: int) -> DataFrame:
+    """(a, b): of each member (cluster, node, fp) that chains within ``limit`` bits join to others of its group, the first of these."""
+
+    def links(group: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        node = rows.column("node").to_numpy()
+        root = labels_of(len(node), *pairs_of_runs(group, _prints(rows), (limit,)))
+        at = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["a", "b"])
+
+    return map_runs(members, ["cluster"], parts, links, "a long, b long")
+
+
+def close_apart(fps: np.ndarray, root: np.ndarray, limit: int) -> np.ndarray:
+    """True for rows that are within ``limit`` bits of a row with another root."""
+    _, kind, count = np.unique(root, return_inverse=True, return_counts=True)
+    out = np.zeros(len(root), bool)
+    for x in np.flatnonzero(kind != count.argmax()):  # every pair of roots has one that is not the most frequent
+        near = (kind != kind[x]) & (_distance(fps, fps[x]) <= limit)
+        out |= near
+        out[x] |= near.any()
+    return out
+
+
+def unsure_members(members: DataFrame, parts: int, limit: int) -> DataFrame:
+    """(cluster, node, root): members (cluster, node, root, fp) within ``limit`` bits of one of their group with another root."""
+
+    def apart(group: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        root = rows.column("root").to_numpy()
+        changes = np.flatnonzero((group[1:] == group[:-1]) & (root[1:] != root[:-1]))
+        ask = np.zeros(len(group), bool)
+        fps = _prints(rows) if len(changes) else None
+        for g in np.unique(group[changes]):
+            a, b = np.searchsorted(group, [g, g + 1])
+            ask[a:b] = close_apart(fps[a:b], root[a:b], limit)
+        names = ["cluster", "node", "root"]
+        return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[ask]) for c in names], names)
+
+    return map_runs(members, ["cluster"], parts, apart, "cluster long, node long, root long")
 
 
 def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
@@ -212,17 +274,51 @@ def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
     return rows.select(F.xxhash64("fp").alias("node"), "hashes")
 
 
-def similar_links(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have at least this Jaccard similarity. Rows are compared one by one in the
-    JVM, so no batch holds many long sets."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def links_of_sets(root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Rows whose sets (sorted, distinct) have this Jaccard similarity: links that connect all such rows, given that rows with equal
+    root are connected. Pairs are compared unless something joins them already."""
+    _, kind, count = np.unique(root, return_inverse=True, return_counts=True)
+    size, out = np.array([len(x) for x in sets]), []
+    for x in np.flatnonzero(kind != count.argmax()):
+        todo = np.flatnonzero((np.minimum(size, size[x]) >= similarity * np.maximum(size, size[x]) - 1e-9) & (size > 0))
+        while len(todo := todo[kind[todo] != kind[x]]):
+            now, todo = todo[:32], todo[32:]
+            values = np.concatenate([sets[y] for y in now])
+            at = np.minimum(np.searchsorted(sets[x], values), size[x] - 1)
+            common = np.add.reduceat(sets[x][at] == values, np.cumsum(size[now]) - size[now], dtype=np.int64)
+            for y in now[common >= similarity * (size[now] + size[x] - common) - 1e-9]:
+                if kind[y] != kind[x]:
+                    out.append((int(x), int(y)))
+                    kind[kind == kind[y]] = kind[x]
+    return out
+
+
+def similar_links(documents: DataFrame, nodes: DataFrame, unsure: DataFrame, shingle: int, similarity: float, chunk: int = SET_CHUNK) -> DataFrame:
+    """(a, b): links of nodes whose sets of shingles have at least this Jaccard similarity, which with the roots connect all such nodes
+    of a group. ``unsure`` is (cluster, node, root)."""
+    asked = unsure.select("node").distinct()
     firsts = materialize(nodes.join(asked, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "asked")
     texts = documents.select("doc_id", "text").join(maybe_broadcast(firsts, 32), "doc_id", "left_semi")
     sets = materialize(shingle_sets(texts, shingle).dropDuplicates(["node"]), "shingle-sets")
-    one = materialize(join_salted(pairs, sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), ["a"], ["b"]), "half-sets")
-    both = join_salted(one, sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), ["b"], ["a"])
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
-    return common.where(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c")) - 1e-9).select("a", "b")
+    size = join_salted(unsure, sets.select("node", F.size("hashes").alias("size")), ["node"], ["cluster"])
+    hot = size.groupBy("cluster").agg(F.sum("size").alias("n")).where(F.col("n") > chunk)
+    hot = materialize(hot.select("cluster", F.ceil(F.col("n") / chunk).cast("int").alias("c")), "hot-groups")
+    dealt = materialize(dealt_in_pairs(unsure, "cluster", hot), "dealt")
+    rows = join_salted(dealt, sets, ["node"], ["cluster", "i", "j"])
+    least = int(unsure.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links(group: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        node, root = (rows.column(c).to_numpy() for c in ("node", "root"))
+        lists, a, b = rows.column("hashes"), [], []
+        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            sets = [lists[i].values.to_numpy().view(np.uint64) for i in range(lo, hi)]
+            for x, y in links_of_sets(root[lo:hi], sets, similarity):
+                a.append(node[lo + x])
+                b.append(node[lo + y])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return map_runs(rows, ["cluster", "i", "j"], max(least, scale_to_parts(dealt.count(), 20_000)), links, "a long, b long")
 
 
 def near_components(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, hot_key: int = HOT_KEY) -> DataFrame:
@@ -231,17 +327,15 @@ def near_components(documents: DataFrame, shingle: int = 5, similarity: float =
     prints = materialize(with_wide_fingerprint(documents, shingle), "wide-fingerprints")
     named = prints.select("doc_id", F.xxhash64("fp").alias("node"), "fp")
     nodes = materialize(named.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "wide-nodes")
-    candidates = materialize(candidate_links(nodes, nodes.count(), similarity, hot_key).distinct(), "candidates")
-    links = materialize(measured_links(nodes, candidates, limit_of(similarity, WIDTH, 2.5)), "wide-links")
-    surely = F.col("distance") <= limit_of(similarity, WIDTH, -2.5)
-    sure = links.where(surely).select("a", "b")
+    members = materialize(close_groups(nodes, nodes.count(), similarity, hot_key).distinct(), "members")
+    members = materialize(join_salted(members, nodes.select("node", "fp"), ["node"], ["cluster"]), "member-prints")
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), scale_to_parts(members.count(), 200_000))
+    sure = materialize(sure_links(members, parts, limit_of(similarity, WIDTH, -2.5)), "sure-links")
     roots = materialize(connected_components(sure), "sure-roots")
-    side = {c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab"}
-    apart = materialize(join_salted(links.where(~surely).select("a", "b"), side["a"], ["a"], ["b"], "left"), "half-apart")
-    apart = join_salted(apart, side["b"], ["b"], ["a"], "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    apart = materialize(apart.select("a", "b"), "apart")
-    if not apart.isEmpty():
-        roots = connected_components(sure.union(similar_links(documents, nodes, apart, shingle, similarity)))
+    rooted = join_salted(members, roots, ["node"], ["cluster"], "left").select("cluster", "node", F.coalesce("root", "node").alias("root"), "fp")
+    unsure = materialize(unsure_members(rooted, parts, limit_of(similarity, WIDTH, 2.5)), "unsure-members")
+    if not unsure.isEmpty():
+        roots = connected_components(sure.union(similar_links(documents, nodes, unsure, shingle, similarity)))
     linked = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = join_salted(linked.select("node", "root").distinct(), smallest, ["root"], ["node"]).select("node", "component_id")
