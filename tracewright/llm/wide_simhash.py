@@ -124,7 +124,8 @@ def forest(sketch: np.ndarray, limit: int) -> list[tuple[int, np.ndarray]]:
 
 
 def pairs_of_runs(group: np.ndarray, sketch: np.ndarray, limits: tuple[int, int], long_run: int = LONG_RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of close rows with equal ``group`` (sorted): all pairs of short runs, forests of long ones."""
+    """Row numbers of close rows with equal ``group`` (sorted): all pairs of short runs, forests of long ones. Chains of both connect the
+    same rows; links of a forest say no more, so rows they connect are compared again."""
     cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     size = np.diff(cut)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
