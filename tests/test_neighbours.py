@@ -1,6 +1,7 @@
 """Nearest neighbours by broadcast and by pivots against all distances; how many blocks meet."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,42 @@ def test_candidates_are_sent_once_a_tile(spark, monkeypatch):
     assert found(spark, rows, rows, 3, 0) == brute(rows, rows, 3)
     moved, met, blocks = sent[0]
     assert blocks >= 20 and moved <= 2 * blocks < met / 3
+
+
+def test_a_tile_is_a_task(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    rows = [(i, "g", i, rng.normal(size=6).round(1).tolist()) for i in range(200)]
+    q = spark.createDataFrame(rows, KIND)
+    assert nb.nearest(q, q, 3, 0).select(F.spark_partition_id()).distinct().count() == nb.TILES
+
+
+def of(rows, owners=None):
+    return pa.table({"id": [f"v{i:04d}" for i in range(len(rows))], "owner": owners or [f"v{i:04d}" for i in range(len(rows))], "vector": pa.array([list(map(float, v)) for v in rows], pa.list_(pa.float64()))})
+
+
+def test_of_equal_vectors_those_pass_that_may_be_near():
+    assert nb.first_of_equal(of([[1, 2]] * 300 + [[3, 4]] * 2), 5).column("id").to_pylist() == [f"v{i:04d}" for i in (*range(6), 300, 301)]
+    two = nb.first_of_equal(of([[1, 2]] * 8, ["a", "a", "a", "b", "b", "c", "c", "c"]), 2)  # a query of a's has b's two
+    assert two.num_rows == 5
+
+
+@pytest.mark.parametrize("scale, offset", [(1, 0), (1, 1e7), (1e-20, 0), (1e25, 0)])
+@pytest.mark.parametrize("copies", [1, 30])
+def test_blocks_equal_all_distances(scale, offset, copies, monkeypatch):
+    """Also where single precision tells nothing apart, with ties, several rows an owner, and rows that aren't finite."""
+    monkeypatch.setattr(nb, "BLOCK", 20)
+    monkeypatch.setattr(nb, "ROWS", 30)
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(240 // copies, 7)), copies, axis=0)[rng.permutation(240)] * scale + offset
+    v[7], v[9, 0] = np.nan, np.inf
+    owners = [None if i % 50 == 0 else f"o{i % 60}" for i in range(240)]
+    rows = of(v, owners)
+    want = []
+    for i in range(240):
+        with np.errstate(invalid="ignore"):
+            d = np.sqrt(((v[i] - v) ** 2).sum(axis=1))
+        near = sorted((d[j], f"v{j:04d}") for j in range(240) if np.isfinite(d[j]) and (owners[i] is None or owners[i] != owners[j]))
+        want += [(f"v{i:04d}", *x) for x in near[:4]]
+    got = nb.best_of_blocks(rows, nb.first_of_equal(rows, 4), 4)
+    assert list(zip(*(got.column(c).to_pylist() for c in ("id", "dist", "other")))) == want

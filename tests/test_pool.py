@@ -19,3 +19,19 @@ def test_added_datasets_are_scored_as_the_whole(spark):
         pool = part(*before, *added)
         want, got = (sorted(map(tuple, df.collect())) for df in (corpus.rescore(pool), corpus.rescore(pool, neighbours=kept)))
         assert got == want and len(got) == pool.count()
+
+
+def test_neighbours_are_found_once(spark, monkeypatch):
+    """Value, tiers and speed read novelty several times; the search is not repeated for them."""
+    rng, passed, search = np.random.default_rng(9), spark.sparkContext.accumulator(0), corpus.nearest
+    rows = [(f"d{i % 2}", f"e{i}", rng.normal(size=4).tolist(), float(i % 5), float(rng.random())) for i in range(40)]
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(corpus, "nearest", lambda *a: search(*a).mapInArrow(counted, "id string, dist double, other string"))
+    assert corpus.rescore(spark.createDataFrame(rows, KIND)).count() == 40
+    assert len(corpus.rescore(spark.createDataFrame(rows, KIND)).collect()) == 40
+    assert passed.value == 2 * 8 * 40

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .neighbours import extend_nearest, nearest
 from .ordering import quantiles
 
@@ -76,10 +77,11 @@ def _vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def _mean_distance(episodes: DataFrame, best: DataFrame) -> DataFrame:
-    """(episode_id, novelty) from (id, dist, other); 0 without neighbours."""
+    """(episode_id, novelty) from (id, dist, other); 0 without neighbours. Written once, as corpus statistics and quantiles
+    read it several times and neighbours are dear."""
     mean = best.groupBy("id").agg(F.avg("dist").alias("m"))
     joined = episodes.select("episode_id").join(mean, F.col("episode_id") == F.col("id"), "left")
-    return joined.select("episode_id", F.round(F.coalesce("m", F.lit(0.0)), 5).alias("novelty"))
+    return materialize(joined.select("episode_id", F.round(F.coalesce("m", F.lit(0.0)), 5).alias("novelty")), "novelty")
 
 
 def novelty(embeddings: DataFrame, k: int = 5) -> DataFrame:

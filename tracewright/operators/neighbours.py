@@ -9,9 +9,10 @@ it, pivots index both sides:
    ``hi_a + hi_b``, for any pivot. The k-th neighbour of a block's queries is no farther than ``reach``: the least upper bound
    to a block with k vectors of other owners, or what the block's own vectors show.
 3. Only pairs of blocks that may be within reach meet, first as numbers about blocks, then as vectors. Blocks of queries stand
-   in ``TILES`` tiles (more where a tile would exceed ``TILE`` blocks). A task holds the queries of a tile while the blocks that any
-   of them must meet pass by once. A meeting is one matrix product that chooses who may be near; distances of those are taken
-   exactly, and a query's k best are known when its tile ends.
+   in ``TILES`` tiles (more where a tile would exceed ``TILE`` blocks), each of them a task. It holds the queries of its tile while
+   the blocks that any of them must meet pass by once; of equal vectors of a block those pass that may be among a query's k nearest.
+   A meeting is one matrix product that chooses who may be nearer than the k-th so far; distances of those are taken exactly, and a
+   query's k best are known when its tile ends.
 
 Work is quadratic in a group at worst, as exactness asks. A block of candidates is sent once a tile at most, so what is
 shuffled is in proportion to the vectors up to ``TILES * TILE`` blocks; memory is a tile whatever the corpus. Ties go to the
@@ -38,8 +39,14 @@ TILES = 24
 TILE = 256
 #: Candidates are broadcast up to so many bytes of vectors.
 FEW_BYTES = 16 << 20
-#: Share of a distance by which rounding may move it.
+#: Rows of queries in a matrix product, and pairs whose distances are taken at once.
+ROWS = 256
+FEW_PAIRS = 1 << 14
+#: Share of a distance by which rounding may move it, and rounding units of matrix products.
 SLACK = 1e-9
+UNIT, UNIT_SINGLE = 2.0**-53, 2.0**-24
+#: Stands for a null owner, who equals nobody.
+NOBODY = object()
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
@@ -49,34 +56,166 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
 
 
-def best_of_blocks(mine: pa.Table, others: pa.Table, k: int, rows: int = 256) -> pa.Table:
+def first_of_equal(rows: pa.Table, k: int) -> pa.Table:
+    """``rows`` (ascending by id) less those that no query can have among its k nearest: k rows of smaller id and other owners
+    than the query's, whoever asks, hold the same vector."""
+    v = np.ascontiguousarray(matrix(rows.column("vector")))
+    if not v.size or len(np.unique(v.sum(axis=1))) == len(v):
+        return rows
+    which = np.unique(v.view(np.dtype((np.void, v.shape[1] * v.itemsize))).ravel(), return_inverse=True)[1]
+    order = np.argsort(which, kind="stable")
+    place = np.empty(len(v), np.int64)
+    place[order] = np.arange(len(v)) - np.searchsorted(which[order], which[order])
+    owner = np.unique(rows.column("owner").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    pair, held = np.unique(which * len(v) + owner, return_counts=True)
+    most = np.zeros(len(v), np.int64)  # rows of a vector that one owner has
+    np.maximum.at(most, pair // len(v), held)
+    return rows.filter(pa.array(place < k + most[which]))
+
+
+def _objects(column: pa.ChunkedArray) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+class Passing:
+    """Candidates (id, owner, vector), ascending by id, as rows ``[v - centre, |v - centre|^2]`` of a matrix product."""
+
+    def __init__(self, rows: pa.Table, centre: np.ndarray):
+        vectors = matrix(rows.column("vector"))
+        finite = np.isfinite((vectors * vectors).sum(axis=1))  # others are at no distance from anyone
+        if not finite.all():
+            rows, vectors = rows.filter(pa.array(finite)), vectors[finite]
+        self.vectors, self.owners, self.kind = vectors, rows.column("owner"), rows.schema.field("id").type
+        self.id, self.owner = _objects(rows.column("id")), _objects(self.owners)
+        if self.owners.null_count:
+            self.owner[[x is None for x in self.owner]] = NOBODY
+        about = vectors - centre if len(vectors) else np.zeros((0, len(centre)))
+        norm = (about * about).sum(axis=1)
+        self.doubles = np.hstack([about, norm[:, None]])
+        self.far = float(np.sqrt(norm.max(initial=0.0)))
+        self.size = max(np.abs(vectors).max(initial=0.0), np.abs(centre).max(initial=0.0)) * len(centre) ** 0.5
+        self.singles = self.doubles.astype(np.float32) if self.far < 1e15 else None
+        self.held = np.empty((ROWS, len(vectors)), np.float32)  # for products, one after the other
+
+
+class Nearest:
+    """The k nearest of each row of ``mine`` (id, owner, vector) among the candidates that passed by so far; equal owners
+    don't count, ties go to the smaller id. A matrix product, in single precision where that tells enough apart, chooses who
+    may be nearer than the k-th so far, with room for rounding; distances of those are taken exactly."""
+
+    def __init__(self, mine: pa.Table, k: int, centre: np.ndarray):
+        self.mine, self.k, self.centre, self.kind = mine, k, centre, None
+        self.vectors = matrix(mine.column("vector"))
+        self.owner = _objects(mine.column("owner"))
+        about = self._about(slice(None))
+        self.own = (about * about).sum(axis=1)
+        self.size = np.abs(self.vectors).max(initial=0.0, where=np.isfinite(self.vectors)) * len(centre) ** 0.5
+        self.singles = None
+        if self.own.max(initial=0.0, where=np.isfinite(self.own)) < 1e30:
+            with np.errstate(over="ignore", invalid="ignore"):
+                self.singles = np.hstack([-2 * about, np.ones((len(about), 1))]).astype(np.float32)
+        self.dist = np.full((len(self.vectors), k), np.inf)
+        self.other = np.full((len(self.vectors), k), None, object)
+
+    def _about(self, part: slice | np.ndarray) -> np.ndarray:
+        return self.vectors[part] - self.centre
+
+    def _room(self, part: slice, near: Passing, unit: float) -> np.ndarray:
+        """By how much squared distances of a product whose rounding unit is given may be wrong."""
+        ends = np.sqrt(self.own[part]) + near.far
+        return unit * (len(self.centre) + 8) * ends**2 + 2.0**-49 * ends * max(self.size, near.size) + 1e-36
+
+    def _product(self, part: slice, near: Passing) -> np.ndarray:
+        """Squared distances less a row's own squared norm, in doubles."""
+        return np.hstack([-2 * self._about(part), np.ones((len(self.own[part]), 1))]) @ near.doubles.T
+
+    def _first(self, part: slice, near: Passing) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that hold the k nearest of ``near``, whatever passed before."""
+        d = self._product(part, near)
+        owner = pa.concat_arrays([*self.mine.column("owner").slice(part.start, len(d)).chunks, *near.owners.chunks]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        d[owner[: len(d), None] == owner[None, len(d) :]] = np.inf
+        last = min(self.k, d.shape[1]) - 1
+        edge = np.partition(d, last, axis=1)[:, last]
+        return np.nonzero((d <= (edge + 2 * self._room(part, near, UNIT))[:, None]) & np.isfinite(d))
+
+    def _closer(self, part: slice, near: Passing) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be as near as the k-th so far."""
+        limit = self.dist[part, -1] ** 2 * (1 + SLACK) - self.own[part]
+        if self.singles is not None and near.singles is not None:
+            d = np.matmul(self.singles[part], near.singles.T, out=near.held[: len(limit)])
+            edge = (limit + np.abs(limit) * 2.0**-23 + self._room(part, near, UNIT_SINGLE)).astype(np.float32)
+            rows = np.flatnonzero(d.min(axis=1) <= edge)
+            i, j = np.divmod(np.flatnonzero(d[rows] <= edge[rows, None]), d.shape[1])
+            if len(i) <= d.size // 16:
+                return rows[i], j
+        return np.nonzero(self._product(part, near) <= (limit + np.abs(limit) * SLACK + self._room(part, near, UNIT))[:, None])
+
+    def meet(self, near: Passing) -> None:
+        self.kind = near.kind
+        if not len(near.id):
+            return
+        new = np.isinf(self.dist[:, -1]) & np.isfinite(self.own)
+        pairs = []
+        with np.errstate(invalid="ignore"):  # rows that aren't finite have no neighbours
+            for x in range(0, len(self.vectors), ROWS):
+                part = slice(x, x + ROWS)
+                i, j = (self._first if new[part].any() else self._closer)(part, near)
+                pairs.append((i + x, j))
+        self._take(*map(np.concatenate, zip(*pairs)), near)
+
+    def _take(self, i: np.ndarray, j: np.ndarray, near: Passing) -> None:
+        """Merge pairs, ascending by row, into the k nearest."""
+        known = (self.owner[i] != near.owner[j]).astype(bool)
+        i, j = i[known], j[known]
+        dist = np.concatenate([np.sqrt(((self.vectors[i[x : x + FEW_PAIRS]] - near.vectors[j[x : x + FEW_PAIRS]]) ** 2).sum(axis=1)) for x in range(0, len(i), FEW_PAIRS)] or [np.zeros(0)])
+        known = dist <= self.dist[i, -1]  # not where it is NaN
+        i, j, dist = i[known], j[known], dist[known]
+        if not len(i):
+            return
+        rows = np.unique(i)
+        at, place = np.nonzero(np.isfinite(self.dist[rows]))
+        row = np.concatenate([at, np.searchsorted(rows, i)])
+        other = np.concatenate([self.other[rows[at], place], near.id[j]])
+        dist = np.concatenate([self.dist[rows[at], place], dist])
+        order = np.lexsort((dist, row))
+        row, dist, other = row[order], dist[order], other[order]
+        same = (row[1:] == row[:-1]) & (dist[1:] == dist[:-1])
+        if same.any():
+            tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            rank = np.zeros(len(row), np.int64)
+            rank[tied] = pc.rank(pa.array(other[tied].tolist(), self.kind), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+            order = np.lexsort((rank, dist, row))
+            row, dist, other = row[order], dist[order], other[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.dist[rows], self.other[rows] = np.inf, None
+        self.dist[rows[row[kept]], place[kept]] = dist[kept]
+        self.other[rows[row[kept]], place[kept]] = other[kept]
+
+    def table(self) -> pa.Table:
+        """(id, dist, other), by row and distance."""
+        held = np.isfinite(self.dist)
+        return pa.table({"id": self.mine.column("id").take(pa.array(np.nonzero(held)[0])), "dist": pa.array(self.dist[held]), "other": pa.array(self.other[held].tolist(), self.kind)})
+
+
+def _centre(vectors: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(vectors.mean(axis=0), nan=0.0, posinf=0.0, neginf=0.0) if len(vectors) else np.zeros(vectors.shape[1])
+
+
+def best_of_blocks(mine: pa.Table, others: pa.Table, k: int) -> pa.Table:
     """(id, dist, other): the k nearest of ``others`` for each row of ``mine``, both (id, owner, vector); equal owners don't
-    count. ``others`` ascends by id. Squared norms and a matrix product choose who may be among them, with room for rounding."""
-    a, b = matrix(mine.column("vector")), matrix(others.column("vector"))
-    owner = pa.concat_arrays([*mine.column("owner").chunks, *others.column("owner").chunks]).dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(a) and len(b) else np.zeros(0)
-    norm = (b * b).sum(axis=1)
-    slack = SLACK * (1 + norm.max(initial=0.0))
-    left, dist, right = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-    for x in range(0, len(a) if len(b) else 0, rows):
-        part = a[x : x + rows]
-        own = (part * part).sum(axis=1)
-        d = own[:, None] + norm[None, :] - 2 * (part @ b.T)
-        d[owner[x : x + len(part), None] == owner[None, len(a) :]] = np.inf
-        edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        i, j = np.nonzero((d <= edge[:, None] + slack + SLACK * own[:, None]) & np.isfinite(d))
-        exact = np.sqrt(((part[i] - b[j]) ** 2).sum(axis=1))
-        order = np.lexsort((j, exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-        left.append(i[keep] + x)
-        dist.append(exact[keep])
-        right.append(j[keep])
-    at = lambda parts: pa.array(np.concatenate(parts))
-    return pa.table({"id": mine.column("id").take(at(left)), "dist": at(dist), "other": others.column("id").take(at(right))})
+    count. ``others`` ascends by id."""
+    best = Nearest(mine, k, _centre(matrix(mine.column("vector"))))
+    if len(best.vectors):
+        for x in range(0, others.num_rows, BLOCK):
+            best.meet(Passing(others.slice(x, BLOCK), best.centre))
+    return best.table()
 
 
 def _pieces(table: pa.Table) -> list[pa.RecordBatch]:
-    return table.combine_chunks().to_batches()
+    return table.combine_chunks().to_batches() if table.num_rows else []
 
 
 def _few(queries: DataFrame, candidates: pa.Table, k: int, kinds: str) -> DataFrame:
@@ -90,7 +229,7 @@ def _few(queries: DataFrame, candidates: pa.Table, k: int, kinds: str) -> DataFr
                 a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dict(by_group(shared.value))
+        table = {g: first_of_equal(rows, k) for g, rows in by_group(shared.value)}
         for batch in batches:
             for g, mine in by_group(pa.Table.from_batches([batch]).sort_by("grp")):
                 if g in table:
@@ -122,9 +261,13 @@ def _pack(vectors: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
         near = best_of_blocks(rows, rows, k)
         dist = near.column("dist").to_numpy()
         reach = float(dist.max(initial=0.0)) if len(dist) == k * len(v) else float("inf")
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema) as out:
-            out.write_table(rows)
+        sink, kept = pa.BufferOutputStream(), rows.select(["id", "owner", "vector"])
+        with np.errstate(over="ignore"):
+            singles = v.astype(np.float32)
+        if v.size and (singles == v).all():  # half the bytes
+            kept = kept.set_column(2, "vector", pa.FixedSizeListArray.from_arrays(pa.array(singles.ravel()), v.shape[1]))
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_table(kept)
         lists = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (d.min(axis=0), d.max(axis=0))]
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), grp_of(rows), pa.array([len(v)]), *lists, pa.array([len(v) - most]), pa.array([reach]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
@@ -195,41 +338,32 @@ def solve_tiles(pairs: DataFrame, tiles: DataFrame, mine: DataFrame, others: Dat
     held = tiles.join(mine.select(F.col("block").alias("a"), "rows"), "a")
     held = held.select("tile", F.lit(0).alias("kind"), F.col("a").alias("block"), F.lit(None).cast("array<long>").alias("asked"), "rows")
     passing = wanted.join(others.select(F.col("block").alias("b"), "rows"), "b").select("tile", F.lit(1).alias("kind"), F.col("b").alias("block"), "asked", "rows")
-    n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TILES)
-    dealt = held.union(passing).repartition(n, "tile").sortWithinPartitions("tile", "kind", "block")
+    n = tiles.agg(F.max("tile")).head()[0] or 1
+    dealt = held.union(passing).repartitionById(n, F.col("tile")).sortWithinPartitions("tile", "kind", "block")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda x: pa.ipc.open_stream(x.as_buffer()).read_all()
-        now, queries, best = None, {}, {}
+        now, centre, best = None, None, {}
         for batch in batches:
             for t, kind, block, asked, rows in zip(*(batch.column(c) for c in ("tile", "kind", "block", "asked", "rows"))):
                 if t.as_py() != now:
                     for x in best.values():
-                        yield from _pieces(x)
-                    now, queries, best = t.as_py(), {}, {}
+                        yield from _pieces(x.table())
+                    now, centre, best = t.as_py(), None, {}
+                near = read(rows)
                 if kind.as_py() == 0:
-                    queries[block.as_py()] = read(rows)
+                    centre = _centre(matrix(near.column("vector"))) if centre is None else centre
+                    best[block.as_py()] = Nearest(near, k, centre)
                     continue
-                near = read(rows)
+                near = Passing(first_of_equal(near, k), centre)
                 for a in asked.as_py():
-                    found = best_of_blocks(queries[a], near, k)
-                    best[a] = first_of_each([best[a], found], k) if a in best else found
+                    best[a].meet(near)
         for x in best.values():
-            yield from _pieces(x)
+            yield from _pieces(x.table())
 
     return dealt.mapInArrow(solve, kinds)
 
 
-def first_of_each(parts: list[pa.Table], k: int) -> pa.Table:
-    """The k nearest of each id in tables (id, dist, other), ties to the smaller other."""
-    rows = pa.concat_tables(parts).combine_chunks().sort_by([("id", "ascending"), ("dist", "ascending"), ("other", "ascending")]).combine_chunks()
-    if rows.num_rows < 2:
-        return rows
-    ids, place = rows.column("id").chunk(0), np.arange(rows.num_rows)
-    new = np.concatenate([[True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)])
-    return rows.filter(pa.array(place - np.maximum.accumulate(np.where(new, place, 0)) < k))
-
-
 def extend_nearest(best: DataFrame, known: DataFrame, added: DataFrame, k: int, few_bytes: int = FEW_BYTES) -> DataFrame:
     """(id, dist, other) of ``known`` and ``added`` together, from ``best``, that of ``known`` alone.
 
